@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, substring
+from . import bpe, decontaminate, embeddings, langid, lines, secrets, sharding, simhash, substring, toxicity
 
-BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+BPE_RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(parts: int, column: str = "doc_id") -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -24,17 +28,53 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(_fold(4) != 2), langid.sentencepiece_vocabulary(public_tokenizers.path(PIECES)))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.balanced_shards(_table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.where(_fold(3) != 1), labels.where(_fold(3) != 1))
+    found = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= toxicity.DECISION).cast("int").alias("predicted"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.rewrite(docs, counts=("n_lines", "n_dropped"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    return found.select("doc_id", "start", "length", F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"), "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_byte_bpe, op5_sharding, op10_substring_dedup)}
+    own = (op1_simhash_dedup, op2_byte_bpe, op3_language_id, op4_embedding_dedup, op5_sharding, op6_toxicity, op7_decontaminate, op8_line_dedup, op9_secret_scan, op10_substring_dedup)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
