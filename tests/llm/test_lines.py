@@ -1,3 +1,5 @@
+import random
+
 from lexmill.llm import lines
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -42,9 +44,9 @@ def plain(rows, depth=3, min_texts=8, fixed_share=0.6, max_loss=0.5):
 
 
 def corpus():
-    rows = []
+    rng, rows = random.Random(6), []
     for i in range(60):
-        body = [f"{w} unique prose number{i} of {w}{i} and more words that nobody else has" for w in ("some", "other", "third")]
+        body = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(14)) for _ in range(3)]
         body.insert(i % 3, "All rights reserved.")
         if i % 2:
             body.append(f"Posted on 2021-03-{i:02d} by user {'anna bert carl dora'.split()[i % 4]}{'' if i % 3 else 'x'} in the forum")
