@@ -1,0 +1,3 @@
+"""Registered queries; importing a module registers its queries."""
+
+from . import curation, operations, retrieval  # noqa: F401

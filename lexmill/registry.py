@@ -21,8 +21,12 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
+    from . import plans  # noqa: F401
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import plans  # noqa: F401
+
     return ORACLES
