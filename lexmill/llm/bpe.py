@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, in_steps
+from .common import Memo, held, in_steps
 
 #: Pieces remembered by each Python worker.
-MEMO_PIECES = 120_000
+MEMO_PIECES = 80_000
 #: Characters other than ASCII and Latin letters, or separators on which regex flavours differ.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\x7f\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f]")
 
@@ -50,7 +50,7 @@ class BytePairCodec:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.fits = Memo(self._fits, 500_000)
+        self.fits = Memo(self._fits, 150_000)
         self.halves = Memo(self._halves, len(self.ranks) + 1)
         self.shorter = Memo(self._shorter, len(self.ranks) + 1)
         self.pieces = Memo(self._piece, memo)
@@ -143,16 +143,9 @@ class BytePairCodec:
         return len(ids), hashlib.sha256(",".join([c[0] for c in coded]).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
-_codecs: dict[tuple, BytePairCodec] = {}
-
-
 def _codec(rank_file: bytes, pattern: str) -> BytePairCodec:
     """One codec for each Python worker and vocabulary."""
-    key = (hashlib.sha256(rank_file).digest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = BytePairCodec(rank_file, pattern)
-    return _codecs[key]
+    return held(f"bpe {hashlib.sha256(rank_file).hexdigest()} {pattern}", lambda: BytePairCodec(rank_file, pattern))
 
 
 def _rank_file(spark: SparkSession, path: str):

@@ -48,6 +48,17 @@ def utf8_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable):
+    """The model or index that this Python worker is using; the one before is let go, so a worker never keeps two."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 class Memo(dict):
     """Bounded memo of a pure function: two generations, so that frequent keys stay."""
 

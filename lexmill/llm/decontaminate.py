@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps, materialize
+from .common import held, in_steps, materialize
 
 SHINGLE_WORDS, OVERLAP, THRESHOLD = 5, 0.8, 0.6
 #: Passages overlap by half and are at least this long; half a passage holds the longest item.
@@ -151,15 +151,9 @@ class ItemIndex:
         return [(item, *found) for item, found in sorted(best.items())]
 
 
-_indexes: dict[str, ItemIndex] = {}
-
-
 def _index(name: str, sent) -> ItemIndex:
     """One index for each Python worker."""
-    if name not in _indexes:
-        _indexes.clear()
-        _indexes[name] = sent.value
-    return _indexes[name]
+    return held(f"items {name}", lambda: sent.value)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
