@@ -99,7 +99,9 @@ def _relevant(spark: SparkSession, sf: str) -> DataFrame:
     runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 4)), lambda i: F.array_join(F.slice(c, i, 5), " ")))
     asked = questions(spark, sf).select("query_id", T.normalised(F.col("query")).alias("needle"), T.tokens(F.col("query")).alias("t"))
     first = asked.where(F.size("t") >= 7).select("query_id", "needle", F.array_join(F.slice("t", 2, 5), " ").alias("run"))
-    docs = tables.documents(spark, sf).select("doc_id", F.explode(runs(T.tokens(F.col("content")))).alias("run"))
+    # Tokens are a column of their own: inside the lambda they would be taken anew for every run.
+    worded = tables.documents(spark, sf).select("doc_id", T.tokens(F.col("content")).alias("t"))
+    docs = worded.select("doc_id", F.explode(runs(F.col("t"))).alias("run"))
     met = docs.join(first, "run").select("query_id", "doc_id", "needle").distinct()
     return met.join(tables.documents(spark, sf).select("doc_id", "content"), "doc_id").where(F.contains(T.normalised(F.col("content")), F.col("needle"))).select("query_id", "doc_id").distinct()
 
