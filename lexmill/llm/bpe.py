@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, held, in_steps
+from .common import Memo, held, in_steps, map_batches
 
 #: Pieces remembered by each Python worker.
 MEMO_PIECES = 80_000
@@ -170,7 +170,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, text_col: st
             ids = pa.array([codec.encode(t) if t else [] for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*step.columns, ids], names=[*step.schema.names, out_col])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    return rest.transform(map_batches, run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]), model=True)
 
 
 def decode_documents(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -185,7 +185,7 @@ def decode_documents(encoded: DataFrame, rank_path: str, pattern: str, ids_col:
             raw = pa.array([codec.decode(x) if x else b"" for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*step.columns, raw], names=[*step.schema.names, out_col])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return rest.transform(map_batches, run, T.StructType([*rest.schema.fields, T.StructField(out_col, T.BinaryType())]), model=True)
 
 
 def token_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,4 +205,4 @@ def token_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "
             yield pa.RecordBatch.from_arrays([step.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.transform(map_batches, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", model=True)

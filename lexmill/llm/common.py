@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Rows that one step inside a task turns into Python objects at once.
 STEP_ROWS = 256
+#: Bytes of texts in one Arrow batch; Spark's own bound is a number of rows, which long texts exceed.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -48,9 +51,31 @@ def utf8_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def map_batches(df: DataFrame, run: Callable, schema, model: bool = False) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded in bytes (a longer row is a batch of its own).
+
+    The byte bound is set on the session where it has none. Without ``model``, a model that an earlier operator
+    left in the Python worker is let go first.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+
+    return df.mapInArrow(run if model else alone, schema)
+
+
 _held: dict[str, object] = {}
 
 
+def let_go() -> None:
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def held(name: str, make: Callable):
     """The model or index that this Python worker is using; the one before is let go, so a worker never keeps two."""
     if name not in _held:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, in_steps, materialize
+from .common import held, in_steps, map_batches, materialize
 
 SHINGLE_WORDS, OVERLAP, THRESHOLD = 5, 0.8, 0.6
 #: Passages overlap by half and are at least this long; half a passage holds the longest item.
@@ -170,7 +170,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["item_id", "words"])
 
-    worded = tests.mapInArrow(words, "item_id long, words array<string>").where(F.size("words") > 0)
+    worded = tests.transform(map_batches, words, "item_id long, words array<string>").where(F.size("words") > 0)
     totals = worded.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.max(F.size("words")).alias("longest")).first()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     result = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, at_word long"
@@ -198,7 +198,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word"])
 
-        some = rows.mapInArrow(search, result)
+        some = rows.transform(map_batches, search, result, model=True)
         found = some if found is None else found.unionByName(some)
     return found
 

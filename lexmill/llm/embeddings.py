@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_batches, materialize
 from .components import connected_components
 
 #: Vectors in a strip, and in the part of one that a tile takes from its left side.
@@ -55,7 +55,7 @@ def principal_axes(valid: DataFrame, size: int) -> np.ndarray:
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
-    parts = valid.select("v").mapInArrow(moments, "i long, row array<double>")
+    parts = valid.select("v").transform(map_batches, moments, "i long, row array<double>")
     sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
     matrix = np.zeros((size, size))
     matrix[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("x").to_numpy()
@@ -148,7 +148,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, strip_rows: int
             key = (((cell[:, 0] * 8 + cell[:, 1]) * 8 + cell[:, 2]) * 8 + cell[:, 3]).astype(np.float64) * 4 + r[:, 0]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key)], names=["vec_id", "v", "place"])
 
-    keyed = valid.select("vec_id", "v").mapInArrow(coordinates, "vec_id long, v array<double>, place double")
+    keyed = valid.select("vec_id", "v").transform(map_batches, coordinates, "vec_id long, v array<double>, place double")
     ranged = keyed.repartitionByRange(strips, "place", "vec_id").withColumn("part", F.spark_partition_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, strip_rows: int
         if held:
             yield strip(np.concatenate(waiting_ids), np.concatenate(waiting), made)
 
-    packed = materialize(ranged.select("vec_id", "v", "part").mapInArrow(pack, "strip long, ids binary, x binary, centre array<double>, radius double"), "strips")
+    packed = materialize(ranged.select("vec_id", "v", "part").transform(map_batches, pack, "strip long, ids binary, x binary, centre array<double>, radius double"), "strips")
     bounds = packed.select("strip", "centre", "radius").toArrow()  # at most a few per range partition
     names = bounds.column("strip").to_numpy()
     centres = np.array(bounds.column("centre").to_pylist())
@@ -205,7 +205,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, strip_rows: int
         some = np.flatnonzero(links)
         return pa.table({"vec_id": ids[some], "root": ids[label[some]], "n": links[some]})
 
-    found = packed.mapInArrow(partners, "a long, b long, strip long, ids binary, x binary").groupBy("a", "b").applyInArrow(compare, "vec_id long, root long, n long")
+    found = packed.transform(map_batches, partners, "a long, b long, strip long, ids binary, x binary").groupBy("a", "b").applyInArrow(compare, "vec_id long, root long, n long")
     found = materialize(found, "links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("all_links"), F.count("*").alias("places"))
     labels = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BitFilter, in_steps, materialize, utf8_list
+from .common import BitFilter, in_steps, map_batches, materialize, utf8_list
 
 #: Leading tokens on the path to a leaf, different texts that make a token or template recur, least share of fixed tokens.
 DEPTH, MIN_TEXTS, FIXED_SHARE = 3, 8, 0.6
@@ -69,7 +69,7 @@ def recurring_lines(texts: DataFrame, depth: int = DEPTH, min_texts: int = MIN_T
                 a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["leaf", "tie"])
 
-    per_text = texts.select("tie", "text").mapInArrow(leaves, "leaf long, tie long").distinct()
+    per_text = texts.select("tie", "text").transform(map_batches, leaves, "leaf long, tie long").distinct()
     busy = materialize(per_text.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf"), "leaves")
     likely = BitFilter(busy, "leaf")
 
@@ -83,7 +83,7 @@ def recurring_lines(texts: DataFrame, depth: int = DEPTH, min_texts: int = MIN_T
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "tie", "line_no", "leaf", "line", "tokens"])
 
-    met = materialize(texts.mapInArrow(lines, f"{_KEY}, line_no int, leaf long, line long, tokens string").join(busy, "leaf", "left_semi"), "lines")
+    met = materialize(texts.transform(map_batches, lines, f"{_KEY}, line_no int, leaf long, line long, tokens string").join(busy, "leaf", "left_semi"), "lines")
     # Copies of a text count once.
     in_text = met.groupBy("leaf", "line", "tie").agg(F.first("tokens").alias("tokens"))
     kinds = materialize(in_text.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "kinds")
@@ -129,27 +129,31 @@ def rewrite(docs: DataFrame, depth: int = DEPTH, min_texts: int = MIN_TEXTS, fix
     rest = rest.select(*rest.columns, F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("__tie"))
     place = rest.columns.index(text_col)
 
-    def parted(inside: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(likely.passes(batch.column(batch.num_columns - 1).to_numpy()) == inside))
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(likely.passes(batch.column(batch.num_columns - 1).to_numpy())))
 
-        return rest.mapInArrow(run, rest.schema)
+    def finish(columns: list, gone: list) -> pa.RecordBatch:
+        old = columns[place].to_pylist()
+        done = [_cut(t, g, max_loss) for t, g in zip(old, gone, strict=True)]
+        columns[place] = pa.array([d[0] for d in done], pa.string())
+        if counts:
+            columns += [pa.array([0 if t is None else t.count("\n") + 1 for t in old], pa.int64()), pa.array([d[1] for d in done], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=result.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in in_steps(batches):
-            old, gone = step.column(place).to_pylist(), step.column(step.num_columns - 1).to_pylist()
-            columns = list(step.columns[:-2])
-            done = [_cut(t, g, max_loss) for t, g in zip(old, gone, strict=True)]
-            columns[place] = pa.array([d[0] for d in done], pa.string())
-            if counts:
-                columns += [pa.array([0 if t is None else t.count("\n") + 1 for t in old], pa.int64()), pa.array([d[1] for d in done], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=result.names)
+            yield finish(list(step.columns[:-2]), step.column(step.num_columns - 1).to_pylist())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in in_steps(batches):
+            step = step.filter(pa.array(~likely.passes(step.column(step.num_columns - 1).to_numpy())))
+            yield finish(list(step.columns[:-1]), [None] * step.num_rows)
 
     result = T.StructType([*rest.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in counts or ())])
-    touched = parted(True)
-    same = touched[id_col].cast("long").eqNullSafe(per_doc["__gone_id"]) & (touched["__tie"] == per_doc["__gone_tie"])
-    met = touched.join(per_doc, same, "left").drop(per_doc["__gone_id"], per_doc["__gone_tie"])
+    some = rest.transform(map_batches, touched, rest.schema)
+    same = some[id_col].cast("long").eqNullSafe(per_doc["__gone_id"]) & (some["__tie"] == per_doc["__gone_tie"])
+    # Merged, not broadcast: the two Python steps are then in different stages and need no workers at one time.
+    met = some.join(per_doc.hint("merge"), same, "left").drop(per_doc["__gone_id"], per_doc["__gone_tie"])
     # Texts without a dropped line are done where they are read.
-    whole = parted(False).withColumn("__gone", F.lit(None).cast("array<int>"))
-    return whole.mapInArrow(cut, result).unionByName(met.mapInArrow(cut, result))
+    return rest.transform(map_batches, whole, result).unionByName(met.transform(map_batches, cut, result))

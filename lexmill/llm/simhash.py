@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps, materialize, utf8_list
+from .common import in_steps, map_batches, materialize, utf8_list
 from .components import connected_components
 
 #: Variants with more fingerprints than this meet at one-bit neighbours.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42, id_col
             yield pa.RecordBatch.from_arrays([step.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
+    return ids.transform(map_batches, run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _segment_variants(fps: DataFrame) -> DataFrame:
