@@ -6,10 +6,16 @@ with very many neighbours is pre-aggregated, and its join is one AQE can split.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_batches, materialize
+
+#: Edges that one task of ``thin_edges`` looks at together.
+FOREST_EDGES = 20_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,6 +31,48 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``pairs`` that join two parts not yet joined by the ones before: the same components, fewer pairs than nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    kept = []
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append((u, v))
+    return kept
+
+
+def thin_edges(edges: DataFrame) -> DataFrame:
+    """(u, v): ``edges`` without those that only close circles within a block of ``FOREST_EDGES``; components stay the same.
+
+    Blocks are cut where neighbouring u's are together, so a dense group shrinks to a few edges a node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int]] = []
+        for batch in batches:
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            while len(held) >= FOREST_EDGES:
+                yield rows(held[:FOREST_EDGES])
+                del held[:FOREST_EDGES]
+        yield rows(held)
+
+    def rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        kept = forest(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    now = materialize(edges.select("u", "v").where("u <> v"), "links")
+    parts = -(-now.count() // FOREST_EDGES) or 1
+    return now.repartitionByRange(parts, "u", "v").transform(map_batches, run, "u long, v long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u, v); component is the smallest reachable node.
 
