@@ -84,20 +84,25 @@ def recurring_lines(texts: DataFrame, depth: int = DEPTH, min_texts: int = MIN_T
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "tie", "line_no", "leaf", "line", "tokens"])
 
     met = materialize(texts.transform(map_batches, lines, f"{_KEY}, line_no int, leaf long, line long, tokens string").join(busy, "leaf", "left_semi"), "lines")
-    # Copies of a text count once.
-    in_text = met.groupBy("leaf", "line", "tie").agg(F.first("tokens").alias("tokens"))
-    kinds = materialize(in_text.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "kinds")
+    # Copies of a text count once, and so do a text's lines of one token at a place or of one template.
+    in_text = materialize(met.groupBy("leaf", "line", "tie").agg(F.first("tokens").alias("tokens")), "kinds")
+    kinds = in_text.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
     spread = kinds.select("leaf", "line", "n", F.posexplode(F.split("tokens", " ")).alias("place", "token"))
-    fixed = spread.groupBy("leaf", "place", "token").agg(F.sum("n").alias("texts")).where(F.col("texts") >= min_texts).where(F.col("token") != WILDCARD.decode()).select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    marked = spread.join(fixed, ["leaf", "place", "token"], "left")
+    place = ["leaf", "place", "token"]
+    # Sums over lines are the count of texts or more; only where they suffice are texts told apart.
+    likely_fixed = materialize(spread.where(F.col("token") != WILDCARD.decode()).groupBy(*place).agg(F.sum("n").alias("sum"), F.max("n").alias("most")).where(F.col("sum") >= min_texts), "places")
+    sure = likely_fixed.where(F.col("most") >= min_texts).select(*place)
+    unsure = spread.select(*place, "line").join(likely_fixed.where(F.col("most") < min_texts), place, "left_semi")
+    counted = unsure.join(in_text.select("leaf", "line", "tie"), ["leaf", "line"]).select(*place, "tie").distinct().groupBy(*place).agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    fixed = sure.unionByName(counted.select(*place)).withColumn("fixed", F.lit(True))
+    marked = spread.join(fixed, place, "left")
     shown = F.when(F.col("fixed"), F.col("token")).otherwise(WILDCARD.decode())
     templates = marked.groupBy("leaf", "line").agg(
         F.xxhash64(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", shown.alias("t")))), lambda s: s.t), " ")).alias("template"),
         F.avg(F.coalesce("fixed", F.lit(False)).cast("int")).alias("share"),
     )
-    lined = templates.where(F.col("share") >= fixed_share).join(kinds.select("leaf", "line", "n"), ["leaf", "line"])
-    lined = materialize(lined, "templates")
-    support = lined.groupBy("leaf", "template").agg(F.sum("n").alias("texts")).where(F.col("texts") >= min_texts)
+    lined = materialize(templates.where(F.col("share") >= fixed_share).select("leaf", "line", "template"), "templates")
+    support = lined.join(in_text.select("leaf", "line", "tie"), ["leaf", "line"]).select("leaf", "template", "tie").distinct().groupBy("leaf", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
     dropped = lined.join(support, ["leaf", "template"], "left_semi").select("leaf", "line")
     return met.join(dropped, ["leaf", "line"], "left_semi").select("doc_id", "tie", "line_no")
 

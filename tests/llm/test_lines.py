@@ -72,3 +72,44 @@ def test_matches_plain_tree(spark):
 
 def test_empty_table(spark):
     assert lines.rewrite(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def by_sets(rows, depth=3, min_texts=8, fixed_share=0.6):
+    """Lines (as masked tokens) to drop, by sets of texts."""
+    leaves = {}
+    for _, t, _ in rows:
+        for line in (t or "").split("\n"):
+            tokens = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in line.split())
+            if tokens:
+                leaves.setdefault((len(tokens), tokens[:depth]), {}).setdefault(tokens, set()).add(t)
+    gone = set()
+    for kinds in leaves.values():
+        places, shapes = {}, {}
+        for tokens, texts in kinds.items():
+            for k, w in enumerate(tokens):
+                places.setdefault((k, w), set()).update(texts)
+        for tokens, texts in kinds.items():
+            fixed = [w != "<*>" and len(places[k, w]) >= min_texts for k, w in enumerate(tokens)]
+            if sum(fixed) >= fixed_share * len(tokens):
+                shape = tuple(w if f else "<*>" for w, f in zip(tokens, fixed, strict=True))
+                shapes.setdefault(shape, []).append((tokens, texts))
+        for members in shapes.values():
+            if len(set().union(*(t for _, t in members))) >= min_texts:
+                gone.update(tokens for tokens, _ in members)
+    return gone
+
+
+def test_a_text_with_many_lines_of_one_shape_counts_once(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("ijklmnop") for _ in range(6)) for _ in range(n))
+    rows = [(600 + i, f"{prose(30)}\nitem of the {prose(1)} {prose(1)} {prose(1)} {prose(1)}\nread more of this here", "en") for i in range(9)]
+    listed = "\n".join(f"item of the red big {prose(1)} list" for _ in range(12))
+    rows += [(650, f"{prose(60)}\n{listed}", "en"), *corpus()]
+    gone = by_sets(rows)
+    got = {r.doc_id: r for r in lines.rewrite(spark.createDataFrame(rows, SCHEMA), counts=("n_lines", "n_dropped")).collect()}
+    assert got[650].n_dropped == 0 and got[650].text == rows[9][1]
+    assert all(got[600 + i].n_dropped == 1 for i in range(9))
+    masked = lambda x: tuple("<*>" if any(c in "0123456789" for c in w) else w for w in x.split())
+    for i, t, _ in rows:
+        if not 100 <= i < 300:
+            assert got[i].text == "\n".join(x for x in t.split("\n") if masked(x) not in gone), i
