@@ -113,3 +113,18 @@ def test_a_text_with_many_lines_of_one_shape_counts_once(spark):
     for i, t, _ in rows:
         if not 100 <= i < 300:
             assert got[i].text == "\n".join(x for x in t.split("\n") if masked(x) not in gone), i
+
+
+def test_pages_of_mostly_boilerplate_are_cleaned(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("ijklmnop") for _ in range(6)) for _ in range(n))
+    head, foot = "Welcome to the page of our club", "All rights are reserved by the club, ask us first"
+    own = [prose(n) for n in (4, 8, 9, 20, 4, 5, 6, 7, 30, 3)]
+    rows = [(i, f"{head}\n{x}\n{foot}", "en") for i, x in enumerate(own)]
+    # Near copies that each lack a line: all lines recur, no two texts have the same.
+    whole = [f"line {w} of the text that is in many copies" for w in "a b c d e f g h i j k l".split()]
+    rows += [(100 + i, "\n".join(x for k, x in enumerate(whole) if k != i), "en") for i in range(12)]
+    got = {r.doc_id: r.text for r in lines.rewrite(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[i] == x for i, x in enumerate(own) if i)
+    assert sorted(x for i in range(100, 112) for x in got[i].split("\n") if x) == whole
