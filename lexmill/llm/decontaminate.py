@@ -87,7 +87,7 @@ class ItemIndex:
         block_max = np.maximum.reduceat(weight, start) if len(rows) else weight
         term_max = np.zeros(size + 1)
         np.maximum.at(term_max, term, weight)
-        return cls(np.array(item_ids), items, terms, np.searchsorted(term, np.arange(size + 1)), item, weight, np.searchsorted(term[start], np.arange(size + 1)), block[start], block_max, term_max, passage_words)
+        return cls(np.array(item_ids, object), items, terms, np.searchsorted(term, np.arange(size + 1)), item, weight, np.searchsorted(term[start], np.arange(size + 1)), block[start], block_max, term_max, passage_words)
 
     def search(self, words: list[str], threshold: float) -> list[tuple[int, int, float]]:
         """(passage start, place of item, score) for every passage of ``words`` and item with score >= threshold."""
@@ -161,10 +161,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
     Words are runs of letters and digits in lower case. Items and texts that are null or
     without a word leak nothing; items with equal texts are each reported; repeated rows are reported
-    again; a row with a null id is reported with it. Other columns of both tables are ignored.
+    again; a row with a null id is reported with it, and so is an item with a null id. Other columns of both tables are ignored.
     """
+    return _leaking(docs, items, threshold, overlap, id_col, text_col).drop("tie")
+
+
+def _leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``find_leaks`` returns, with ``tie``, the hash of the text."""
     spark = docs.sparkSession
-    tests = materialize(items.select("item_id", "text").where("text is not null and item_id is not null"), "items")
+    tests = materialize(items.select("item_id", "text").where("text is not null"), "items")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,8 +177,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
     worded = tests.transform(map_batches, words, "item_id long, words array<string>").where(F.size("words") > 0)
     totals = worded.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.max(F.size("words")).alias("longest")).first()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    result = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, at_word long"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    result = "doc_id long, tie long, item_id long, score double, question_overlap double, answer_overlap double, at_word long"
     if not totals.n:
         return spark.createDataFrame([], result)
     document_counts = worded.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
@@ -193,10 +198,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         def search(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
             index = _index(name, sent)
             for step in in_steps(batches):
-                out = [(i, int(index.item_ids[m[0]]), *m[1:]) for i, t in zip(step.column(0).to_pylist(), step.column(1).to_pylist(), strict=True) for m in index.leaks(t, threshold, overlap)]
+                out = [(i, tie, index.item_ids[m[0]], *m[1:]) for i, t, tie in zip(*(c.to_pylist() for c in step.columns), strict=True) for m in index.leaks(t, threshold, overlap)]
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "at_word"])
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "tie", "item_id", "score", "question_overlap", "answer_overlap", "at_word"])
 
         some = rows.transform(map_batches, search, result, model=True)
         found = some if found is None else found.unionByName(some)
@@ -204,7 +209,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a verified leak."""
-    id_col = options.get("id_col", "doc_id")
-    gone = find_leaks(docs, items, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """``docs`` without the rows that hold a verified leak; rows with a null id go too, clean rows with the id of a leaking one stay."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    gone = _leaking(docs, items, **options).select(F.col("doc_id").alias("__gone_id"), F.col("tie").alias("__gone_tie")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_tie"])
+    return docs.join(gone, same, "left_anti")

@@ -90,3 +90,12 @@ def test_edges(spark):
     assert D.find_leaks(rows.limit(0), tests).count() == 0
     kept = {r.doc_id for r in D.drop_leaking(rows, tests).collect()}
     assert 4 not in kept and {800, 801, 1}.issubset(kept)
+
+
+def test_null_ids_and_rows_with_one_id(spark):
+    docs, items = corpus()
+    rows = spark.createDataFrame([(None, items[3][1]), (None, "a clean text"), (7, items[4][1]), (7, "another clean text"), (8, items[6][1])], DOCS)
+    tests = spark.createDataFrame([*items[:6], (None, items[6][1])], ITEMS)
+    got = [(r.doc_id, r.item_id) for r in D.find_leaks(rows, tests).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3), (7, 4), (8, None)], key=str)
+    assert sorted(r.text for r in D.drop_leaking(rows, tests).collect()) == ["a clean text", "another clean text"]
