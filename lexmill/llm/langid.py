@@ -3,12 +3,13 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's
 probability in a language is the sum over all ways to write it as a sequence of
 pieces, taken by the forward algorithm; expectation-maximisation with the backward
-algorithm fits the pieces. Words are scored in blocks of equal length, all languages at once.
+algorithm fits the pieces. Words are scored whole, in blocks of equal length, all languages at once.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,14 +25,22 @@ from .common import held, in_steps, map_batches, materialize
 SAMPLE_DOCS = 400
 #: Rounds of expectation-maximisation.
 ROUNDS = 3
-#: Longest piece, in characters, that is looked for; longer words are cut into parts of WORD_CHARS.
-PIECE_CHARS, WORD_CHARS = 8, 30
 #: Words remembered by each Python worker.
 MEMO_WORDS = 200_000
-#: Words of one length that are walked through at once.
-BLOCK_WORDS = 4096
+#: Characters of words of one length that are walked through at once.
+BLOCK_CHARS = 32_768
+#: Ends of a word between two rescalings of its forward values.
+RESCALE = 16
 UNDETERMINED = "und"
-_letters = re.compile(r"[^\W\d_]+").findall
+
+
+def _letter_runs() -> re.Pattern:
+    """Runs of letters, by Unicode category: word characters that are neither digits, the low line, nor other numerals (as ½ or Ⅷ)."""
+    numerals = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{re.escape(numerals)}]+")
+
+
+_letters = _letter_runs().findall
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +50,8 @@ class PieceTable:
     BITS = 20
 
     def __init__(self, pieces: list[str]):
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= PIECE_CHARS})
+        self.pieces = sorted(set(pieces) - {""})
+        self.longest = max(map(len, self.pieces), default=1)
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         rng = np.random.default_rng(0)
         while True:
@@ -82,7 +92,7 @@ class PieceTable:
         found: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(size + 1)]
         for start in range(size):
             h = np.zeros(len(words), np.uint64)
-            for end in range(start + 1, min(size, start + PIECE_CHARS) + 1):
+            for end in range(start + 1, min(size, start + self.longest) + 1):
                 h = h * _P + codes[:, end - 1]
                 ids = self.find(h)
                 if end == start + 1 or (ids >= 0).any():
@@ -102,18 +112,26 @@ class LanguageModel:
         return PieceTable(self.pieces)
 
 
-def _forward(found, count: int, chance: np.ndarray) -> np.ndarray:
-    """(end, word, language): probability of each word's beginning, over all segmentations."""
-    alpha = np.zeros((len(found), count, chance.shape[1]))
-    alpha[0] = 1
+def _forward(found, count: int, chance: np.ndarray, longest: int) -> np.ndarray:
+    """(word, language) log probabilities over all segmentations; values within a piece's reach are rescaled on the way, so words may be of any length."""
+    alpha = [np.ones((count, chance.shape[1]))]
+    shift = np.zeros((count, chance.shape[1]))
     for end in range(1, len(found)):
+        now = np.zeros((count, chance.shape[1]))
         for start, ids in found[end]:
             # Number -1 is the last row: an uncovered character; longer non-pieces have no chance.
             step = chance[ids]
             if end - start > 1:
                 step = step * (ids >= 0)[:, None]
-            alpha[end] += alpha[start] * step
-    return alpha
+            now += alpha[start] * step
+        alpha.append(now)
+        if end >= longest:
+            alpha[end - longest] = None
+        if end % RESCALE == 0:
+            for k in range(max(0, end - longest + 1), end + 1):
+                alpha[k] = alpha[k] / now
+            shift += np.log(now)
+    return np.log(alpha[-1]) + shift
 
 
 def _grouped(words: list[str]) -> dict[int, list[int]]:
@@ -123,47 +141,44 @@ def _grouped(words: list[str]) -> dict[int, list[int]]:
     return groups
 
 
+def _blocks(words: list[str]) -> Iterator[tuple[int, list[int]]]:
+    """(length, places) of words of equal length, BLOCK_CHARS characters or one word at a time."""
+    for size, members in _grouped(words).items():
+        step = max(1, BLOCK_CHARS // size)
+        for at in range(0, len(members), step):
+            yield size, members[at : at + step]
+
+
 def score_words(words: list[str], table: PieceTable, chance: np.ndarray) -> np.ndarray:
-    """(word, language) log probabilities; a word over WORD_CHARS is the product of its parts."""
+    """(word, language) log probabilities of whole words."""
     out = np.zeros((len(words), chance.shape[1]))
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for at in range(0, len(w), WORD_CHARS):
-            parts.append(w[at : at + WORD_CHARS])
-            owner.append(i)
-    for members in _grouped(parts).values():
-        for at in range(0, len(members), BLOCK_WORDS):
-            some = members[at : at + BLOCK_WORDS]
-            alpha = _forward(table.matches([parts[i] for i in some]), len(some), chance)
-            np.add.at(out, [owner[i] for i in some], np.log(np.maximum(alpha[-1], 1e-300)))
+    for _, some in _blocks(words):
+        out[some] = _forward(table.matches([words[i] for i in some]), len(some), chance, table.longest)
     return out
 
 
 def _expected(words: list[str], langs: np.ndarray, counts: np.ndarray, table: PieceTable, chance: np.ndarray) -> np.ndarray:
-    """(piece, language) expected uses of each piece in words that occur ``counts`` times in language ``langs``."""
+    """(piece, language) expected uses of each piece in words that occur ``counts`` times in language ``langs``, by forward and backward sums of logarithms."""
     total = np.zeros_like(chance)
-    for size, members in _grouped(words).items():
-        if size > WORD_CHARS:
-            continue
-        for at in range(0, len(members), BLOCK_WORDS):
-            some = np.array(members[at : at + BLOCK_WORDS])
-            found = table.matches([words[i] for i in some])
-            lang = langs[some]
-            step_of = lambda ids, n, lang=lang: chance[ids, lang] * ((ids >= 0) | (n == 1))
-            alpha = np.zeros((size + 1, len(some)))
-            beta = np.zeros((size + 1, len(some)))
-            alpha[0] = beta[size] = 1
-            for end in range(1, size + 1):
-                for start, ids in found[end]:
-                    alpha[end] += alpha[start] * step_of(ids, end - start)
-            for end in range(size, 0, -1):
-                for start, ids in found[end]:
-                    beta[start] += beta[end] * step_of(ids, end - start)
-            norm = counts[some] / np.maximum(alpha[size], 1e-300)
-            for end in range(1, size + 1):
-                for start, ids in found[end]:
-                    uses = alpha[start] * step_of(ids, end - start) * beta[end] * norm
-                    total += np.bincount(ids % len(chance) * total.shape[1] + lang, uses, total.size).reshape(total.shape)
+    log = np.log(np.maximum(chance, 1e-300))
+    for size, some in _blocks(words):
+        some = np.array(some)
+        found = table.matches([words[i] for i in some])
+        lang = langs[some]
+        step_of = lambda ids, n, lang=lang: np.where((ids >= 0) | (n == 1), log[ids, lang], -np.inf)
+        alpha = np.full((size + 1, len(some)), -np.inf)
+        beta = np.full((size + 1, len(some)), -np.inf)
+        alpha[0] = beta[size] = 0
+        for end in range(1, size + 1):
+            for start, ids in found[end]:
+                alpha[end] = np.logaddexp(alpha[end], alpha[start] + step_of(ids, end - start))
+        for end in range(size, 0, -1):
+            for start, ids in found[end]:
+                beta[start] = np.logaddexp(beta[start], beta[end] + step_of(ids, end - start))
+        for end in range(1, size + 1):
+            for start, ids in found[end]:
+                uses = counts[some] * np.exp(alpha[start] + step_of(ids, end - start) + beta[end] - alpha[size])
+                total += np.bincount(ids % len(chance) * total.shape[1] + lang, uses, total.size).reshape(total.shape)
     return total
 
 

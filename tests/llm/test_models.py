@@ -34,9 +34,44 @@ def test_forward_sums_all_segmentations():
     words = ["ab", "aba", "abab", "bzab", "z", "babab", "é" * 3]
     got = langid.score_words(words, table, chance)
     assert np.allclose(got, [[math.log(total(w, k)) for k in range(2)] for w in words])
-    long = "ab" * 40
-    parts = langid.score_words([long[:30], long[30:60], long[60:]], table, chance).sum(0)
-    assert np.allclose(langid.score_words([long], table, chance)[0], parts)
+    for word in ("ab" * 40, "abbaz" * 300, "abababab" * 5):
+        # The same sum by position, in logarithms.
+        for k in range(2):
+            sums = [0.0]
+            for end in range(1, len(word) + 1):
+                steps = [sums[start] + math.log(chance[index.get(word[start:end], -1), k]) for start in range(max(0, end - 3), end) if word[start:end] in index or end - start == 1]
+                top = max(steps)
+                sums.append(top + math.log(sum(math.exp(x - top) for x in steps)))
+            assert math.isclose(langid.score_words([word], table, chance)[0, k], sums[-1], rel_tol=1e-9)
+
+
+def test_expected_uses_match_all_segmentations():
+    pieces = ["a", "b", "ab", "ba", "aba", "ababababa"]
+    table = langid.PieceTable(pieces)
+    chance = np.random.default_rng(2).random((len(table.pieces) + 1, 2))
+    index = {p: i for i, p in enumerate(table.pieces)}
+    words, langs, counts = ["ab", "abab", "zab", "ababababab", "ba"], np.array([0, 1, 1, 0, 0]), np.array([3.0, 1, 2, 5, 1])
+
+    def cuts(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in index or n == 1:
+                yield from ([index.get(w[:n], len(index)), *rest] for rest in cuts(w[n:]))
+
+    want = np.zeros_like(chance)
+    for w, lang, n in zip(words, langs, counts, strict=True):
+        ways = [(c, math.prod(chance[i, lang] for i in c)) for c in cuts(w)]
+        whole = sum(p for _, p in ways)
+        for c, p in ways:
+            for i in c:
+                want[i, lang] += n * p / whole
+    assert np.allclose(langid._expected(words, langs, counts, table, chance), want)
+
+
+def test_only_letters_make_words():
+    assert langid._letters("½ ² Ⅷ _ 12 ٣ ①") == []
+    assert langid._letters("a½b Ⅷx naïve ßé_ж") == ["a", "b", "x", "naïve", "ßé", "ж"]
 
 
 def test_language_accuracy_and_edges(spark):
@@ -44,10 +79,11 @@ def test_language_accuracy_and_edges(spark):
     model = langid.fit(train, PIECES, sample_docs=40)
     assert model.languages == ["de", "en", "fr"]
     held = languages(60, seed=9)
-    test = spark.createDataFrame([*held, (700, None, "en"), (701, "", "en"), (702, "12 -- 3!", "en"), (703, "ж", None)], "doc_id long, text string, lang string").selectExpr("*", "1 as lang_score")
+    test = spark.createDataFrame([*held, (700, None, "en"), (701, "", "en"), (702, "12 -- 3!", "en"), (703, "ж", None), (704, "½ ² Ⅷ", "fr"), (705, "the" * 2000, "en")], "doc_id long, text string, lang string").selectExpr("*", "1 as lang_score")
     got = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.predict(test, model).collect()}
     assert all(got[i][0] == lang for i, _, lang in held)
-    assert got[700] == got[701] == got[702] == ("und", 0.0)
+    assert got[700] == got[701] == got[702] == got[704] == ("und", 0.0)
+    assert got[705][0] in model.languages and 0 <= got[705][1] <= 1
     assert got[703][0] in model.languages and 0 <= got[703][1] <= 1
     none = langid.fit(train.limit(0), PIECES)
     assert {r.lang_pred for r in langid.predict(test, none).collect()} == {"und"}
