@@ -19,9 +19,11 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``. Where that is unset, a session on one machine takes a local one; a cluster raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,7 +37,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that a hot-key join broadcasts, at most.
+HOT_KEYS = 10_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int | None = None, least: int = 500) -> DataFrame:
+    """``rows`` joined with ``table``, of one row a key, whose column ``weight`` says how many of ``rows`` each key has.
+
+    Keys of more rows than a ten-thousandth of all are at most HOT_KEYS by count; they are broadcast, so their rows stay
+    where they are. All others are joined by a shuffle. Both inputs are read twice. ``weight`` is dropped.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    limit = max(least, -(-total // HOT_KEYS))
+    hot = F.broadcast(table.where(F.col(weight) > limit).drop(weight))
+    cold = table.where(F.col(weight) <= limit).drop(weight)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
 
 
 def in_steps(batches: Iterable[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ from .components import connected_components
 
 #: Variants with more fingerprints than this meet at one-bit neighbours.
 PAIR_LIMIT = 48
+#: Fingerprints that one task makes variants of.
+TASK_PRINTS = 20_000
 _VOTE_ROWS = 255 * 128
 
 
@@ -84,7 +86,9 @@ def link_fingerprints(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame
     Every returned pair is itself within two bits. Each pair is met once: in a
     variant where the open bits differ, or, with equal segments, under place 0.
     """
-    variants = _segment_variants(fps.select("fp"))
+    prints = materialize(fps.select("fp"), "prints")
+    # Each row becomes 64, so rows are dealt out by number before and not left to the size they have now.
+    variants = _segment_variants(prints.repartition(-(-prints.count() // TASK_PRINTS) or 1, "fp"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(variants.join(shared, "key"), "variants")
     few = met.where(F.col("n") <= pair_limit)
