@@ -32,13 +32,13 @@ def clustered(rng, n, d):
 
 def test_matches_brute_force(spark):
     rng = np.random.default_rng(4)
-    for d in (64, 12, 5):
+    for d in (64, 12, 5, 3, 2, 1):
         x = clustered(rng, 700, d).astype(np.float32)
         rows = [(i * 3 % 701, [float(v) for v in row], i % 3) for i, row in enumerate(x)]
         rows += [(900, None, 1), (901, [0.0] * d, 1), (902, [None] + [1.0] * (d - 1), 0), (903, [float("nan")] * d, 0), (904, [float("inf")] * d, 0), (905, [], 0)]
         frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as n_links", "2 as strip")
-        for strip_rows in (90, 4096):
-            got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.link_embeddings(frame, strip_rows=strip_rows).collect()}
+        for strip_rows, group_rows in ((90, 180), (4096, 65_536)) if d > 3 else ((200, 400),):
+            got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.link_embeddings(frame, strip_rows=strip_rows, group_rows=group_rows).collect()}
             assert got == plain(rows)
 
 
@@ -50,6 +50,32 @@ def test_one_dense_group(spark):
     assert got == plain(rows)
 
 
+def test_repeated_rows_and_lengths(spark):
+    """Rows repeat, share an id or have another length; each of these sets is a group of its own."""
+    a, near, far = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a, 0), (5, a, 0), (7, near, 0), (8, far, 0), (9, [1.0, 0.0], 0), (4, [2.0, 0.1], 0), (3, [-0.0, 1.0], 0), (2, [0.0, 1.0], 0), (6, [4.0], 0), (8, near, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.link_embeddings(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(2, 1, 2, True), (3, 1, 2, False), (4, 1, 4, True), (5, 3, 5, True), (5, 3, 5, True), (6, 0, 6, True), (7, 3, 5, False), (8, 0, 8, True), (8, 3, 5, False), (9, 1, 4, False)]
+    copies = spark.range(3000).selectExpr("id as vec_id", "array(1.0f, 2.0f) as embedding", "1 as label")
+    assert {(r.n_links, r.component_id) for r in embeddings.link_embeddings(copies).collect()} == {(2999, 0)}
+
+
+def test_strips_apart_are_not_compared(spark):
+    """Clusters far from each other: most pairs of strips are never copied together."""
+    rng = np.random.default_rng(6)
+    axes = np.eye(16)
+    boxes = [(axes[k] * 0.95, axes[k] * 1.05) for k in range(8)]
+    lows, highs = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+    assert [int((embeddings._apart(lows[k], highs[k], lows, highs) <= 0.2).sum()) for k in range(8)] == [1] * 8
+    x = np.repeat(np.eye(16)[:8], 100, 0) + rng.normal(size=(800, 16)) * 0.02
+    table = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], SCHEMA)
+    classes = embeddings._valid(table, "vec_id", "embedding").selectExpr("vec_id as id", "1L as weight", "v")
+    packed = embeddings._deal(classes, 16, 800, embeddings.principal_axes(classes, 16), 100).collect()
+    lows, highs = (np.array([r[c] for r in packed]) for c in ("low", "high"))
+    met = sum(int((embeddings._apart(a, b, lows, highs) <= 0.2).sum()) for a, b in zip(lows, highs, strict=True))
+    assert met < len(packed) ** 2 / 2
+
+
 def test_empty_and_null(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (3, None, None)], SCHEMA)
     assert sorted((r.vec_id or 0, r.n_links) for r in embeddings.link_embeddings(frame).collect()) == [(0, 0), (3, 0)]
