@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -32,6 +31,13 @@ def excerpt(text: Column, chars: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, "\\s+", " ")), 1, chars)
 
 
+def compact_excerpt(text: Column, chars: int) -> Column:
+    """White space collapsed; what is longer than ``chars`` characters is cut there and back to the last space before, if there is one."""
+    flat = F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
+    head = F.substring(flat, 1, chars)
+    return F.when(F.length(flat) <= chars, flat).otherwise(F.regexp_replace(head, "(?s)(.) [^ ]*$", "$1"))
+
+
 def normalised(text: Column) -> Column:
     """Lower-case letters, digits and CJK characters only."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9\\u4e00-\\u9fff]", "")
@@ -56,6 +62,13 @@ def iso_date(text: Column) -> Column:
     return F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
 
 
+def digest_embedding(text: Column, size: int) -> Column:
+    """``size`` numbers of norm one: the bytes of the text's SHA-256, over and over, from -1 to 1."""
+    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(F.sha2(text, 256), (2 * (i % 32) + 1).cast("int"), F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(raw, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+
+
 def backoff_seconds(attempts: Column) -> Column:
     """Doubling wait from a minute, an hour at most."""
     return F.least(F.lit(3600), (60 * F.pow(F.lit(2), F.least(attempts, F.lit(6)))).cast("int")).cast("long")
@@ -79,30 +92,35 @@ def token_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return summed.select(id_col, *[F.when(F.col("n") > 0, pack(p)).otherwise(F.lit(0)).cast("long").alias(name) for p, name in ((0, "hi"), (1, "lo"))])
 
 
-_spaces, _breaks = re.compile(r"[\t 　\xa0]+"), re.compile(r"\r\n?")
+#: Lines that are boilerplate wherever they stand.
+BOILERPLATE = ("^打印本页$", "^关闭窗口$", "^责任编辑[:：].+$", "^扫一扫在手机打开当前页$")
+#: What ends a line, and what is white space at a line's ends, in Unicode.
+_BREAK, _EDGE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+
 
+@F.pandas_udf(StringType())
+def normal_form(text: pd.Series) -> pd.Series:
+    """Unicode compatibility form NFKC, which has no built-in function."""
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-def clean(text: str | None, boilerplate: re.Pattern | None = None) -> str | None:
-    """NFKC, line feeds, single spaces, no boilerplate lines, single blank lines, repeated paragraphs once."""
-    if text is None:
-        return None
-    rows = (_spaces.sub(" ", x).strip() for x in _breaks.sub("\n", unicodedata.normalize("NFKC", text)).split("\n"))
-    kept: list[str] = []
-    seen: set[str] = set()
-    for row in rows:
-        if not row:
-            if kept and kept[-1]:
-                kept.append("")
-            continue
-        if boilerplate and boilerplate.search(row):
-            continue
-        mark = "".join(row.split())
-        if mark not in seen:
-            seen.add(mark)
-            kept.append(row)
-    return "\n".join(kept).strip()
 
+def unique_paragraphs(text: Column) -> Column:
+    """Paragraphs, parted by blank lines, each kept where it comes first; white space makes no difference."""
+    parts = F.filter(F.transform(F.split(text, "(?U)\\n\\s*\\n"), lambda p: F.regexp_replace(p, _EDGE, "")), lambda p: p != "")
+    marks = F.transform(parts, lambda p: F.regexp_replace(p, "(?U)\\s+", ""))
+    # The place of a mark's first occurrence in the list of different marks says which paragraph stays.
+    firsts = F.transform(F.array_distinct(marks), lambda m: F.array_position(marks, m))
+    return F.array_join(F.transform(firsts, lambda i: F.element_at(parts, i.cast("int"))), "\n\n")
 
-@F.pandas_udf(StringType())
-def clean_text(text: pd.Series) -> pd.Series:
-    return text.map(clean, na_action="ignore")
+
+def clean_lines(text: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Column:
+    """Single spaces, no boilerplate lines, paragraphs once, of text in normal form."""
+    rows = F.transform(F.split(text, _BREAK), lambda x: F.regexp_replace(F.regexp_replace(x, "[\\t \\u3000]+", " "), _EDGE, ""))
+    kept = F.filter(rows, lambda x: ~x.rlike("|".join(f"(?:{b})" for b in boilerplate))) if boilerplate else rows
+    return unique_paragraphs(F.array_join(kept, "\n"))
+
+
+def clean_texts(docs: DataFrame, text_col: str, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
+    """``docs`` with ``text_col`` in NFKC and cleaned by ``clean_lines``; a null text stays null."""
+    normal = docs.withColumn(text_col, normal_form(text_col))
+    return normal.withColumn(text_col, clean_lines(F.col(text_col), boilerplate))

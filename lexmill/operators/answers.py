@@ -8,27 +8,75 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Intents by words of the question.
-COUNT_WORDS = "how many|number of|count of|多少|数量|几个"
-SEMANTIC_WORDS = "why|how to|explain|what is|如何|为什么|什么是|说明"
-FACT_VALUE_WORDS = "amount|price|percent|金额|比例|标准"
+_things = "(?:政策|文件|文档|通知|文章|资料|材料|记录|来源|站点)"
+COUNT_INTENT = (
+    r"(?:有|共有|共|发布了?|收录|检索到)?\s*(?:多少|几)\s*(?:份|篇|条|个|项)?\s*" + _things,
+    _things + r"\s*(?:共有|有)?\s*(?:多少|几)\s*(?:份|篇|个)?\s*[?？。!！]*$",
+    _things + r"\s*(?:总数|数量|统计)",
+    r"(?:count|how many|total)\s+(?:polic(?:y|ies)|documents?|articles?|records?|sources?)",
+)
+FACT_VALUE_WORDS = "金额|罚款|比例|百分比|占比|日期|时间|期限|额度|标准|价格|费用|利率|补助|资助|奖励|amount|percent(?:age)?|date|time|deadline|price|fee|rate"
+SEMANTIC_WORDS = "总结|概括|共同|措施|要求|原因|影响|summari[sz]e|common|explain"
+#: Years that bound a question, and regions by the names they go by, the first of which counts.
+AFTER_YEAR = r"(?i)(?:(?:after|since|晚于)\s*(20[0-9]{2})|(20[0-9]{2})\s*(?:之后|以来|以后))"
+BEFORE_YEAR = r"(?i)(?:(?:before|截至|早于)\s*(20[0-9]{2})|(20[0-9]{2})\s*(?:之前|以前))"
+REGIONS = {"四川": "四川省", "北京": "北京", "上海": "上海", "广东": "广东", "浙江": "浙江", "江苏": "江苏", "sichuan": "四川省", "beijing": "北京", "shanghai": "上海"}
+#: The filters that a search may be given.
+FILTERS = ("document_id", "source_id", "region", "city", "document_type", "issuing_authority", "publish_date_gte", "publish_date_lte", "document_version")
 MIN_OVERLAP = 0.2
 
 
+def _year(query: Column, pattern: str) -> Column:
+    found = [F.nullif(F.regexp_extract(query, pattern, k), F.lit("")) for k in (1, 2)]
+    return F.coalesce(*found).try_cast("int")
+
+
 def inferred_filters(query: Column) -> Column:
-    """Date bounds that a question names: after a year, or before one."""
-    after = F.regexp_extract(F.lower(query), "(?:after|since)\\s+(20[0-9]{2})", 1)
-    before = F.regexp_extract(F.lower(query), "(?:before|until)\\s+(20[0-9]{2})", 1)
-    year = lambda y: F.expr("try_cast(NULL as int)") if y is None else y.try_cast("int")
-    return F.struct(
-        F.when(after != "", F.make_date(year(after) + 1, F.lit(1), F.lit(1))).alias("publish_date_gte"),
-        F.when(before != "", F.make_date(year(before) - 1, F.lit(12), F.lit(31))).alias("publish_date_lte"),
-    )
+    """struct(publish_date_gte, publish_date_lte, region) that a question names; null for what it does not."""
+    flat, low = F.trim(F.regexp_replace(query, "(?U)\\s+", " ")), F.lower(query)
+    after, before = _year(flat, AFTER_YEAR), _year(flat, BEFORE_YEAR)
+    region = F.coalesce(*[F.when(F.contains(low, F.lit(name)), there) for name, there in REGIONS.items()])
+    return F.struct(F.make_date(after + 1, F.lit(1), F.lit(1)).alias("publish_date_gte"), F.make_date(before - 1, F.lit(12), F.lit(31)).alias("publish_date_lte"), region.alias("region"))
+
+
+def checked_filters(given: dict) -> dict:
+    """The filters as they are; any other name than FILTERS is an error."""
+    if unknown := sorted(set(given) - set(FILTERS)):
+        raise ValueError(f"unsupported metadata filters: {unknown}")
+    return given
+
+
+def applied_filters(query: Column, given: dict | None = None) -> Column:
+    """``inferred_filters`` with what was ``given`` in their place."""
+    own, found = checked_filters(given or {}), inferred_filters(query)
+    put = {**{k: found[k] for k in ("publish_date_gte", "publish_date_lte", "region")}, **{k: F.lit(v) for k, v in own.items()}}
+    return F.struct(*[v.alias(k) for k, v in put.items()])
+
+
+def structured_filter(given: dict) -> Column:
+    """A condition on document columns; date bounds are on publish_date, a null never meets a condition."""
+    bounds = {"publish_date_gte": lambda v: F.col("publish_date") >= F.lit(v).cast("date"), "publish_date_lte": lambda v: F.col("publish_date") <= F.lit(v).cast("date")}
+    met = F.lit(True)
+    for name, value in checked_filters(given).items():
+        met = met & (bounds[name](value) if name in bounds else F.col(name) == F.lit(value))
+    return met
+
+
+def payload_filter(payload: Column, given: dict) -> Column:
+    """A condition on a map of payload strings: bounds compare as strings, a missing entry meets nothing."""
+    met = F.lit(True)
+    for name, value in given.items():
+        field = F.try_element_at(payload, F.lit(name.removesuffix("_gte").removesuffix("_lte")))
+        said = field >= str(value) if name.endswith("_gte") else field <= str(value) if name.endswith("_lte") else field == str(value)
+        met = met & F.coalesce(said, F.lit(False))
+    return met
 
 
 def route(query: Column, has_filters: Column) -> Column:
-    low = F.lower(query)
-    aggregate = low.rlike(COUNT_WORDS) & ~low.rlike(FACT_VALUE_WORDS)
-    semantic = low.rlike(SEMANTIC_WORDS)
+    """sql for counting questions, sql+rag for explaining ones over a filtered or counted set, rag for all others."""
+    said = F.trim(query)
+    aggregate = said.rlike("(?i)" + "|".join(f"(?:{p})" for p in COUNT_INTENT)) & ~said.rlike(f"(?i){FACT_VALUE_WORDS}")
+    semantic = said.rlike(f"(?i){SEMANTIC_WORDS}")
     return F.when(aggregate & ~semantic, "sql").when(semantic & (has_filters | aggregate), "sql+rag").otherwise("rag")
 
 
@@ -50,20 +98,3 @@ def grounded_answers(hits: DataFrame, queries: DataFrame, docs: DataFrame, quote
         F.coalesce(F.array_join(F.transform("cited", lambda c: c["id"].cast("string")), ","), F.lit("")).alias("citations"),
         F.coalesce(F.array_join(F.transform("cited", lambda c: c.quote), "\n"), F.lit("")).alias("answer"),
     )
-
-
-def root_cause(cases: DataFrame) -> DataFrame:
-    """``cases`` with the first stage that lost the answer; flags are booleans, the first match wins."""
-    c = F.col
-    ladder = (
-        F.when(c("evaluation_failed"), "EVALUATION_ERROR")
-        .when(c("should_refuse") & c("refused"), "CORRECT_REFUSAL")
-        .when(c("should_refuse"), "OTHER")
-        .when(~c("in_retrieved"), "RETRIEVAL_MISS")
-        .when(~c("in_reranked"), "RERANK_DROPPED")
-        .when(~c("in_context"), "CONTEXT_PACKING")
-        .when(c("refused"), "EVIDENCE_GATE_FALSE_NEGATIVE")
-        .when(~c("cited"), "CITATION_EXPECTATION_MISMATCH")
-        .otherwise("NO_FAILURE")
-    )
-    return cases.withColumn("root_cause", ladder)

@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rule_filter(length: Column, title: Column, content: Column, least: int = 200, good_title: str = "(?i)\\b(the|of)\\b", good_content: str = "(?i)and", penalties: dict[str, float] | None = None, accept: float = 0.6, reject: float = 0.3) -> Column:
-    """struct(score, decision, reasons): a hard minimum, then weighted title and content rules less penalties."""
-    penalties = penalties or {"###": 0.3, "licensed under": 0.2}
-    score = F.lit(0.2) + F.when(title.rlike(good_title), 0.4).otherwise(0.0) + F.when(content.rlike(good_content), 0.4).otherwise(0.0)
-    for mark, weight in penalties.items():
-        score = score - F.when(F.contains(F.lower(content), F.lit(mark)), weight).otherwise(0.0)
-    score = F.round(F.when(length < least, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))), 4)
-    decision = F.when(score <= reject, "reject").when(score < accept, "review").otherwise("accept")
-    reasons = F.array_compact(F.array(F.when(length < least, "too_short"), *[F.when(F.contains(F.lower(content), F.lit(m)), F.lit(f"penalty:{m}")) for m in penalties]))
+@dataclass(frozen=True)
+class Rules:
+    """Thresholds and patterns of the rule filter; the fixed defaults of the domain."""
+
+    hard_minimum: int = 40
+    soft_minimum: int = 180
+    accept: float = 0.65
+    reject: float = 0.25
+    bad_titles: tuple[str, ...] = ("test page|page not found",)
+    bad_contents: tuple[str, ...] = ("access denied|captcha required",)
+    keywords: tuple[str, ...] = ("policy", "regulation", "notice", "support", "application", "\\u653f\\u7b56", "\\u901a\\u77e5", "\\u529e\\u6cd5")
+    short_penalty: float = 0.35
+    keyword_penalty: float = 0.25
+    unofficial_penalty: float = 0.1
+
+
+def rule_filter(title: Column, content: Column, official: Column, rules: Rules = Rules()) -> Column:
+    """struct(score, decision, reasons): rejected outright when too short or by a pattern, else one less penalties."""
+    size = F.length(F.regexp_replace(content, "(?U)^\\s+|\\s+$", ""))
+    matches = lambda text, patterns: text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    outright = F.when(size < rules.hard_minimum, "content_too_short_hard").when(matches(title, rules.bad_titles), "title_reject_pattern").when(matches(content, rules.bad_contents), "content_reject_pattern")
+    whole = F.lower(F.concat(title, F.lit("\n"), content))
+    off_topic = ~F.exists(F.array(*[F.lit(k.lower()) for k in rules.keywords]), lambda k: F.contains(whole, k)) if rules.keywords else F.lit(False)
+    faults = ((size < rules.soft_minimum, rules.short_penalty, "content_too_short_soft"), (off_topic, rules.keyword_penalty, "relevance_keyword_missing"), (~official, rules.unofficial_penalty, "source_not_official"))
+    less = sum((F.when(there, weight).otherwise(0.0) for there, weight, _ in faults), F.lit(0.0))
+    score = F.when(outright.isNotNull(), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - less)), 4))
+    decision = F.when(outright.isNotNull() | (score <= rules.reject), "reject").when(score < rules.accept, "review").otherwise("accept")
+    reasons = F.when(outright.isNotNull(), F.array(outright)).otherwise(F.array_compact(F.array(*[F.when(there, name) for there, _, name in faults])))
     return F.struct(score.alias("score"), decision.alias("decision"), F.array_join(reasons, ",").alias("reasons"))
 
 

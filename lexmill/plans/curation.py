@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import web
+from ..functions import html, web
 from ..operators import quality
 from ..registry import query
 from ..sources import tables
@@ -57,17 +57,21 @@ def authoritative_copies(spark, sf):
     return quality.authoritative(copies, "content_hash")
 
 
+_hard, _title, _body = "len(trim(content)) < 40", "regexp_matches(title, '(?i)test page|page not found')", "regexp_matches(content, '(?i)access denied|captcha required')"
+_soft, _topic = "len(trim(content)) < 180", "NOT regexp_matches(lower(title || chr(10) || content), 'policy|regulation|notice|support|application')"
+
+
 @query(
     "rule_filter",
-    f"""WITH {DOCS}, s AS (SELECT doc_id, word_count, content, 0.2::DOUBLE + CASE WHEN regexp_matches(title, '(?i)\\b(the|of)\\b') THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(content, '(?i)and') THEN 0.4 ELSE 0 END
-  - CASE WHEN contains(lower(content), '###') THEN 0.3 ELSE 0 END - CASE WHEN contains(lower(content), 'licensed under') THEN 0.2 ELSE 0 END AS raw FROM docs),
- r AS (SELECT *, round(CASE WHEN word_count < 200 THEN 0 ELSE greatest(0, least(1, raw)) END::DOUBLE, 4) AS score FROM s)
- SELECT doc_id, score, CASE WHEN score <= 0.3 THEN 'reject' WHEN score < 0.6 THEN 'review' ELSE 'accept' END AS decision,
-  array_to_string(list_filter([CASE WHEN word_count < 200 THEN 'too_short' END, CASE WHEN contains(lower(content), '###') THEN 'penalty:###' END, CASE WHEN contains(lower(content), 'licensed under') THEN 'penalty:licensed under' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r""",
+    f"""WITH {DOCS}, s AS (SELECT doc_id, content, title, coalesce(l.quality = 1 AND l.toxic = 0, false) AS official, {_hard} AS hard, {_title} AS bad_title, {_body} AS bad_body, {_soft} AS soft, {_topic} AS topic FROM docs LEFT JOIN labels l USING (doc_id)),
+ r AS (SELECT *, hard OR bad_title OR bad_body AS out, CASE WHEN hard OR bad_title OR bad_body THEN 0.0::DOUBLE ELSE round(1.0::DOUBLE - CASE WHEN soft THEN 0.35 ELSE 0 END - CASE WHEN topic THEN 0.25 ELSE 0 END - CASE WHEN official THEN 0 ELSE 0.1 END, 4) END AS score FROM s)
+ SELECT doc_id, score, CASE WHEN out OR score <= 0.25 THEN 'reject' WHEN score < 0.65 THEN 'review' ELSE 'accept' END AS decision,
+  CASE WHEN hard THEN 'content_too_short_hard' WHEN bad_title THEN 'title_reject_pattern' WHEN bad_body THEN 'content_reject_pattern' ELSE array_to_string(list_filter([CASE WHEN soft THEN 'content_too_short_soft' END, CASE WHEN topic THEN 'relevance_keyword_missing' END, CASE WHEN NOT official THEN 'source_not_official' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM r""",
 )
 def rule_filter(spark, sf):
-    d = tables.documents(spark, sf)
-    return d.select("doc_id", quality.rule_filter(F.col("word_count"), F.col("title"), F.col("content")).alias("r")).select("doc_id", "r.*")
+    d, labels = tables.documents(spark, sf), tables.read(spark, sf, "labels")
+    official = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    return d.join(labels, "doc_id", "left").select("doc_id", quality.rule_filter(F.col("title"), F.col("content"), official).alias("r")).select("doc_id", "r.*")
 
 
 @query(
@@ -97,14 +101,25 @@ def text_scalars(spark, sf):
 
 @query("clean_texts")
 def clean_texts(spark, sf):
-    return tables.documents(spark, sf).select("doc_id", T.clean_text("content").alias("cleaned"))
+    return T.clean_texts(tables.documents(spark, sf).select("doc_id", F.col("content").alias("cleaned")), "cleaned")
+
+
+@query(
+    "unique_paragraphs",
+    """WITH p AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n') AS parts FROM documents)),
+ k AS (SELECT doc_id, place, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part, row_number() OVER (PARTITION BY doc_id, regexp_replace(part, '\\s+', '', 'g') ORDER BY place) AS nth FROM p WHERE regexp_replace(part, '\\s+', '', 'g') <> '')
+ SELECT d.doc_id, count(place) FILTER (nth = 1) AS paragraphs, sha256(coalesce(string_agg(part, chr(10) || chr(10) ORDER BY place) FILTER (nth = 1), '')) AS digest FROM documents d LEFT JOIN k USING (doc_id) GROUP BY 1""",
+)
+def unique_paragraphs(spark, sf):
+    d = tables.documents(spark, sf).select("doc_id", T.unique_paragraphs(F.col("content")).alias("t"))
+    return d.select("doc_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n\n"))).cast("long").alias("paragraphs"), F.sha2("t", 256).alias("digest"))
 
 
 @query("parsed_pages")
 def parsed_pages(spark, sf):
-    p = tables.read(spark, sf, "pages").select("page_id", web.canonical_url("url").alias("url"), web.parse_html("html").alias("a"))
-    tables_md = F.transform("a.tables", lambda t: web.markdown_table(t.headers, t.rows))
-    return p.select("page_id", "url", F.length("a.text").alias("chars"), F.size("a.sections").alias("n_sections"), F.size("a.links").alias("n_links"), F.array_join(tables_md, "\n\n").alias("tables"))
+    p = tables.read(spark, sf, "pages").select("page_id", "url", html.parse_html("html").alias("a"))
+    tables_md = F.transform("a.tables", lambda t: t.markdown)
+    return p.select("page_id", web.canonical_url(F.col("url")).alias("url"), F.length("a.text").alias("chars"), F.size("a.sections").alias("n_sections"), F.size("a.links").alias("n_links"), F.array_join(tables_md, "\n\n").alias("tables"))
 
 
 @query("page_links", "SELECT page_id, count(*) AS links, count(DISTINCT link) AS distinct_links FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) GROUP BY 1")
@@ -114,19 +129,26 @@ def page_links(spark, sf):
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("link").alias("distinct_links"))
 
 
-@query("canonical_pages")
+_url = "^\\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?"
+CANONICAL = f"""u AS (SELECT page_id, html, lower(regexp_extract(url, '{_url}', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '{_url}', 2)), ':(80|443)?$', '') AS host, regexp_replace(regexp_extract(url, '{_url}', 3), '/+', '/', 'g') AS path, regexp_extract(url, '{_url}', 4) AS q FROM pages),
+ canonical AS (SELECT page_id, html, scheme, host, path, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_sort(kept), '&') END AS url
+  FROM (SELECT *, list_filter(list_transform(string_split(q, '&'), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), lambda x: x <> '=' AND NOT regexp_matches(lower(x), '^(utm_|spm=|from=|source=)')) AS kept FROM u))"""
+_paths = ", ".join(f"'{x}'" for x in web.ARTICLE_PATHS)
+_score = f"least(6, 2 * len(list_filter([{_paths}], lambda t: contains(lower(path), t)))) + CASE WHEN regexp_matches(lower(path), '{web.DATE_PATH}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(path), '{web.NUMERIC_ID}') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(lower(path), '/list|index[.]|newschild|common_list') THEN 4 ELSE 0 END"
+
+
+@query("canonical_pages", f"WITH {CANONICAL} SELECT url, min(page_id) AS page_id, count(*) AS pages, ({_score} - 1)::BIGINT AS link_score FROM canonical GROUP BY url, path")
 def canonical_pages(spark, sf):
-    """Pages by canonical URL, the smallest id of each kept, with how many were folded and how article-like the link is."""
-    p = tables.read(spark, sf, "pages").select("page_id", web.canonical_url("url").alias("url"))
-    return p.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages")).withColumn("link_score", web.link_score(F.col("url"), F.col("url")))
+    """Pages by canonical URL, the smallest id of each kept, with how many were folded and how article-like a bare link to it is."""
+    p = tables.read(spark, sf, "pages").select("page_id", web.canonical_url(F.col("url")).alias("url"))
+    return p.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("pages")).withColumn("link_score", web.link_score(F.col("url"), F.lit("")))
 
 
-@query(
-    "token_embedding",
-    """SELECT item_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, round(v[1], 6) AS first, round(v[8], 6) AS last FROM (SELECT item_id, list_transform(range(1, 9), lambda i: ('0x' || substr(sha256(text), (2 * i - 1)::INT, 2))::INT / 255.0::DOUBLE * 2 - 1) AS v FROM benchmark)""",
-)
+_bytes = "list_transform(range(1, 65), lambda i: ('0x' || substr(d, (2 * ((i - 1) % 32) + 1)::INT, 2))::INT / 255.0::DOUBLE * 2 - 1)"
+
+
+@query("token_embedding", f"SELECT item_id, round(len(v) * 1.0::DOUBLE, 6) AS size, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1], 6) AS first, round(v[8], 6) AS eighth, round(v[64], 6) AS last FROM (SELECT item_id, list_transform(v, lambda x: x / n) AS v FROM (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT item_id, {_bytes} AS v FROM (SELECT item_id, sha256(text) AS d FROM benchmark))))")
 def token_embedding(spark, sf):
-    """The deterministic stand-in embedding: digest bytes as numbers from -1 to 1, here eight of them and their norm."""
-    b = tables.read(spark, sf, "benchmark")
-    v = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.conv(F.substring(F.sha2("text", 256), 2 * i - 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1)
-    return b.select("item_id", v.alias("v")).select("item_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", 8), 6).alias("last"))
+    """The deterministic stand-in embedding of 64 numbers."""
+    b = tables.read(spark, sf, "benchmark").select("item_id", T.digest_embedding(F.col("text"), 64).alias("v"))
+    return b.select("item_id", F.size("v").cast("double").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), *[F.round(F.element_at("v", k), 6).alias(n) for k, n in ((1, "first"), (8, "eighth"), (64, "last"))])

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import answers, evaluation
+from ..operators import evaluation
 from ..registry import query
 from ..sources import tables
 from ..streaming import monitoring
@@ -120,7 +118,10 @@ _CASES = "(SELECT event_id, event_type = 'error' AND value > 80 AS evaluation_fa
 def failure_causes(spark, sf):
     v = F.col("value")
     cases = tables.traces(spark, sf).select("event_id", ((F.col("event_type") == "error") & (v > 80)).alias("evaluation_failed"), (F.col("event_type") == "signup").alias("should_refuse"), (v < 5).alias("refused"), (v > 10).alias("in_retrieved"), (v > 15).alias("in_reranked"), (v > 20).alias("in_context"), (F.col("event_id") % 3 > 0).alias("cited"))
-    n = answers.root_cause(cases).groupBy("root_cause").agg(F.count("*").alias("n"))
+    c = F.col
+    cause = F.when(c("evaluation_failed"), "EVALUATION_ERROR").when(c("should_refuse"), F.when(c("refused"), "CORRECT_REFUSAL").otherwise("OTHER")).when(~c("in_retrieved"), "RETRIEVAL_MISS").when(~c("in_reranked"), "RERANK_DROPPED").when(~c("in_context"), "CONTEXT_PACKING")
+    cause = cause.when(c("refused"), "EVIDENCE_GATE_FALSE_NEGATIVE").when(~c("cited"), "CITATION_EXPECTATION_MISMATCH").otherwise("NO_FAILURE")
+    n = cases.groupBy(cause.alias("root_cause")).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
@@ -238,16 +239,11 @@ def upserted_rows(spark, sf):
     return tables.upsert(old, tables.read(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") + 100).cast("long").alias("v")), "id")
 
 
-def _scratch(spark) -> str:
-    """The shared folder of the session; a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 @query("streamed_metrics", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '2 hours' FROM events)")
 def streamed_metrics(spark, sf):
     """The tumbling metrics from a stream in append mode: what the watermark has closed."""
     import uuid
 
-    at = f"{_scratch(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    at = f"{tables.scratch(spark)}/streams/{uuid.uuid4().hex}"
     out = monitoring.drain(monitoring.metric_buckets(monitoring.event_stream(spark, sf)), f"{at}/state", f"{at}/out")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -169,17 +169,41 @@ def search_chunks_bm25(spark, sf):
     return retrieval.bm25(questions(spark, sf), index)
 
 
-_said = "FROM conversations WHERE role = 'user'"
+_things = "(?:政策|文件|文档|通知|文章|资料|材料|记录|来源|站点)"
+_count = f"(?i)(?:多少|几)\\s*(?:份|篇|条|个|项)?\\s*{_things}|{_things}\\s*(?:共有|有)?\\s*(?:多少|几)\\s*(?:份|篇|个)?\\s*[?？。!！]*$|{_things}\\s*(?:总数|数量|统计)|(?:count|how many|total)\\s+(?:polic(?:y|ies)|documents?|articles?|records?|sources?)"
+_after = "(?i)(?:after|since|晚于)\\s*(20[0-9]{2})|(20[0-9]{2})\\s*(?:之后|以来|以后)"
+_before = "(?i)(?:before|截至|早于)\\s*(20[0-9]{2})|(20[0-9]{2})\\s*(?:之前|以前)"
 
 
-@query(
-    "query_routes",
-    f"""SELECT conv_id, turn, CASE WHEN agg AND NOT sem THEN 'sql' WHEN sem AND (bound IS NOT NULL OR agg) THEN 'sql+rag' ELSE 'rag' END AS route, bound AS publish_date_gte FROM (
- SELECT conv_id, turn, regexp_matches(lower(text), 'how many|number of|count of|多少|数量|几个') AND NOT regexp_matches(lower(text), 'amount|price|percent|金额|比例|标准') AS agg,
- regexp_matches(lower(text), 'why|how to|explain|what is|如何|为什么|什么是|说明') AS sem,
- CASE WHEN regexp_extract(lower(text), '(?:after|since)\\s+(20[0-9]{{2}})', 1) <> '' THEN make_date(regexp_extract(lower(text), '(?:after|since)\\s+(20[0-9]{{2}})', 1)::INT + 1, 1, 1) END AS bound {_said})""",
-)
+def _year(pattern: str) -> str:
+    return f"try_cast(nullif(regexp_extract(text, '{pattern}', 1) || regexp_extract(text, '{pattern}', 2), '') AS INT)"
+
+
+ROUTED = f"""routed AS (SELECT *, regexp_matches(trim(text), '{_count}') AND NOT regexp_matches(text, '(?i){answers.FACT_VALUE_WORDS}') AS agg, regexp_matches(text, '(?i){answers.SEMANTIC_WORDS}') AS sem,
+ make_date({_year(_after)} + 1, 1, 1) AS gte, make_date({_year(_before)} - 1, 12, 31) AS lte,
+ CASE {' '.join(f"WHEN contains(lower(text), '{k}') THEN '{v}'" for k, v in answers.REGIONS.items())} END AS region FROM asked)"""
+_routes = "CASE WHEN agg AND NOT sem THEN 'sql' WHEN sem AND (gte IS NOT NULL OR lte IS NOT NULL OR region IS NOT NULL OR agg) THEN 'sql+rag' ELSE 'rag' END AS route, gte AS publish_date_gte, lte AS publish_date_lte, region"
+
+
+def _routed(asked: DataFrame) -> DataFrame:
+    """``asked`` (text) with its route and the filters it names."""
+    found = asked.withColumn("f", answers.inferred_filters(F.col("text"))).select(*[c for c in asked.columns if c != "text"], "text", "f.*")
+    named = F.coalesce(F.col("publish_date_gte").cast("string"), F.col("publish_date_lte").cast("string"), "region").isNotNull()
+    return found.withColumn("route", answers.route(F.col("text"), named))
+
+
+@query("query_routes", f"WITH asked AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), {ROUTED} SELECT conv_id, turn, {_routes} FROM routed")
 def query_routes(spark, sf):
-    said = tables.read(spark, sf, "conversations").where("role = 'user'")
-    found = said.withColumn("f", answers.inferred_filters(F.col("text")))
-    return found.select("conv_id", "turn", answers.route(F.col("text"), F.col("f.publish_date_gte").isNotNull()).alias("route"), F.col("f.publish_date_gte").alias("publish_date_gte"))
+    said = tables.read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return _routed(said).drop("text")
+
+
+_asks = "['how many documents in Beijing after 2021', 'explain the notice before 2020', 'summarize sources', '2019 以来 上海 有多少份文件', 'total records fee', '截至2022 四川 措施', 'count articles and explain']"
+
+
+@query("template_routes", f"WITH asked AS (SELECT item_id, {_asks}[(item_id % 7 + 1)::INT] || ' ' || item_id AS text FROM benchmark), {ROUTED} SELECT item_id, {_routes} FROM routed")
+def template_routes(spark, sf):
+    """Questions of known intents, one for each benchmark item."""
+    texts = F.from_json(F.lit(_asks.replace("'", '"')), "array<string>")
+    asked = tables.read(spark, sf, "benchmark").select("item_id", F.concat(texts[(F.col("item_id") % 7).cast("int")], F.lit(" "), F.col("item_id").cast("string")).alias("text"))
+    return _routed(asked).drop("text")
