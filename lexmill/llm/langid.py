@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +34,20 @@ RESCALE = 16
 UNDETERMINED = "und"
 
 
-def _letter_runs() -> re.Pattern:
-    """Runs of letters, by Unicode category: word characters that are neither digits, the low line, nor other numerals (as ½ or Ⅷ)."""
-    numerals = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{re.escape(numerals)}]+")
+def _letter_runs(last: int) -> Callable[[str], list[str]]:
+    """Finds runs of letters, by Unicode category, in texts of characters up to ``last``: word characters that are neither digits, the low line, nor other numerals (as ½ or Ⅷ)."""
+    numerals = "".join(c for c in map(chr, range(0x80, last + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{re.escape(numerals)}]+").findall
+
+
+#: The pattern for the basic plane is ten times as fast as that for all characters.
+_basic_letters, _all_letters, _beyond = _letter_runs(0xFFFF), _letter_runs(sys.maxunicode), re.compile("[\U00010000-\U0010ffff]").search
+
+
+def _letters(text: str) -> list[str]:
+    return (_all_letters if _beyond(text) else _basic_letters)(text)
 
 
-_letters = _letter_runs().findall
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 

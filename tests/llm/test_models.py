@@ -72,6 +72,7 @@ def test_expected_uses_match_all_segmentations():
 def test_only_letters_make_words():
     assert langid._letters("½ ² Ⅷ _ 12 ٣ ①") == []
     assert langid._letters("a½b Ⅷx naïve ßé_ж") == ["a", "b", "x", "naïve", "ßé", "ж"]
+    assert langid._letters("𝒂½b \U00010107c") == ["𝒂", "b", "c"]
 
 
 def test_language_accuracy_and_edges(spark):
