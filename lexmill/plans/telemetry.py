@@ -206,7 +206,7 @@ def capped_routes(spark, sf):
     return telemetry.capped_labels(first, "route", "seen", 20).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query("latency_quantile", "WITH e AS (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 'inf']::DOUBLE[]) AS le), b AS (SELECT event_type, le, count(*) FILTER (value / 10 <= le) AS n FROM events, e GROUP BY 1, 2), s AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS below FROM b WINDOW w AS (PARTITION BY event_type ORDER BY le)), h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY le) AS nth FROM s WHERE n >= 0.95 * total) SELECT event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95 * total - below) / nullif(n - below, 0) END, 6) AS value FROM h WHERE nth = 1")
+@query("latency_quantile", "WITH e AS (SELECT unnest([0.005::DOUBLE, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 'inf'::DOUBLE]) AS le), b AS (SELECT event_type, le, count(*) FILTER (value / 10 <= le) AS n FROM events, e GROUP BY 1, 2), s AS (SELECT *, max(n) OVER (PARTITION BY event_type) AS total, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS below FROM b WINDOW w AS (PARTITION BY event_type ORDER BY le)), h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY le) AS nth FROM s WHERE n >= 0.95 * total) SELECT event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95 * total - below) / nullif(n - below, 0) END, 6) AS value FROM h WHERE nth = 1")
 def latency_quantile(spark, sf):
     """The 95 % quantile that cumulative buckets tell."""
     t = tables.traces(spark, sf).withColumn("seconds", F.col("value") / 10)
