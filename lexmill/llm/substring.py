@@ -1,7 +1,7 @@
 """Exact substring dedup with a log-structured index of window hashes.
 
 The index is a set of immutable runs, Parquet tables sorted by hash, one per batch
-of documents, with a count and the first place of every hash. It holds the anchors
+of documents, with a count of every hash. It holds the anchors
 of the texts: the short windows with the least hash among all short windows of some
 longer window, so that equal long windows have equal anchors at equal offsets. A
 new batch makes a run, which is merge-joined with the older runs; hashes that have
@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BitFilter, in_steps, map_batches, materialize, utf8_list
+from .common import BitFilter, hot_join, in_steps, map_batches, materialize, utf8_list
 
 #: Words of the short windows whose hashes are indexed.
 ANCHOR_WORDS = 6
 #: Runs that are merged into one.
-FAN_IN = 4
+FAN_IN = 3
 _EMPTY = np.zeros(0, np.int64)
 _ODD_A, _ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -67,19 +67,46 @@ def _anchors(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray,
 
 
 class FingerprintIndex:
-    """Runs of anchor hashes, each a table bucketed and sorted by hash so that joins between runs merge without a shuffle."""
+    """Runs of anchor hashes, each a table bucketed and sorted by hash so that joins between runs merge without a shuffle.
 
-    def __init__(self, spark: SparkSession, window: int = 20, anchor: int = ANCHOR_WORDS, fan_in: int = FAN_IN, buckets: int | None = None):
+    Runs are immutable. Which of them make up the index is kept in a manifest table, written anew after every batch, so that a
+    later session can open the index by name and add to it.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = 20, anchor: int = ANCHOR_WORDS, fan_in: int = FAN_IN, buckets: int | None = None, name: str | None = None):
         self.spark, self.window, self.anchor, self.fan_in = spark, window, anchor, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"lexmill_run_{uuid.uuid4().hex}"
+        self.name = name or f"lexmill_run_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
-        self.made: list[str] = []
+        self.made = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, name: str) -> FingerprintIndex:
+        """The index that ``save`` left under this name."""
+        kept = spark.table(f"{name}_manifest").collect()  # one row, and one for each run
+        head = next(r for r in kept if r.level < 0)
+        index = cls(spark, *head.settings[:4], name=name)
+        index.made = head.settings[4]
+        for r in sorted((r for r in kept if r.level >= 0), key=lambda r: (r.level, r.place)):
+            while len(index.levels) <= r.level:
+                index.levels.append([])
+            index.levels[r.level].append(r.run)
+        return index
+
+    def save(self) -> None:
+        """Write the manifest. Runs are tables already."""
+        rows = [(level, place, run, None) for level, runs in enumerate(self.levels) for place, run in enumerate(runs)]
+        settings = [self.window, self.anchor, self.fan_in, self.buckets, self.made]
+        table = self.spark.createDataFrame([*rows, (-1, 0, "", settings)], "level int, place int, run string, settings array<int>")
+        table.coalesce(1).write.mode("overwrite").saveAsTable(f"{self.name}_manifest")
+
+    def runs(self) -> list[str]:
+        return [t for level in self.levels for t in level]
 
     def _write(self, run: DataFrame) -> str:
-        table = f"{self.name}_{len(self.made)}"
+        table = f"{self.name}_{self.made}"
         run.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(table)
-        self.made.append(table)
+        self.made += 1
         return table
 
     def add(self, batch: DataFrame) -> DataFrame:
@@ -93,7 +120,7 @@ class FingerprintIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], names=["hash"])
 
         hashes = batch.select("text").transform(map_batches, run, "hash long")
-        older = [t for level in self.levels for t in level]
+        older = self.runs()
         mine = self._write(hashes.groupBy("hash").agg(F.count("*").alias("n")))
         known = self.spark.table(mine)
         again = known.where("n > 1").select("hash")
@@ -104,19 +131,22 @@ class FingerprintIndex:
         return again
 
     def _push(self, table: str, level: int) -> None:
-        """Put a run on its level; a full level is compacted into one run of the next."""
+        """Put a run on its level; a full level is compacted into one run of the next, and its runs are dropped."""
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
         if len(self.levels[level]) >= self.fan_in:
-            merged = self.spark.table(self.levels[level][0])
-            for other in self.levels[level][1:]:
+            old, self.levels[level] = self.levels[level], []
+            merged = self.spark.table(old[0])
+            for other in old[1:]:
                 merged = merged.unionByName(self.spark.table(other))
-            self.levels[level] = []
-            self._push(self._write(merged.groupBy("hash").agg(F.sum("n").alias("n"))), level + 1)
+            compacted = self._write(merged.groupBy("hash").agg(F.sum("n").alias("n")))
+            for run in old:
+                self.spark.sql(f"DROP TABLE {run}")
+            self._push(compacted, level + 1)
 
     def drop(self) -> None:
-        for table in self.made:
+        for table in [*self.runs(), f"{self.name}_manifest"]:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
@@ -190,16 +220,17 @@ def repeated_spans(texts: DataFrame, again: DataFrame, window: int, anchor: int)
     met = materialize(_occurrences(texts, again, window, anchor), "segments")
     spot = F.struct("row_id", "tie", "start")
     same = ["hash", "segment", "n"]
-    firsts = materialize(met.groupBy(*same).agg(F.min(spot).alias("first")), "firsts")
-    copied = met.join(firsts, same).where(spot != F.col("first")).select("row_id", "tie", "start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("stop"))
+    firsts = materialize(met.groupBy(*same).agg(F.min(spot).alias("first"), F.count("*").alias("rows")), "firsts")
+    # A segment that very many texts have, or a window, is a hot key.
+    copied = hot_join(met, firsts.where("rows > 1"), same, "rows").where(spot != F.col("first")).select("row_id", "tie", "start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("stop"))
 
     several = firsts.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1").select("hash")
     lead = firsts.join(several, "hash", "left_semi").select("first.row_id", "first.tie", F.struct("first.start", "n").alias("segment"))
     lead = materialize(lead.groupBy("row_id", "tie").agg(F.collect_set("segment").alias("segments")), "lead")
     some = _texts_in(texts, BitFilter(lead, "row_id"))
     windows = materialize(_windows(some.join(lead, ["row_id", "tie"]).where("text is not null"), window), "windows")
-    least = windows.groupBy("a", "b").agg(F.min(spot).alias("first"), F.count("*").alias("seen")).where("seen > 1")
-    later = windows.join(least, ["a", "b"]).where(spot != F.col("first")).select("row_id", "tie", "start", (F.col("start") + F.lit(window)).alias("stop"))
+    least = materialize(windows.groupBy("a", "b").agg(F.min(spot).alias("first"), F.count("*").alias("seen")).where("seen > 1"), "repeats")
+    later = hot_join(windows, least, ["a", "b"], "seen").where(spot != F.col("first")).select("row_id", "tie", "start", (F.col("start") + F.lit(window)).alias("stop"))
     return copied.unionByName(later).groupBy("row_id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -222,7 +253,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow([step.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), step.column(2)], "doc_id n_words n_removed kept_sha256 spans")
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = 20, batches: int = 3, anchor: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_of_batch(index: FingerprintIndex, history: DataFrame, batch: DataFrame) -> DataFrame:
+    """(row_id, tie, spans) of a new batch (row_id, tie, doc_id, text): what it repeats of itself or of ``history``, which ``index`` knows already.
+
+    The batch is added to the index. Only texts with an anchor that occurs again are compared. Rows of the batch come after those of history.
+    """
+    again = index.add(batch)
+    index.save()
+    return repeated_spans(history.unionByName(batch), again, index.window, index.anchor).join(batch.select("row_id", "tie").distinct(), ["row_id", "tie"], "left_semi")
+
+
+def remove_repeated_windows(docs: DataFrame, window: int = 20, batches: int = 4, anchor: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans): words of repeated windows are removed but for their first place.
 
     Words are parted by ASCII white space. Of windows with the same words, the one in the
@@ -243,12 +284,14 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, batches: int = 3,
     index = FingerprintIndex(spark, window, anchor)
     bounds = [None, *sorted({int(c) for c in cuts}), None]
     again = None
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        part = texts if low is None else texts.where(F.col("row_id") > low)
-        part = part if high is None else part.where(F.col("row_id") <= high)
-        found = index.add(part)
-        again = found if again is None else again.unionByName(found)
-    index.drop()
+    try:
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            part = texts if low is None else texts.where(F.col("row_id") > low)
+            part = part if high is None else part.where(F.col("row_id") <= high)
+            found = index.add(part)
+            again = found if again is None else again.unionByName(found)
+    finally:
+        index.drop()
     spans = materialize(repeated_spans(texts, materialize(again.distinct(), "again"), window, anchor), "spans")
 
     # Texts without a span are done where they are read; the rest meet their spans.

@@ -76,3 +76,28 @@ def test_runs_are_compacted(spark):
     assert again[3] > 0
     assert [len(level) for level in index.levels] == [1, 0, 1]
     index.drop()
+
+
+def test_index_is_saved_opened_and_compacted(spark):
+    """Batches one after another, the index opened anew for each, remove what one run over all removes."""
+    rows = sorted(corpus(random.Random(11)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id as row_id", "0L as tie", "doc_id", "text")
+    name = substring.FingerprintIndex(spark, fan_in=2).name
+    substring.FingerprintIndex(spark, fan_in=2, name=name).save()
+    found, sizes = {}, []
+    for low in range(0, 100, 20):
+        index = substring.FingerprintIndex.open(spark, name)
+        batch = texts.where(f"row_id >= {low} and row_id < {low + 20}")
+        spans = substring.repeats_of_batch(index, texts.where(f"row_id < {low}"), batch)
+        found |= {r.row_id: r.spans for r in spans.collect()}
+        sizes.append(len(index.runs()))
+    # Two runs of a level become one of the next: as many runs as the number of batches has binary digits that are one.
+    assert sizes == [1, 1, 2, 1, 2]
+    want = {r.doc_id: r.spans for r in substring.remove_repeated_windows(texts.select("doc_id", "text")).collect()}
+
+    def covered(spans):
+        return {k for s in spans or [] for k in range(s["start"], s["stop"])}
+
+    assert any(want.values()) and {i: covered(found.get(i)) for i in want} == {i: covered(s) for i, s in want.items()}
+    substring.FingerprintIndex.open(spark, name).drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(name)]
