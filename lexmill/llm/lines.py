@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BitFilter, in_steps, map_batches, materialize, utf8_list
+from .common import BitFilter, hot_join, in_steps, map_batches, materialize, utf8_list
 
 #: Leading tokens on the path to a leaf, different texts that make a token or template recur, least share of fixed tokens.
 DEPTH, MIN_TEXTS, FIXED_SHARE = 3, 8, 0.6
@@ -95,20 +95,25 @@ def recurring_lines(texts: DataFrame, depth: int = DEPTH, min_texts: int = MIN_T
     # Copies of a text count once, and so do a text's lines of one token at a place or of one template.
     in_text = materialize(met.groupBy("leaf", "line", "tie").agg(F.first("tokens").alias("tokens")), "kinds")
     kinds = in_text.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
-    spread = kinds.select("leaf", "line", "n", F.posexplode(F.split("tokens", " ")).alias("place", "token"))
+    # Leading tokens are the leaf's own, the same in all its lines: only later places have to be counted.
+    at = F.transform(F.split("tokens", " "), lambda t, i: F.struct(i.alias("place"), t.alias("token")))
+    spread = kinds.select("leaf", "line", "n", F.explode(F.filter(at, lambda x: (x["place"] >= depth) & (x["token"] != WILDCARD.decode()))).alias("x")).select("leaf", "line", "n", "x.*")
     place = ["leaf", "place", "token"]
     # Sums over lines are the count of texts or more; only where they suffice are texts told apart.
-    likely_fixed = materialize(spread.where(F.col("token") != WILDCARD.decode()).groupBy(*place).agg(F.sum("n").alias("sum"), F.max("n").alias("most")).where(F.col("sum") >= min_texts), "places")
-    sure = likely_fixed.where(F.col("most") >= min_texts).select(*place)
-    unsure = spread.select(*place, "line").join(likely_fixed.where(F.col("most") < min_texts), place, "left_semi")
+    likely_fixed = materialize(spread.groupBy(*place).agg(F.sum("n").alias("sum"), F.max("n").alias("most"), F.count("*").alias("rows")).where(F.col("sum") >= min_texts), "places")
+    sure = likely_fixed.where(F.col("most") >= min_texts).select(*place, "rows")
+    spread = materialize(spread.select("leaf", "line", "place", "token"), "spread")
+    unsure = hot_join(spread, likely_fixed.where(F.col("most") < min_texts).select(*place, "rows"), place, "rows")
     counted = unsure.join(in_text.select("leaf", "line", "tie"), ["leaf", "line"]).select(*place, "tie").distinct().groupBy(*place).agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
-    fixed = sure.unionByName(counted.select(*place)).withColumn("fixed", F.lit(True))
-    marked = spread.join(fixed, place, "left")
-    shown = F.when(F.col("fixed"), F.col("token")).otherwise(WILDCARD.decode())
-    templates = marked.groupBy("leaf", "line").agg(
-        F.xxhash64(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", shown.alias("t")))), lambda s: s.t), " ")).alias("template"),
-        F.avg(F.coalesce("fixed", F.lit(False)).cast("int")).alias("share"),
-    )
+    fixed = materialize(sure.unionByName(counted.join(likely_fixed, place).select(*place, "rows")), "fixed")
+    # A token that most lines of a busy leaf have at its place is a hot key.
+    # Within a leaf a template is its fixed tokens and their places.
+    shape = F.xxhash64(F.array_sort(F.collect_list(F.struct("place", "token")))).alias("shape")
+    later = hot_join(spread, fixed, place, "rows").groupBy("leaf", "line").agg(shape, F.count("*").alias("fixed"))
+    words = F.split("tokens", " ")
+    lead = F.size(F.filter(F.slice(words, 1, depth), lambda w: w != WILDCARD.decode())) if depth else F.lit(0)
+    marked = kinds.select("leaf", "line", lead.alias("lead"), F.size(words).alias("size")).join(later, ["leaf", "line"], "left")
+    templates = marked.select("leaf", "line", F.coalesce("shape", F.lit(0)).alias("template"), ((F.col("lead") + F.coalesce("fixed", F.lit(0))) / F.col("size")).alias("share"))
     lined = materialize(templates.where(F.col("share") >= fixed_share).select("leaf", "line", "template"), "templates")
     support = lined.join(in_text.select("leaf", "line", "tie"), ["leaf", "line"]).select("leaf", "template", "tie").distinct().groupBy("leaf", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
     dropped = lined.join(support, ["leaf", "template"], "left_semi").select("leaf", "line", F.xxhash64("leaf", "template").alias("template"))
