@@ -2,13 +2,14 @@
 
 The forest, grown here in numpy, sees a candidate's length, character classes,
 entropy, character transitions, coverage by dictionary words, path form and the words
-beside it. It is trained on labelled findings: candidates of the corpus, labelled by
-the assignment they stand in, and findings of public credential formats and of usual
-false positives drawn from a seeded generator, set between words of the corpus.
+beside it. It is trained on labelled findings: findings of public credential formats, of passwords and of usual
+false positives drawn from a seeded generator and set between words of the corpus, and candidates of the corpus that
+neither stand beside a word for credentials nor begin like a public format, which count as none.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -21,14 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, in_steps, map_batches
+from .common import Memo, discard, held, in_steps, map_batches, materialize
 
-#: Documents that the dictionary, transitions and corpus candidates come from, at most.
+#: Documents that corpus candidates for training come from, at most. The dictionary and transitions are counted over all documents.
 SAMPLE_DOCS = 3000
+#: Words of the dictionary, those in most documents first.
+DICTIONARY_WORDS = 20_000
+#: Words counted in a task before they are handed on.
+FLUSH_WORDS = 100_000
 TREES, TREE_DEPTH, LEAF_ROWS, GENERATED = 40, 9, 3, 6000
 #: Characters on either side of a candidate that its neighbours are taken from.
 NEAR_CHARS = 48
-_candidate = re.compile(r"[A-Za-z0-9+/_=.\-]{12,}")
+_run = re.compile(r"[A-Za-z0-9+/_.\-]{12,}={0,2}")
 _word = re.compile(r"[^\W\d_]+")
 _classes = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"), re.compile(r"[+/=]"), re.compile(r"[_.\-]"))
 _hex = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -37,6 +42,8 @@ _host = re.compile(r"(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}")
 _name = re.compile(r"[A-Za-z_]+[0-9]{0,3}")
 #: Words beside a credential, and words beside identifiers that are none.
 SECRET_WORDS = "token secret password passwd pwd key apikey api auth authorization bearer credential credentials private access signing".split()
+FORMATS = ("AKIA", "ghp_", "xoxb-", "sk_live_", "eyJ")
+_assigned = re.compile(r"(?i)(?:(?:token|secret|passw(?:or)?d|pwd|key|auth|credentials?)[a-z0-9_]*[\"'`]?\s*(?:=>|:=|[:=])\s*|\bbearer\s+)[\"'`]?(?!bearer\b|basic\b)([^\s\"'`,;<>()\[\]{}|]{4,})")
 PLAIN_WORDS = "commit sha sha1 sha256 md5 checksum digest hash revision rev etag integrity uuid guid id version build path file url image example sample placeholder card account".split()
 
 
@@ -52,13 +59,10 @@ class TextStatistics:
         return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isdigit() else 28 if c.isascii() else 29
 
     @classmethod
-    def of(cls, counts: dict[str, int]) -> TextStatistics:
-        table = np.full((30, 30), 0.5)
-        for w, n in counts.items():
-            at = [0, *map(cls.place, w)]
-            for a, b in zip(at, at[1:], strict=False):
-                table[a, b] += n
-        return cls(frozenset(w for w in counts if len(w) >= 4), np.log(table / table.sum(1, keepdims=True)))
+    def steps(cls, word: str) -> tuple[list[int], list[int]]:
+        """From where to where each transition of a word goes; words begin at place 0."""
+        at = [0, *map(cls.place, word)]
+        return at[:-1], at[1:]
 
 
 def features(text: str, start: int, stop: int, stats: TextStatistics) -> list[float]:
@@ -71,7 +75,7 @@ def features(text: str, start: int, stop: int, stats: TextStatistics) -> list[fl
     for x in c:
         count[x] = count.get(x, 0) + 1
     entropy = -sum(v / n * math.log2(v / n) for v in count.values())
-    at = [stats.place(x) for x in low[:256]]
+    at = [stats.place(x) for x in low]
     transition = float(stats.transitions[at[:-1], at[1:]].mean()) if len(at) > 1 else 0.0
     parts = _word.findall(low)
     covered = sum(len(p) for p in parts if p in stats.words) / n
@@ -90,11 +94,21 @@ def features(text: str, start: int, stop: int, stats: TextStatistics) -> list[fl
 
 
 def candidates(text: str | None) -> Iterator[tuple[int, int]]:
-    """Places of runs of 12 characters or more that hold a digit or mix cases within a run."""
-    for m in _candidate.finditer(text or ""):
-        c = m.group().rstrip(".-=") if not m.group().endswith("==") else m.group()
-        if len(c) >= 12 and (any(x.isdigit() for x in c) or (c != c.lower() and c[1:] != c[1:].lower())):
-            yield m.start(), m.start() + len(c)
+    """Places of what may be a secret, in order, none within another.
+
+    Any value of four characters or more that is assigned to a word for credentials, and runs of 12 characters or more
+    that hold a digit or mix cases within, or of 32 letters or more. A name before an equals sign is no part of a value.
+    """
+    values = {m.span(1) for m in _assigned.finditer(text or "")}
+    found = sorted(values)
+    for m in _run.finditer(text or ""):
+        c = m.group().rstrip(".-")
+        start, stop = m.start(), m.start() + len(c)
+        if len(c) >= 12 and (len(c) >= 32 or any(x.isdigit() for x in c) or (c != c.lower() and c[1:] != c[1:].lower())):
+            at = bisect.bisect_left(found, (stop, 0)) - 1
+            if at < 0 or found[at][1] <= start or (start, stop) in values:
+                values.add((start, stop))
+    yield from sorted(values)
 
 
 class RandomForest:
@@ -165,6 +179,14 @@ def generated_findings(words: list[str], count: int = GENERATED, seed: int = 0)
         lambda: "sk_live_" + some(lower + upper + digit, 24),
         lambda: f"eyJ{some(lower + upper + digit, 20)}.eyJ{some(lower + upper + digit, 40)}.{some(lower + upper + digit + '-_', 43)}",
     ]
+    bare = secret[3:]
+    password = [
+        lambda: f"{word().lower()}{rng.randint(1, 9999)}{rng.choice('!?#$%')}",
+        lambda: f"{word().capitalize()}{rng.choice('!@#$')}{rng.randint(1, 99)}",
+        lambda: word().lower().replace("a", "@").replace("o", "0") + some(digit, 2) + rng.choice("!?*"),
+        lambda: some(lower + digit + "!#%*", rng.randint(8, 14)),
+    ]
+    placeholder = [lambda: rng.choice(["changeme", "your_token", "example", "xxxxxxxx", "********", "null", "none", "true", "required", "${TOKEN}", "os.environ", "config.password", "get_token", "see-above", "redacted"]), lambda: f"{word().lower()}", lambda: f"your-{word().lower()}-here", lambda: f"{word().lower()}.{word().lower()}"]
     plain = [
         lambda: "/".join(word().lower() for _ in range(rng.randint(2, 5))) + f"/{word().lower()}{rng.randint(1, 99)}.py",
         lambda: f"mail{rng.randint(0, 99)}.{word().lower()}.com",
@@ -177,15 +199,22 @@ def generated_findings(words: list[str], count: int = GENERATED, seed: int = 0)
         lambda: rng.choice(["x", "X", "0", "1234567890"]) * rng.randint(12, 20),
         lambda: f"your-{word().lower()}-goes-here-{rng.randint(1, 9)}",
     ]
+    forms = ['{k} = "{v}"', "{k}={v}", "{k}: '{v}'", "{k}: {v}", '"{k}": "{v}"']
+    keys = ["token", "secret", "api_key", "apiKey", "password", "access_key", "auth_token", "client_secret", "private_key"]
     out = []
     for _ in range(count):
         left, right = " ".join(word() for _ in range(rng.randint(1, 6))), " ".join(word() for _ in range(rng.randint(1, 6)))
-        hit = rng.random() < 0.5
-        if hit:
-            value = rng.choice(secret)()
-            form = rng.choice(['{k} = "{v}"', "{k}={v}", "{k}: '{v}'", "{k}: {v}", '"{k}": "{v}"', "Authorization: Bearer {v}"])
-            key = rng.choice(["token", "secret", "api_key", "apiKey", "password", "access_key", "auth_token", "client_secret", "private_key"])
-        elif rng.random() < 0.25:
+        draw = rng.random()
+        hit = draw < 0.5
+        if draw < 0.28:
+            value, form, key = rng.choice(secret)(), rng.choice([*forms, "Authorization: Bearer {v}"]), rng.choice(keys)
+        elif draw < 0.38:
+            value, form, key = rng.choice(bare)(), rng.choice(["{v}", "{k} {v}", "({v})"]), word().lower()
+        elif hit:
+            value, form, key = rng.choice(password)(), rng.choice(forms), rng.choice(["password", "passwd", "pwd", "db_password", "secret"])
+        elif draw < 0.62:
+            value, form, key = rng.choice(placeholder)(), rng.choice(forms), rng.choice(keys)
+        elif draw < 0.75:
             value = some(hexa, rng.choice([32, 40, 64]))
             form, key = rng.choice(["{k} {v}", "{k}: {v}", '{k} = "{v}"']), rng.choice(["commit", "sha1", "md5", "checksum", "digest", "revision", "etag"])
         else:
@@ -197,6 +226,13 @@ def generated_findings(words: list[str], count: int = GENERATED, seed: int = 0)
     return out
 
 
+def labelled(findings: list[tuple[str, int, int, int]]) -> Iterator[tuple[str, int, int, int]]:
+    """The candidates of generated texts, as a scan would find them: labelled 1 where one shares text with a secret that was put there."""
+    for text, start, stop, label in findings:
+        for s, e in candidates(text):
+            yield text, s, e, int(label and s < stop and start < e)
+
+
 @dataclass
 class SecretModel:
     stats: TextStatistics
@@ -204,43 +240,61 @@ class SecretModel:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 0, text_col: str = "text") -> SecretModel:
-    """Fit on at most ``sample_docs`` documents (documented bound), taken by hash of the text, and generated findings.
+    """Fit on generated findings and on candidates of at most ``sample_docs`` documents (documented bound), taken by hash of the text.
 
-    Null texts teach nothing. Corpus candidates count as secrets where they are assigned
-    to a name of SECRET_WORDS and look random, else as none.
+    Words and transitions are counted over all documents; the dictionary keeps the DICTIONARY_WORDS that are in most of them.
+    Null texts teach nothing.
     """
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null")
     n = max(1, rows.count())
     part = F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
-    def findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sample's words with counts, and its candidates with what is beside them: texts themselves stay in the task."""
+    def flushed(count: dict[str, int], table: np.ndarray) -> pa.RecordBatch:
+        a, b = np.nonzero(table)
+        steps = [f"{x} {y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([True] * len(count) + [False] * len(steps), pa.bool_()), pa.array([*count, *steps], pa.string()), pa.array([*count.values(), *table[a, b].tolist()], pa.int64())], names=["word", "what", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents that each word is in, and transitions within them."""
+        count: dict[str, int] = {}
+        table = np.zeros((30, 30), np.int64)
+        place = Memo(TextStatistics.steps, FLUSH_WORDS)
         for step in in_steps(batches):
-            count: dict[str, int] = {}
-            near = []
             for t in step.column(0).to_pylist():
-                for w in _word.findall(t.lower()):
-                    if len(w) <= 24:
-                        count[w] = count.get(w, 0) + 1
-                for s, e in candidates(t):
-                    if e - s <= 200:
-                        near.append((t[max(0, s - NEAR_CHARS) : e + NEAR_CHARS], s - max(0, s - NEAR_CHARS), e - s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*count, *(x[0] for x in near)], pa.string()), pa.array([*count.values(), *(x[1] for x in near)], pa.int64()), pa.array([-1] * len(count) + [x[2] for x in near], pa.int64())],
-                names=["what", "n", "size"],
-            )
-
-    sample = rows.where(part < min(1.0, sample_docs / n)).transform(map_batches, findings, "what string, n long, size long")
-    words = sample.where("size < 0").groupBy("what").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "what").limit(20_000).toArrow()
-    counts = dict(zip(words.column("what").to_pylist(), words.column("n").to_pylist(), strict=True)) or {"the": 1, "and": 1}
-    stats = TextStatistics.of(counts)
-    near = sample.where("size >= 0").orderBy(F.xxhash64("what")).limit(2 * sample_docs).toArrow()
+                for w in set(_word.findall(t.lower())):
+                    count[w] = count.get(w, 0) + 1
+                    np.add.at(table, place[w], 1)
+            if len(count) >= FLUSH_WORDS:
+                yield flushed(count, table)
+                count, table = {}, np.zeros((30, 30), np.int64)
+        yield flushed(count, table)
+
+    told = materialize(rows.transform(map_batches, counted, "word boolean, what string, n long").groupBy("word", "what").agg(F.sum("n").alias("n")), "words")
+    words = told.where("word").orderBy(F.desc("n"), "what").limit(DICTIONARY_WORDS).toArrow()
+    steps = told.where("not word").toArrow()  # 900 rows at most
+    discard(told)
+    known = words.column("what").to_pylist() or ["the", "and"]
+    table = np.full((30, 30), 0.5)
+    for what, times in zip(steps.column("what").to_pylist(), steps.column("n").to_pylist(), strict=True):
+        a, b = what.split()
+        table[int(a), int(b)] += times
+    stats = TextStatistics(frozenset(w for w in known if len(w) >= 4), np.log(table / table.sum(1, keepdims=True)))
+
+    def findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates with what is beside them: texts themselves stay in the task."""
+        for step in in_steps(batches):
+            near = [(t[max(0, s - NEAR_CHARS) : e + NEAR_CHARS], min(s, NEAR_CHARS), e - s) for t in step.column(0).to_pylist() for s, e in candidates(t)]
+            if near:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*near, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["what", "start", "size"])
+
+    sample = rows.where(part < min(1.0, sample_docs / n)).transform(map_batches, findings, "what string, start long, size long")
+    near = sample.orderBy(F.xxhash64("what"), "what", "start").limit(2 * sample_docs).toArrow()
     x, y = [], []
-    for text, start, size in zip(near.column("what").to_pylist(), near.column("n").to_pylist(), near.column("size").to_pylist(), strict=True):
-        f = features(text, start, start + size, stats)
-        x.append(f)
-        y.append(int(f[-2] and f[-4] and f[6] > 3 and not f[-1]))
-    for text, start, stop, label in generated_findings(sorted(counts), seed=seed):
+    for text, start, size in zip(*(near.column(c).to_pylist() for c in ("what", "start", "size")), strict=True):
+        if not text[start:].startswith(FORMATS) and not any(w in SECRET_WORDS for w in _word.findall(text[:start].lower().replace("_", " "))):
+            x.append(features(text, start, start + size, stats))
+            y.append(0)
+    for text, start, stop, label in labelled(generated_findings(sorted(known), seed=seed)):
         x.append(features(text, start, stop, stats))
         y.append(label)
     return SecretModel(stats, RandomForest(seed=seed).fit(np.array(x), np.array(y)))
