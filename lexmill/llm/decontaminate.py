@@ -24,8 +24,8 @@ from .common import held, in_steps, map_batches, materialize
 SHINGLE_WORDS, OVERLAP, THRESHOLD = 5, 0.8, 0.6
 #: Passages overlap by half and are at least this long; half a passage holds the longest item.
 PASSAGE_WORDS = 128
-#: Items of one index; with more, indexes are built and asked one after another.
-MAX_ITEMS, BLOCK_ITEMS = 50_000, 16
+#: Items and words of one index; with more, indexes are built and asked one after another.
+MAX_ITEMS, MAX_WORDS, BLOCK_ITEMS = 50_000, 4_000_000, 16
 K1, B = 1.5, 0.75
 _words = re.compile(r"[^\W_]+").findall
 
@@ -176,18 +176,22 @@ def _leaking(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ov
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["item_id", "words"])
 
     worded = tests.transform(map_batches, words, "item_id long, words array<string>").where(F.size("words") > 0)
-    totals = worded.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.max(F.size("words")).alias("longest")).first()
+    # An item's words decide how long its passages are: the least power of two times PASSAGE_WORDS of which half holds it.
+    worded = materialize(worded.withColumn("doublings", F.greatest(F.lit(0), F.ceil(F.log2(2 * (F.size("words") + 1) / PASSAGE_WORDS))).cast("int")), "worded")
+    totals = worded.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     result = "doc_id long, tie long, item_id long, score double, question_overlap double, answer_overlap double, at_word long"
     if not totals.n:
         return spark.createDataFrame([], result)
     document_counts = worded.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    passage_words = max(PASSAGE_WORDS, 2 * (totals.longest + 1))
-    chunks = -(-totals.n // MAX_ITEMS)
+    # One row for each doubling of item length: a long item makes its own passages long, and no others.
+    sizes = worded.groupBy("doublings").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).orderBy("doublings").collect()
+    chunks = [(r.doublings, k, c) for r in sizes for c in [max(-(-r.n // MAX_ITEMS), -(-r.words // MAX_WORDS))] for k in range(c)]
     found = None
-    for k in range(chunks):
+    for doublings, k, parts in chunks:
         # Each index holds a bounded number of items, with statistics of all of them.
-        part = worded.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k)
+        passage_words = PASSAGE_WORDS << doublings
+        part = worded.where(F.col("doublings") == doublings).where(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == k)
         mine = part.orderBy("item_id").toArrow()
         used = part.select(F.explode(F.array_distinct("words")).alias("w")).distinct()
         df = document_counts.join(used, "w", "left_semi").toArrow()

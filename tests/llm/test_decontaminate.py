@@ -99,3 +99,14 @@ def test_null_ids_and_rows_with_one_id(spark):
     got = [(r.doc_id, r.item_id) for r in D.find_leaks(rows, tests).collect()]
     assert sorted(got, key=str) == sorted([(None, 3), (7, 4), (8, None)], key=str)
     assert sorted(r.text for r in D.drop_leaking(rows, tests).collect()) == ["a clean text", "another clean text"]
+
+
+def test_a_long_item_makes_no_other_passage_long(spark):
+    """Items of very different lengths are each found, in passages of their own class."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(1, " ".join(word() for _ in range(20))), (2, " ".join(word() for _ in range(150))), (3, " ".join(word() for _ in range(2500)))]
+    filler = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"{filler(300)} {text} {filler(700)}") for i, text in items] + [(9, filler(3000))]
+    got = D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 3)]
