@@ -67,6 +67,14 @@ def hot_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, tota
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, on: str, by: str, per: int) -> DataFrame:
+    """``rows`` joined with ``table``, of one row a key ``on``: a key of more than ``per`` rows is dealt over several tasks by the hash of ``by``, its row of ``table`` copied for each."""
+    parts = rows.groupBy(on).agg(F.ceil(F.count("*") / per).cast("int").alias("_parts"))
+    copies = table.join(parts, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    dealt = rows.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    return dealt.join(copies, [on, "_part"]).drop("_part")
+
+
 def in_steps(batches: Iterable[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows, so that few texts are Python objects at a time."""
     for batch in batches:
