@@ -1,32 +1,53 @@
 """Batch retrieval: BM25 over postings, exact cosine, reciprocal-rank fusion, Jaccard rerank.
 
-A batch of queries is a table. Postings are joined on the terms that queries use, so
-documents without a query term never meet a query; statistics are of the whole corpus.
+A batch of queries is a table. Tokens are cut down to the terms that queries use before anything of them is
+shuffled; statistics are of the whole corpus. Vectors are scored block by block against a matrix of queries, and
+each task keeps only its own best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import stored
 
 #: Fixed values of the ranking functions.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 
-def keyword_index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> dict[str, DataFrame]:
-    """postings (term, id, tf), terms (term, df, idf), chunk_stats (id, dl)."""
+#: Query terms that are sent to every task, and bytes of query vectors in a block.
+BROADCAST_TERMS, BLOCK_BYTES = 100_000, 16 << 20
+
+
+def _words(docs: DataFrame, id_col: str, text: Column | None) -> DataFrame:
     body = F.concat_ws(" ", "title", "content") if text is None else text
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(body).alias("tokens"))
-    stats = words.select("id", F.size("tokens").cast("long").alias("dl"))
+    return docs.select(F.col(id_col).alias("id"), T.tokens(body).alias("tokens"))
+
+
+def _statistics(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf) of all terms, and (n, mean) of all documents, from one pass over the tokens: the null term counts the documents."""
+    rows = words.select(F.size("tokens").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    counted = stored(rows.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.when(F.col("term").isNull(), F.col("dl"))).alias("mean")), "terms")
+    corpus = counted.where("term is null").select(F.col("df").alias("n"), "mean")
+    raw = counted.where("term is not null").join(F.broadcast(corpus.select("n"))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))  # one row
+    floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
+    return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")), corpus
+
+
+def keyword_index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> dict[str, DataFrame]:
+    """postings (term, id, tf), terms (term, df, idf), chunk_stats (id, dl), corpus (n, mean), and the tokens they come from."""
+    words = _words(docs, id_col, text)
+    terms, corpus = _statistics(words)
     postings = words.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    n = stats.agg(F.count("*").alias("n"))
-    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    counted = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).withColumn("raw", raw)  # n is one row
-    floor = counted.agg((F.avg("raw") * EPSILON).alias("floor"))
-    terms = counted.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": postings, "terms": terms, "chunk_stats": stats}
+    return {"postings": postings, "terms": terms, "chunk_stats": words.select("id", F.size("tokens").cast("long").alias("dl")), "corpus": corpus, "words": words}
 
 
 def ranked(hits: DataFrame, query: str, score: str, ident: str, limit: int) -> DataFrame:
@@ -34,41 +55,119 @@ def ranked(hits: DataFrame, query: str, score: str, ident: str, limit: int) -> D
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def bm25(queries: DataFrame, index: dict[str, DataFrame], limit: int = 20) -> DataFrame:
-    """(query_id, id, score, rank): min-max normalised over all documents that share a term, then the best ``limit``."""
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    mean = index["chunk_stats"].agg(F.avg("dl").alias("mean"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    raw = (
-        asked.join(index["terms"], "term")
-        .join(index["postings"], "term")
-        .join(index["chunk_stats"], "id")
-        .join(F.broadcast(mean))  # one row
-        .groupBy("query_id", "id")
-        .agg(F.sum(part).alias("raw"))
-    )
-    every = Window.partitionBy("query_id")
-    low, high = F.min("raw").over(every), F.max("raw").over(every)
-    scored = raw.select("query_id", "id", F.round(F.when(high == low, 1.0).otherwise((F.col("raw") - low) / F.nullif(high - low, F.lit(0.0))), 9).alias("score"))
-    return ranked(scored, "query_id", "score", "id", limit)
+def _matches(asked: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """(term, id, dl, tf) of the terms that are asked for."""
+    if "words" not in index:
+        return asked.select("term").distinct().join(index["postings"], "term").join(index["chunk_stats"], "id")
+    terms = asked.select("term").distinct()
+    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    hits = index["words"].select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    return hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; a zero vector has cosine zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.coalesce(dot / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
+def bm25(queries: DataFrame, index: dict[str, DataFrame], limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): min-max normalised over all documents that share a term and are ``allowed`` (id), then the best ``limit``."""
+    asked = stored(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    matches = _matches(asked, index)
+    if allowed is not None:
+        matches = matches.join(allowed.select("id"), "id", "left_semi")
+    weights = asked.join(index["terms"], "term")
+    raw = matches.join(weights, "term").join(F.broadcast(index["corpus"].select("mean"))).groupBy("query_id", "id").agg(F.sum(part).alias("raw"))  # one row
+    raw = stored(raw, "scores")
+    ends = raw.groupBy("query_id").agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
+    scored = raw.join(ends, "query_id").select("query_id", "id", F.round(F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("raw") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), 9).alias("score"))
+    return ranked(scored, "query_id", "score", "id", limit)
 
 
 def vector(queries: DataFrame, vectors: DataFrame, limit: int = 20) -> DataFrame:
-    """(query_id, id, score, rank) by exact cosine of a stated set of query vectors against all rows.
+    """(query_id, id, score, rank) by exact cosine of a stated set of query vectors against all rows, in double precision.
 
-    Queries are sent to the rows in blocks as one array column, so no row is copied for a query before it
-    is scored, and each task keeps its own best before the shuffle.
+    The cosine of a zero vector, or of vectors of different lengths, is 0. Query vectors are sent in blocks of BLOCK_BYTES; with more,
+    rows are read once for each block. A task yields its own best ``limit`` of each query.
     """
-    packed = queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
-    scored = vectors.join(F.broadcast(packed)).select("id", F.explode("asked").alias("q"), "vector").select("q.query_id", "id", F.round(cosine(F.col("q.query_vector"), F.col("vector")), 9).alias("score"))
-    return ranked(scored, "query_id", "score", "id", limit)
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v")).where("v is not null").toArrow()
+    kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind[0]}, id {kind[1]}, score double"
+    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    found = queries.sparkSession.createDataFrame([], schema)
+    by_size: dict[int, list[int]] = {}
+    for k, v in enumerate(asked.column("v").to_pylist()):
+        by_size.setdefault(len(v), []).append(k)
+    for size, places in by_size.items():
+        step = max(1, BLOCK_BYTES // (8 * max(1, size)))
+        for at in range(0, len(places), step):
+            some = asked.take(pa.array(places[at : at + step]))
+            names, matrix = some.column("query_id").combine_chunks(), _unit(np.array(some.column("v").to_pylist(), np.float64).reshape(-1, size))
+
+            def best(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix, size=size) -> Iterator[pa.RecordBatch]:
+                kept: list[pa.Table] = []
+                for batch in batches:
+                    same = pc.equal(pc.list_value_length(batch.column(1)), size)
+                    for part, scores in ((batch.filter(same), True), (batch.filter(pc.invert(same)), False)):
+                        if part.num_rows:
+                            x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)) if scores else None
+                            told = np.round(matrix @ x.T, 9) if scores else np.zeros((len(names), part.num_rows))
+                            kept.append(_top(names, part.column(0), told, limit))
+                    if len(kept) > 8:
+                        kept = [_cut(pa.concat_tables(kept), limit)]
+                if kept:
+                    yield from _cut(pa.concat_tables(kept), limit).to_batches()
+
+            found = found.unionByName(rows.mapInArrow(best, schema))
+    return ranked(found, "query_id", "score", "id", limit)
+
+
+def containing(docs: DataFrame, id_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
+    """(needle_col, id_col): documents (id, text) that contain each of a stated set of needles (id, text); empty needles are in none.
+
+    Every task walks its texts once with an automaton of the needles. Needles are sent in blocks of BLOCK_BYTES; with more, texts are read once for each block.
+    """
+    some = needles.select(needle_col, "text").where("text <> ''").toArrow()
+    kinds = needles.schema[needle_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
+    schema = f"`{needle_col}` {kinds[0]}, `{id_col}` {kinds[1]}"
+    found = docs.sparkSession.createDataFrame([], schema)
+    sizes = np.cumsum(pc.binary_length(some.column("text")).to_numpy()) // BLOCK_BYTES if some.num_rows else np.zeros(0, np.int64)
+    for block in np.unique(sizes):
+        mine = some.filter(pa.array(sizes == block))
+
+        def walk(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
+            automaton, names = ahocorasick.Automaton(), {}
+            for name, text in zip(mine.column(0).to_pylist(), mine.column(1).to_pylist(), strict=True):
+                names.setdefault(text, []).append(name)
+            for text, same in names.items():
+                automaton.add_word(text, tuple(same))
+            automaton.make_automaton()
+            for batch in batches:
+                pairs = [(n, i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for n in {n for _, same in automaton.iter(t) for n in same}]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], c.type) for k, c in ((0, mine.column(0)), (1, batch.column(0)))], names=[needle_col, id_col])
+
+        found = found.unionByName(docs.select(id_col, "text").mapInArrow(walk, schema))
+    return found.distinct()
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _top(names: pa.Array, ids: pa.Array, scores: np.ndarray, limit: int) -> pa.Table:
+    """For each query its best ids of a block, by score and then id."""
+    order = np.argsort(pc.rank(ids, "ascending", tiebreaker="first").to_numpy())
+    ids, scores = ids.take(pa.array(order)), scores[:, order]
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
+    rows = np.repeat(np.arange(len(names)), best.shape[1])
+    return pa.table({"query_id": names.take(pa.array(rows)), "id": ids.take(pa.array(best.ravel())), "score": pa.array(scores[rows, best.ravel()] + 0.0)})
+
+
+def _cut(table: pa.Table, limit: int) -> pa.Table:
+    """The best ``limit`` rows of each query."""
+    table = table.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
+    code = table.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+    return table.filter(pa.array(place < limit))
 
 
 def fuse(first: DataFrame, second: DataFrame, limit: int = 8, k: int = RRF_K) -> DataFrame:
@@ -78,6 +177,50 @@ def fuse(first: DataFrame, second: DataFrame, limit: int = 8, k: int = RRF_K) ->
     return ranked(summed, "query_id", "score", "id", limit)
 
 
+#: How many hits each stage keeps where nothing else is asked.
+DEPTHS = {"bm25": 20, "vector": 20, "fused": 8, "final": 5}
+MODES = ("bm25", "vector", "hybrid", "hybrid_rerank")
+
+
+def search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None = None, mode: str = "hybrid_rerank", where: Column | None = None, top_k: int | None = None, threshold: float = 0.0) -> DataFrame:
+    """(query_id, id, score, rank) of queries (query_id, query, query_vector) by one of MODES.
+
+    ``where`` is a condition on documents: it applies to what is returned and normalised, not to the corpus statistics. ``top_k``, 1 to 200,
+    makes every stage keep that many at least. ``threshold`` is on the scale of the mode's last score.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    if top_k is not None and not 1 <= top_k <= 200:
+        raise ValueError("top_k is from 1 to 200")
+    depth = {k: max(v, top_k or 0) for k, v in DEPTHS.items()}
+    keep = top_k or DEPTHS["final"]
+    allowed = None if where is None else stored(docs.where(where).select(F.col("doc_id").alias("id")), "allowed")
+    by_words = bm25(queries, keyword_index(docs), depth["bm25"], allowed) if mode != "vector" else None
+    if mode == "bm25":
+        found = by_words
+    else:
+        ours = vectors if allowed is None else vectors.join(allowed, "id", "left_semi")
+        by_vector = vector(queries.where("query_vector is not null"), ours, depth["vector"])
+        found = by_vector if mode == "vector" else fuse(by_words, by_vector, depth["fused"])
+        if mode == "hybrid_rerank":
+            found = rerank(found, queries, docs, depth["final"], threshold)
+    kept = found.where(F.col("score") >= threshold).select("query_id", "id", "score")
+    return ranked(kept, "query_id", "score", "id", keep)
+
+
+def rerank_faults(results: DataFrame) -> DataFrame:
+    """(query_id, fault) for answers of a rerank provider (query_id, hits, order: array<struct<index, score>>) that cannot be used; null for the others."""
+    index, score = F.transform("order", lambda x: x["index"]), F.transform("order", lambda x: x["score"])
+    bad_index = (F.size(F.array_distinct(index)) < F.size(index)) | F.exists(index, lambda i: ~i.between(0, F.col("hits") - 1))
+    bad_score = F.exists(score, lambda s: s.isNull() | F.isnan(s) | ~s.between(0.0, 1.0))
+    return results.select("query_id", F.when(bad_index, "invalid_result_index").when(bad_score, "invalid_result_score").when(F.size("order") == 0, "empty_results").alias("fault"))
+
+
+def unranked(hits: DataFrame) -> DataFrame:
+    """The order as it is, in place of a rerank: scores fall from the number of hits to 1."""
+    return hits.withColumn("score", (F.count("*").over(Window.partitionBy("query_id")) - F.col("rank") + 1).cast("double"))
+
+
 def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, limit: int = 5, threshold: float = 0.0) -> DataFrame:
     """Jaccard overlap of query and title + content tokens, best ``limit`` at or over ``threshold``."""
     body = docs.select(F.col("doc_id").alias("id"), T.tokens(F.concat_ws(" ", "title", "content")).alias("body"))

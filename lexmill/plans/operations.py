@@ -97,6 +97,7 @@ def interpolated_percentiles(spark, sf):
 
 @query("id_digest", "SELECT source, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS n FROM documents GROUP BY 1")
 def id_digest(spark, sf):
+    """The digest of a group's ids in order is one hash over all of them, so a group's ids, 8 bytes each, must fit one task: an integrity check of stores of millions of ids, not a plan for hot groups."""
     d = tables.read(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("k"))
     return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
 
@@ -175,14 +176,14 @@ def rate_limited(spark, sf):
 
 @query("sustained_errors", "SELECT event_type, min(ts) AS first, max(ts) AS last, count(*) AS points FROM (SELECT *, sum((NOT over_limit)::INT) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM (SELECT event_type, ts, event_id, value > 20 AS over_limit FROM events)) WHERE over_limit GROUP BY event_type, run HAVING count(*) >= 3")
 def sustained_errors(spark, sf):
-    e = tables.read(spark, sf, "events").select("event_type", F.struct("ts", "event_id").alias("at"), (F.col("value") > 20).alias("over"))
-    return monitoring.sustained(e, "event_type", "at", "over", 3).select("event_type", F.col("first.ts").alias("first"), F.col("last.ts").alias("last"), "points")
+    e = tables.read(spark, sf, "events").select("event_type", "ts", "event_id", (F.col("value") > 20).alias("over"))
+    return monitoring.sustained(e, "event_type", "ts", "event_id", "over", 3)
 
 
 @query("event_rates", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '6 hours' PRECEDING AND CURRENT ROW) AS increase, round(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) AS delta FROM events")
 def event_rates(spark, sf):
-    e = tables.traces(spark, sf).withColumn("us", F.unix_micros("ts"))
-    return e.select("event_id", F.count("*").over(Window.partitionBy("event_type").orderBy("us").rangeBetween(-6 * 3600 * 1_000_000, 0)).alias("increase"), F.round(F.col("value") - F.lag("value").over(Window.partitionBy("event_type").orderBy("ts", "event_id")), 6).alias("delta"))
+    r = monitoring.increases(tables.read(spark, sf, "events"), "event_type", "ts", "event_id", "value", 6)
+    return r.select("event_id", "increase", F.round("delta", 6).alias("delta"))
 
 
 @query("paired_questions", "SELECT item_id, coalesce(lead(item_id) OVER (ORDER BY item_id), min(item_id) OVER ()) AS next_id, ['fact', 'list', 'date', 'compare'][((row_number() OVER (ORDER BY item_id) - 1) % 4 + 1)::INT] AS category FROM benchmark")
@@ -219,13 +220,39 @@ def illegal_transitions(spark, sf):
     return e.join(F.broadcast(allowed), ["prev", "event_type"], "left_anti").select("user_id", "event_id", "prev", "event_type")
 
 
-@query("merged_alerts", "WITH a AS (SELECT event_type || ':' || user_id AS alert_key, count(*) AS c FROM events WHERE event_id % 2 = 0 GROUP BY 1), s AS (SELECT DISTINCT event_type || ':' || user_id AS alert_key FROM events WHERE event_id % 2 = 1 AND value > 10) SELECT coalesce(a.alert_key, s.alert_key) AS alert_key, CASE WHEN s.alert_key IS NULL THEN 'resolved' WHEN a.c > 5 THEN 'acknowledged' ELSE 'open' END AS status, (coalesce(a.c, 0) + (s.alert_key IS NOT NULL)::INT)::BIGINT AS occurrence_count FROM a FULL JOIN s ON a.alert_key = s.alert_key")
+_alert = "CASE WHEN event_type IN ('error', 'view') THEN 'monitor:' ELSE '' END || event_type || ':' || user_id"
+
+
+def _alerts(spark, sf):
+    prefix = F.when(F.col("event_type").isin("error", "view"), "monitor:").otherwise("")
+    return tables.read(spark, sf, "events").withColumn("alert_key", F.concat(prefix, F.col("event_type"), F.lit(":"), F.col("user_id").cast("string")))
+
+
+@query("merged_alerts", f"WITH a AS (SELECT {_alert} AS alert_key, count(*) AS c, CASE WHEN count(*) > 5 THEN 'acknowledged' WHEN count(*) % 2 = 0 THEN 'resolved' ELSE 'open' END AS status FROM events WHERE event_id % 2 = 0 GROUP BY 1), s AS (SELECT DISTINCT {_alert} AS alert_key FROM events WHERE event_id % 2 = 1 AND value > 10) SELECT coalesce(a.alert_key, s.alert_key) AS alert_key, CASE WHEN a.alert_key IS NULL OR (s.alert_key IS NOT NULL AND status = 'resolved') THEN 'open' WHEN s.alert_key IS NULL AND starts_with(a.alert_key, 'monitor:') THEN 'resolved' ELSE status END AS status, (coalesce(a.c, 0) + (s.alert_key IS NOT NULL)::INT)::BIGINT AS occurrence_count FROM a FULL JOIN s ON a.alert_key = s.alert_key")
 def merged_alerts(spark, sf):
-    e = tables.traces(spark, sf).withColumn("alert_key", F.concat_ws(":", "event_type", "user_id"))
-    a = e.where("event_id % 2 = 0").groupBy("alert_key").agg(F.count("*").alias("occurrence_count")).withColumn("status", F.when(F.col("occurrence_count") > 5, "acknowledged").otherwise("open"))
+    e, n = _alerts(spark, sf), F.col("occurrence_count")
+    a = e.where("event_id % 2 = 0").groupBy("alert_key").agg(F.count("*").alias("occurrence_count")).withColumn("status", F.when(n > 5, "acknowledged").when(n % 2 == 0, "resolved").otherwise("open"))
     return monitoring.merge_alerts(a, e.where("event_id % 2 = 1 and value > 10").select("alert_key").distinct())
 
 
+@query("acknowledged_alerts", f"SELECT {_alert} AS alert_key, CASE WHEN count(*) % 3 > 0 AND bool_or(value > 30) THEN 'acknowledged' WHEN count(*) % 3 = 0 THEN 'resolved' ELSE 'open' END AS status FROM events GROUP BY 1")
+def acknowledged_alerts(spark, sf):
+    e = _alerts(spark, sf)
+    a = e.groupBy("alert_key").agg(F.when(F.count("*") % 3 == 0, "resolved").otherwise("open").alias("status"))
+    return monitoring.acknowledge(a, e.where("value > 30").select("alert_key").distinct())
+
+
+@query("streamed_alerts", "SELECT user_id::VARCHAR AS alert_key, CASE WHEN arg_max(event_type = 'error', (ts, event_id)) THEN 'open' ELSE 'resolved' END AS status, count(*) FILTER (event_type = 'error') AS occurrence_count FROM events GROUP BY 1")
+def streamed_alerts(spark, sf):
+    """The lifecycle of alerts kept as state of a stream."""
+    import uuid
+
+    at = f"{tables.scratch(spark)}/streams/{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = monitoring.event_stream(spark, sf).select(F.col("user_id").cast("string").alias("alert_key"), (F.col("event_type") == "error").alias("bad"), "ts", "event_id")
+    return monitoring.drain_latest(monitoring.alert_stream(e), "alert_key", f"{at}/state", f"{at}/out")
+
+
 @query("id_set_changes", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'removed' WHEN a.id IS NULL THEN 'added' ELSE 'kept' END AS change FROM (SELECT DISTINCT doc_id AS id FROM documents WHERE n_chars > 300) a FULL JOIN (SELECT DISTINCT vec_id AS id FROM embeddings) b ON a.id = b.id")
 def id_set_changes(spark, sf):
     a = tables.read(spark, sf, "documents").where("n_chars > 300").select(F.col("doc_id").alias("id")).distinct().withColumn("old", F.lit(1))

@@ -82,6 +82,28 @@ def search_hybrid_rerank(spark, sf):
     return _reranked(spark, sf).select("query_id", "id", "score", "rank")
 
 
+FILTERED = BM25.replace("norm AS (SELECT query_id, id,", "kept AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.id WHERE d.lang = 'en'), norm AS (SELECT query_id, id,").replace("FROM scored WINDOW w", "FROM kept WINDOW w").replace("rank <= 20", "rank <= 30")
+
+
+@query("search_filtered", f"WITH {FILTERED} SELECT query_id, id, score, rank FROM bm25 WHERE score >= 0.1")
+def search_filtered(spark, sf):
+    """Keyword search among documents of one region, thirty hits at most and above a score."""
+    asked = questions(spark, sf).withColumn("query_vector", F.lit(None).cast("array<float>"))
+    return retrieval.search(asked, tables.documents(spark, sf), mode="bm25", where=F.col("region") == "en", top_k=30, threshold=0.1)
+
+
+@query("rerank_faults", "SELECT o_orderkey AS query_id, CASE WHEN count(DISTINCT l_linenumber) < count(*) OR max(l_linenumber) > 6 THEN 'invalid_result_index' WHEN max(l_quantity) > 48 THEN 'invalid_result_score' END AS fault FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def rerank_faults(spark, sf):
+    """Answers of a rerank provider that name a hit twice or none, or a score out of range."""
+    line = tables.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_linenumber") - 1).alias("index"), (F.col("l_quantity") / 48).alias("score"))
+    return retrieval.rerank_faults(line.groupBy("query_id").agg(F.lit(6).alias("hits"), F.collect_list(F.struct("index", "score")).alias("order")))
+
+
+@query("unranked_hits", f"WITH {BM25} SELECT query_id, id, (count(*) OVER (PARTITION BY query_id) - rank + 1)::DOUBLE AS score FROM bm25")
+def unranked_hits(spark, sf):
+    return retrieval.unranked(_bm25(spark, sf)).select("query_id", "id", "score")
+
+
 @query("keyword_terms", f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM terms JOIN raw USING (term)")
 def keyword_terms(spark, sf):
     return retrieval.keyword_index(tables.documents(spark, sf))["terms"].select("term", "df", F.round("idf", 9).alias("idf"))
@@ -92,18 +114,10 @@ RELEVANT = f"""rel AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b J
 
 
 def _relevant(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that contain the question's passage, white space and punctuation aside.
-
-    A shared run of five tokens is the equi-join key; containment is checked on what it brings together.
-    """
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - 4)), lambda i: F.array_join(F.slice(c, i, 5), " ")))
-    asked = questions(spark, sf).select("query_id", T.normalised(F.col("query")).alias("needle"), T.tokens(F.col("query")).alias("t"))
-    first = asked.where(F.size("t") >= 7).select("query_id", "needle", F.array_join(F.slice("t", 2, 5), " ").alias("run"))
-    # Tokens are a column of their own: inside the lambda they would be taken anew for every run.
-    worded = tables.documents(spark, sf).select("doc_id", T.tokens(F.col("content")).alias("t"))
-    docs = worded.select("doc_id", F.explode(runs(F.col("t"))).alias("run"))
-    met = docs.join(first, "run").select("query_id", "doc_id", "needle").distinct()
-    return met.join(tables.documents(spark, sf).select("doc_id", "content"), "doc_id").where(F.contains(T.normalised(F.col("content")), F.col("needle"))).select("query_id", "doc_id").distinct()
+    """Documents that contain the question's passage, white space and punctuation aside."""
+    asked = questions(spark, sf).select("query_id", T.normalised(F.col("query")).alias("text"))
+    docs = tables.documents(spark, sf).select("doc_id", T.normalised(F.col("content")).alias("text"))
+    return retrieval.containing(docs, "doc_id", asked, "query_id")
 
 
 METRICS = f"""got AS (SELECT query_id, list(id ORDER BY rank) AS retrieved FROM bm25 GROUP BY 1),

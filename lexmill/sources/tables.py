@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,13 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read again, so that several uses do not compute it twice."""
+    path = f"{scratch(df.sparkSession)}/stored/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_index(index: dict[str, DataFrame], path: str) -> None:
     """One Parquet table for each part of a keyword index."""
     for name in INDEX_TABLES:

@@ -28,23 +28,55 @@ def rate_limited(events: DataFrame, key: str, limit: int, width: str = "1 hour")
     return events.withColumn("allowed", F.row_number().over(order) <= limit)
 
 
-def sustained(points: DataFrame, key: str, at: str, over: str, least: int) -> DataFrame:
-    """(key, first, last, points): runs of at least ``least`` consecutive rows where ``over`` holds."""
-    order = Window.partitionBy(key).orderBy(at)
-    rows = points.withColumn("run", F.sum((~F.col(over)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(over)
-    return rows.groupBy(key, "run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("points")).where(F.col("points") >= least).drop("run")
+def sustained(points: DataFrame, key: str, ts: str, ident: str, over: str, least: int, width: str = "1 day") -> DataFrame:
+    """(key, first, last, points): runs of at least ``least`` consecutive rows, by time and id, where ``over`` holds.
+
+    Rows are numbered by the breaks before them: within ``width`` by a window, before that by totals of whole
+    widths, so no key's rows go through one task.
+    """
+    part = F.window(F.col(ts).cast("timestamp"), width).start
+    rows = points.withColumn("_part", part)
+    breaks = (~F.col(over)).cast("long")
+    totals = rows.groupBy(key, "_part").agg(F.sum(breaks).alias("_own"))
+    before = F.coalesce(F.sum("_own").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select(key, "_part", before.alias("_before"))  # one row for each width of time
+    inside = F.sum(breaks).over(Window.partitionBy(key, "_part").orderBy(ts, ident).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = rows.withColumn("_in", inside).where(over).join(offsets, [key, "_part"]).withColumn("_run", F.col("_in") + F.col("_before"))
+    runs = numbered.groupBy(key, "_run").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("points"))
+    return runs.where(F.col("points") >= least).drop("_run")
+
+
+def increases(events: DataFrame, key: str, ts: str, ident: str, value: str, hours: int) -> DataFrame:
+    """``events`` with ``increase``, rows of the key in the ``hours`` up to each, and ``delta`` to the value before, by time and id.
+
+    Rows stand in the part of time they are in and in the next one, so a window over one part sees all that a row looks back on;
+    the value before a part's first row is carried over parts that may be empty.
+    """
+    step = hours * 3600 * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.withColumn("_us", us).withColumn("_part", F.floor(F.col("_us") / step))
+    twice = rows.withColumn("_seen", F.explode(F.array(F.col("_part"), F.col("_part") + 1)))
+    near = F.count("*").over(Window.partitionBy(key, "_seen").orderBy("_us").rangeBetween(-step, 0))
+    counted = twice.withColumn("increase", near).where("_seen = _part").drop("_seen")
+    ends = rows.groupBy(key, "_part").agg(F.max_by(value, F.struct(ts, ident)).alias("_end"))
+    carried = ends.select(key, "_part", F.lag("_end").over(Window.partitionBy(key).orderBy("_part")).alias("_carried"))  # one row for each part of time
+    before = F.lag(value).over(Window.partitionBy(key, "_part").orderBy(ts, ident))
+    return counted.join(carried, [key, "_part"], "left").withColumn("delta", F.col(value) - F.coalesce(before, F.col("_carried"))).drop("_us", "_part", "_carried")
 
 
 def merge_alerts(alerts: DataFrame, seen: DataFrame) -> DataFrame:
-    """(alert_key, status, occurrence_count) after one round: seen keys open or reopen and count up, missing ones resolve."""
+    """(alert_key, status, occurrence_count) after one round: seen keys count up and resolved ones reopen; of those not seen the ones that a monitor raised resolve."""
     a, s = alerts.alias("a"), seen.alias("s")
     joined = a.join(s, F.col("a.alert_key") == F.col("s.alert_key"), "full_outer")
-    there = F.col("s.alert_key").isNotNull()
-    return joined.select(
-        F.coalesce("a.alert_key", "s.alert_key").alias("alert_key"),
-        F.when(~there, "resolved").when(F.col("a.status") == "acknowledged", "acknowledged").otherwise("open").alias("status"),
-        (F.coalesce("a.occurrence_count", F.lit(0)) + there.cast("long")).cast("long").alias("occurrence_count"),
-    )
+    there, new = F.col("s.alert_key").isNotNull(), F.col("a.alert_key").isNull()
+    status = F.when(new | (there & (F.col("a.status") == "resolved")), "open").when(~there & F.col("a.alert_key").startswith("monitor:"), "resolved").otherwise(F.col("a.status"))
+    return joined.select(F.coalesce("a.alert_key", "s.alert_key").alias("alert_key"), status.alias("status"), (F.coalesce("a.occurrence_count", F.lit(0)) + there.cast("long")).cast("long").alias("occurrence_count"))
+
+
+def acknowledge(alerts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``alerts`` with those of ``keys`` acknowledged that are not resolved."""
+    asked = alerts.join(keys.select("alert_key", F.lit(True).alias("_asked")), "alert_key", "left")
+    return asked.withColumn("status", F.when(F.col("_asked") & (F.col("status") != "resolved"), "acknowledged").otherwise(F.col("status"))).drop("_asked")
 
 
 class AlertLifecycle(StatefulProcessor):
@@ -70,6 +102,18 @@ def alert_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("alert_key").transformWithStateInPandas(AlertLifecycle(), "alert_key string, status string, occurrence_count long", "Update", "None")
 
 
+def drain_latest(stream: DataFrame, key: str, checkpoint: str, out: str) -> DataFrame:
+    """Run a stream of updates over what is there now, and read the last one of each key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{out}/batch=*")
+    rest = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("u")).select(key, "u.*")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
