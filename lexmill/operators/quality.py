@@ -40,17 +40,35 @@ def rule_filter(title: Column, content: Column, official: Column, rules: Rules =
 
 
 def near_pairs(prints: DataFrame, id_col: str, distance: int = 3) -> DataFrame:
-    """(a, b, distance) of different prints within ``distance`` bits, from columns id, hi, lo (32-bit halves).
+    """(a, b, distance) of different prints within ``distance`` bits, three at most, from columns id, hi, lo (32-bit halves).
 
-    Four 16-bit bands make an equi-join that misses nothing within three bits; equal
-    prints are one row beforehand, so copies are never paired with each other.
+    One of the halves differs in one bit or none, so halves are indexed under their 32 forms with one bit left open:
+    an equi-join that misses nothing and brings few others together. Equal prints are one row, named by the smallest id:
+    ``print_members`` tells which rows they are.
     """
+    if distance > 3:
+        raise ValueError("two halves find up to three bits")
     kinds = prints.groupBy("hi", "lo").agg(F.min(id_col).alias("id"))
-    band = kinds.select("id", "hi", "lo", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"({'hi' if k < 2 else 'lo'} >> {16 * (k % 2)}) & 65535").alias("v")) for k in range(4)])).alias("band"))
-    a = band.select("band", F.col("id").alias("a"), F.col("hi").alias("ah"), F.col("lo").alias("al"))
-    b = band.select("band", F.col("id").alias("b"), F.col("hi").alias("bh"), F.col("lo").alias("bl"))
+    halves = kinds.select("id", "hi", "lo", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("hi").alias("v")), F.struct(F.lit(1).alias("half"), F.col("lo").alias("v")))).alias("s"))
+    open_bit = halves.select("id", "hi", "lo", "s.half", "s.v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("place"))
+    key = F.expr("(v & ~shiftleft(1L, place)) + shiftleft(cast(half * 32 + place as bigint), 32)")
+    form = open_bit.select("id", "hi", "lo", "place", key.alias("key"), F.expr("(v >> place) & 1L").alias("bit"))
+    a = form.select("key", "place", F.col("bit").alias("ax"), F.col("id").alias("a"), F.col("hi").alias("ah"), F.col("lo").alias("al"))
+    b = form.select("key", F.col("bit").alias("bx"), F.col("id").alias("b"), F.col("hi").alias("bh"), F.col("lo").alias("bl"))
     bits = (F.bit_count(F.col("ah").bitwiseXOR(F.col("bh"))) + F.bit_count(F.col("al").bitwiseXOR(F.col("bl")))).cast("long")
-    return a.join(b, "band").where("a < b").select("a", "b", bits.alias("distance")).where(F.col("distance") <= distance).distinct()
+    met = a.join(b, "key").where("a < b and (ax <> bx or place = 0)")
+    return met.select("a", "b", bits.alias("distance")).where(F.col("distance") <= distance).distinct()
+
+
+def members(rows: DataFrame, id_col: str, *same: str) -> DataFrame:
+    """(id, copy_of): the smallest id among the rows that have the same values, for each of them."""
+    least = rows.groupBy(*same).agg(F.min(id_col).alias("copy_of"))
+    return rows.join(least, list(same)).select(id_col, "copy_of")
+
+
+def print_members(prints: DataFrame, id_col: str) -> DataFrame:
+    """(id, copy_of): which row of ``near_pairs`` stands for each."""
+    return members(prints, id_col, "hi", "lo")
 
 
 def authoritative(copies: DataFrame, group: str) -> DataFrame:

@@ -46,6 +46,12 @@ def near_duplicate_pairs(spark, sf):
     return quality.near_pairs(T.token_simhash(tables.documents(spark, sf), "doc_id", "content"), "doc_id")
 
 
+@query("print_members", f"WITH {SIMHASH} SELECT doc_id, min(doc_id) OVER (PARTITION BY hi, lo) AS copy_of FROM prints")
+def print_members(spark, sf):
+    """Which document stands for each in ``near_duplicate_pairs``."""
+    return quality.print_members(T.token_simhash(tables.documents(spark, sf), "doc_id", "content"), "doc_id")
+
+
 @query(
     "authoritative_copies",
     """SELECT h AS content_hash, arg_max(doc_id, official::INT * 1000000000000 + n_chars * 1000000 + doc_id) AS authority_id, count(*) AS copies FROM (

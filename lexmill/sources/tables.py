@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Versioned layout of a saved keyword index.
-INDEX_TABLES = ("postings", "terms", "chunk_stats")
+INDEX_TABLES = ("postings", "terms", "chunk_stats", "corpus")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,7 @@ def write_report(rows: DataFrame, path: str) -> None:
     """A report as JSON lines and as CSV with nested columns written as JSON."""
     rows.write.mode("overwrite").json(f"{path}/json")
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in rows.dtypes]
-    rows.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", "\"").csv(f"{path}/csv")
 
 
 def upsert(table: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
