@@ -203,11 +203,11 @@ def latency_report(samples: DataFrame, *by: str, value: str = "value", error: Co
 LOWER_IS_BETTER = ("latency", "error_rate")
 
 
-def compare(baseline: DataFrame, candidate: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def compare(baseline: DataFrame, candidate: DataFrame, tolerance: float = 0.0, lower_is_better: tuple[str, ...] = LOWER_IS_BETTER) -> DataFrame:
     """(metric, baseline, candidate, delta, regressed) from two (metric, value) tables."""
     b, c = baseline.select("metric", F.col("value").alias("baseline")), candidate.select("metric", F.col("value").alias("candidate"))
     delta = F.col("candidate") - F.col("baseline")
-    worse = F.when(F.col("metric").isin(*LOWER_IS_BETTER), delta > tolerance).otherwise(delta < -tolerance)
+    worse = F.when(F.col("metric").isin(*lower_is_better), delta > tolerance).otherwise(delta < -tolerance)
     return b.join(c, "metric").select("metric", "baseline", "candidate", F.round(delta, 6).alias("delta"), worse.alias("regressed"))
 
 

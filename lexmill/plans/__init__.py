@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its queries."""
 
-from . import curation, evaluation, files, lifecycle, operations, retrieval, review, telemetry  # noqa: F401
+from . import curation, evaluation, experiments, files, lifecycle, operations, retrieval, review, telemetry  # noqa: F401

@@ -3,10 +3,11 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import json as J
-from lexmill.operators import discovery, evaluation, evidence, lifecycle
+from lexmill.operators import discovery, evaluation, evidence, experiments, lifecycle
 from lexmill.sources import files
 
 
@@ -102,3 +103,19 @@ def test_task_transitions(spark):
     steps = spark.createDataFrame([(1, "pending", "running"), (2, "pending", "queued"), (3, "completed", "pending")], "task_id long, expected string, target string")
     out = {r.task_id: (r.status, r.moved) for r in lifecycle.advance(tasks, steps, F.current_timestamp()).collect()}
     assert out == {1: ("running", True), 2: ("running", False), 3: ("completed", False)}
+
+
+def test_experiment_rules(spark):
+    v = experiments.Variant("a", {"chunk_size": 600, "chunking": {"max_chars": 900}, "overlap": 50, "top_k": 7})
+    assert (v.chunks().target, v.chunks().most, v.chunks().overlap, v.chunks().least, v.depth()) == (600, 900, 50, 160, 7)
+    for make in (lambda: experiments.Variant("a", {"colour": 1}), lambda: experiments.Variant("a", {"rrf_k": float("nan")}), lambda: experiments.Experiment("x", v, v), lambda: experiments.Variant("a", {"chunking": {"size": 1}}).chunks()):
+        with pytest.raises(ValueError):
+            make()
+    cases = lambda rows: spark.createDataFrame(rows, "query_id long, recall double, hit double, mrr double, passed boolean")
+    a, b = cases([(1, 1.0, 1.0, 1.0, True), (2, 0.0, 0.0, 0.0, False)]), cases([(1, 0.5, 1.0, 0.5, False), (2, 0.0, 0.0, 0.0, False)])
+    e = experiments.Experiment("x", experiments.Variant("a"), experiments.Variant("b"))
+    out = {r.metric: (r.regressed, r.conclusion) for r in experiments.compare(e, a, b).collect()}
+    assert {m: r[0] for m, r in out.items()} == {"recall": True, "hit": False, "mrr": True} and "2 candidate failed" in out["hit"][1]
+    assert sorted((r.query_id, r.new_regression) for r in experiments.case_changes(a, b).collect()) == [(1, True), (2, False)]
+    with pytest.raises(Exception, match="only one variant"):
+        experiments.case_changes(a, b.where("query_id = 1")).collect()
