@@ -105,6 +105,7 @@ def test_links(spark):
     assert column(spark, ["http://h/a.PDF?x=1", "http://h/a.b/c", "http://h"], web.extension) == [".pdf", "", ""]
     links = [[("http://h/3", "3", "", ""), ("http://h/2?page=2", "Next >", "", "")], [("http://h/l?page=5", "5", "", ""), ("http://h/l?page=4", "4", "", "")], [("http://h/x", "x", "next", "")], []]
     rows = spark.createDataFrame([(i, "http://h/l?page=3&k=v", x) for i, x in enumerate(links)], "i int, u string, l array<struct<href:string,text:string,rel:string,aria:string>>")
+    rows = rows.select("i", "u", F.transform("l", lambda x: x.withField("n", web.page_number(x["href"]))).alias("l"))
     assert [r.n for r in rows.select("i", web.next_page(F.col("u"), F.col("l")).alias("n")).orderBy("i").collect()] == ["http://h/2?page=2", "http://h/l?page=4", "http://h/x", "http://h/l?k=v&page=4"]
     assert column(spark, ['{"a": 1}', "<div class='x detail'>", "<a href='/'>", "<script>", "text"], lambda c: web.page_kind(c, F.lit("text/html"))) == ["json_api", "html_detail_or_mixed", "html_list_or_navigation", "spa_shell", "unknown"]
 
