@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, discard, held, in_steps, map_batches, materialize
+from .common import discard, held, in_steps, map_batches, materialize
 
 #: Documents that corpus candidates for training come from, at most. The dictionary and transitions are counted over all documents.
 SAMPLE_DOCS = 3000
@@ -249,35 +249,34 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, seed: int = 0, text_col
     n = max(1, rows.count())
     part = F.xxhash64("text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 
-    def flushed(count: dict[str, int], table: np.ndarray) -> pa.RecordBatch:
-        a, b = np.nonzero(table)
-        steps = [f"{x} {y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([True] * len(count) + [False] * len(steps), pa.bool_()), pa.array([*count, *steps], pa.string()), pa.array([*count.values(), *table[a, b].tolist()], pa.int64())], names=["word", "what", "n"])
-
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents that each word is in, and transitions within them."""
+        """Documents that each word is in."""
         count: dict[str, int] = {}
-        table = np.zeros((30, 30), np.int64)
-        place = Memo(TextStatistics.steps, FLUSH_WORDS)
         for step in in_steps(batches):
             for t in step.column(0).to_pylist():
                 for w in set(_word.findall(t.lower())):
                     count[w] = count.get(w, 0) + 1
-                    np.add.at(table, place[w], 1)
             if len(count) >= FLUSH_WORDS:
-                yield flushed(count, table)
-                count, table = {}, np.zeros((30, 30), np.int64)
-        yield flushed(count, table)
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["what", "n"])
+                count = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["what", "n"])
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Transitions within words, each as often as documents have the word."""
+        table = np.zeros((30, 30), np.int64)
+        for batch in batches:
+            for w, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                np.add.at(table, TextStatistics.steps(w), times)
+        a, b = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(table[a, b])], names=["a", "b", "n"])
 
-    told = materialize(rows.transform(map_batches, counted, "word boolean, what string, n long").groupBy("word", "what").agg(F.sum("n").alias("n")), "words")
-    words = told.where("word").orderBy(F.desc("n"), "what").limit(DICTIONARY_WORDS).toArrow()
-    steps = told.where("not word").toArrow()  # 900 rows at most
+    told = materialize(rows.transform(map_batches, counted, "what string, n long").groupBy("what").agg(F.sum("n").alias("n")), "words")
+    words = told.orderBy(F.desc("n"), "what").limit(DICTIONARY_WORDS).toArrow()
+    steps = told.transform(map_batches, stepped, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # 900 rows at most
     discard(told)
     known = words.column("what").to_pylist() or ["the", "and"]
     table = np.full((30, 30), 0.5)
-    for what, times in zip(steps.column("what").to_pylist(), steps.column("n").to_pylist(), strict=True):
-        a, b = what.split()
-        table[int(a), int(b)] += times
+    table[steps.column("a").to_numpy(), steps.column("b").to_numpy()] += steps.column("n").to_numpy()
     stats = TextStatistics(frozenset(w for w in known if len(w) >= 4), np.log(table / table.sum(1, keepdims=True)))
 
     def findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
