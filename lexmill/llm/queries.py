@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, embeddings, langid, lines, secrets, sharding, simhash, substring, toxicity
+from . import bpe, conversations, decontaminate, embeddings, fingerprints, langid, lines, secrets, sharding, simhash, substring, toxicity
 
 BPE_RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -72,13 +72,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_windows(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return fingerprints.compare_with_edits(docs, fingerprints.fit(docs))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")
     return conversations.summary_of_all(conversations.damaged(rows), rows)
 
 
 def queries() -> dict:
-    own = (op1_simhash_dedup, op2_byte_bpe, op3_language_id, op4_embedding_dedup, op5_sharding, op6_toxicity, op7_decontaminate, op8_line_dedup, op9_secret_scan, op10_substring_dedup, op13_conversation_repair)
+    own = (op1_simhash_dedup, op2_byte_bpe, op3_language_id, op4_embedding_dedup, op5_sharding, op6_toxicity, op7_decontaminate, op8_line_dedup, op9_secret_scan, op10_substring_dedup, op11_document_fingerprints, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
