@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Bytes of a window, windows of a run, and runs that a selected window must be the least probable of.
-WINDOW, RUN, POPULAR = 32, 32, 8
+WINDOW, RUN, POPULAR = 16, 16, 4
 #: Entropies are thousandths of the largest; windows below LOW (runs of few characters) say nothing.
 BINS, LOW = 1001, 100
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 128, 5

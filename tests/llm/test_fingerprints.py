@@ -9,6 +9,7 @@ import pytest
 from lexmill.llm import fingerprints
 from lexmill.llm.fingerprints import Digest, Piece
 
+W = fingerprints.WINDOW
 WORDS = ["alpha", "beta", "ten", "of", "and", "río", "the", "qu", "einer", "0x7f", "été", "zz", "=-"]
 
 
@@ -18,7 +19,8 @@ def prose(rng, n):
 
 def plain_entropy(window):
     total = sum(round(c * math.log2(c) * (1 << 20)) for c in Counter(window).values())
-    return 1000 * (160 * (1 << 20) - total) // (160 * (1 << 20))
+    whole = fingerprints.WINDOW * round(math.log2(fingerprints.WINDOW)) << 20
+    return 1000 * (whole - total) // whole
 
 
 def plain_features(data, ranks):
@@ -44,9 +46,9 @@ def test_entropies_and_features_match_plain_counts(ranks, monkeypatch):
     rng = random.Random(1)
     texts = [prose(rng, n).encode() for n in (0, 1, 6, 7, 12, 40, 300)] + [b"a" * 90, b"ab" * 60, b"-" * 40 + prose(rng, 9).encode() + b"-" * 40]
     for t in texts:
-        assert fingerprints.entropies(np.frombuffer(t, np.uint8)).tolist() == [plain_entropy(t[i : i + 32]) for i in range(len(t) - 31)]
+        assert fingerprints.entropies(np.frombuffer(t, np.uint8)).tolist() == [plain_entropy(t[i : i + W]) for i in range(len(t) - W + 1)]
     want = [plain_features(t, ranks) for t in texts]
-    whole = [Piece(t, 0, max(0, len(t) - 31)) for t in texts]
+    whole = [Piece(t, 0, max(0, len(t) - W + 1)) for t in texts]
     for step in (64, 257, 1 << 20):
         monkeypatch.setattr(fingerprints, "STEP_BYTES", step)
         found = fingerprints.features(whole, ranks)
@@ -59,7 +61,7 @@ def test_statistics_cover_every_window(spark):
     rng = random.Random(2)
     texts = [prose(rng, n) for n in (3, 30, 90, 200)] + [None, "", "short"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    counts = Counter(plain_entropy(t.encode()[i : i + 32]) for t in texts if t for i in range(len(t.encode()) - 31))
+    counts = Counter(plain_entropy(t.encode()[i : i + W]) for t in texts if t for i in range(len(t.encode()) - W + 1))
     order = sorted(range(fingerprints.BINS), key=lambda b: (counts[b], b))
     assert fingerprints.fit(docs).tolist() == [-1 if b < fingerprints.LOW else order.index(b) for b in range(fingerprints.BINS)]
     assert len(fingerprints.fit(docs.limit(0))) == fingerprints.BINS
