@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, decontaminate, embeddings, fingerprints, langid, lines, secrets, sharding, simhash, substring, toxicity
+from . import bpe, conversations, decontaminate, embeddings, fingerprints, langid, lines, ranked, secrets, sharding, simhash, substring, toxicity
 
 BPE_RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
@@ -77,13 +77,17 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(docs, fingerprints.fit(docs))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")
     return conversations.summary_of_all(conversations.damaged(rows), rows)
 
 
 def queries() -> dict:
-    own = (op1_simhash_dedup, op2_byte_bpe, op3_language_id, op4_embedding_dedup, op5_sharding, op6_toxicity, op7_decontaminate, op8_line_dedup, op9_secret_scan, op10_substring_dedup, op11_document_fingerprints, op13_conversation_repair)
+    own = (op1_simhash_dedup, op2_byte_bpe, op3_language_id, op4_embedding_dedup, op5_sharding, op6_toxicity, op7_decontaminate, op8_line_dedup, op9_secret_scan, op10_substring_dedup, op11_document_fingerprints, op12_ranked_search, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
@@ -105,5 +109,16 @@ WINDOWS_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''
  SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN told ON told.doc_id = w.doc_id"""
 
 
+#: Every item against every document.
+RANKED_SQL = r"""WITH t AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS nth, text FROM documents UNION ALL SELECT 'i', item_id, row_number() OVER (), text FROM benchmark),
+ w AS (SELECT kind, id, nth, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
+ tf AS (SELECT id AS doc_id, nth, term, count(*) AS tf FROM w WHERE kind = 'd' GROUP BY ALL),
+ d AS (SELECT nth, sum(tf)::BIGINT AS n FROM tf GROUP BY 1), c AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d),
+ q AS (SELECT DISTINCT id AS item_id, nth AS item, term FROM w WHERE kind = 'i'),
+ weighed AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), c),
+ scored AS (SELECT item_id, item, doc_id, tf.nth, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN weighed USING (term) JOIN d ON d.nth = tf.nth, c GROUP BY ALL)
+ SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": EMBEDDING_SQL, "op10_substring_dedup": WINDOWS_SQL}
+    return {"op4_embedding_dedup": EMBEDDING_SQL, "op10_substring_dedup": WINDOWS_SQL, "op12_ranked_search": RANKED_SQL}
