@@ -37,9 +37,14 @@ def _statistics(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = words.select(F.size("tokens").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
     counted = stored(rows.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.when(F.col("term").isNull(), F.col("dl"))).alias("mean")), "terms")
     corpus = counted.where("term is null").select(F.col("df").alias("n"), "mean")
-    raw = counted.where("term is not null").join(F.broadcast(corpus.select("n"))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))  # one row
+    return inverse_frequencies(counted.where("term is not null").select("term", "df"), corpus), corpus
+
+
+def inverse_frequencies(counted: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, df, idf) from the document frequencies of all terms; a negative weight becomes a share of the mean weight."""
+    raw = counted.join(F.broadcast(corpus.select("n"))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))  # one row
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")), corpus
+    return raw.join(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
 def keyword_index(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> dict[str, DataFrame]:

@@ -53,6 +53,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Folder:
+    """Small files in a folder of any store that Spark writes to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark.sparkContext._jvm
+        self._at = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._at, name)
+
+    def names(self) -> list[str]:
+        """What is in the folder; none where there is no folder."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at)) if self._fs.exists(self._at) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self._fs.create(self._path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """Write beside and rename into place, so that a reader sees all of it or nothing; an error where ``name`` is there already."""
+        beside = f".{name}-{uuid.uuid4().hex}"
+        self.write(beside, text)
+        if self._fs.exists(self._path(name)) or not self._fs.rename(self._path(beside), self._path(name)):
+            self.delete(beside)
+            raise RuntimeError(f"{name} was written by another")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+
 def save_index(index: dict[str, DataFrame], path: str) -> None:
     """One Parquet table for each part of a keyword index."""
     for name in INDEX_TABLES:
