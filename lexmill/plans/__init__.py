@@ -1,3 +1,3 @@
 """Registered queries; importing a module registers its queries."""
 
-from . import curation, evaluation, experiments, files, indexing, lifecycle, operations, pages, retrieval, review, telemetry  # noqa: F401
+from . import curation, evaluation, experiments, files, indexing, lifecycle, operations, pages, retrieval, review, telemetry, validation  # noqa: F401
