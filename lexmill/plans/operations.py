@@ -242,17 +242,6 @@ def acknowledged_alerts(spark, sf):
     return monitoring.acknowledge(a, e.where("value > 30").select("alert_key").distinct())
 
 
-@query("streamed_alerts", "SELECT user_id::VARCHAR AS alert_key, CASE WHEN arg_max(event_type = 'error', (ts, event_id)) THEN 'open' ELSE 'resolved' END AS status, count(*) FILTER (event_type = 'error') AS occurrence_count FROM events GROUP BY 1")
-def streamed_alerts(spark, sf):
-    """The lifecycle of alerts kept as state of a stream."""
-    import uuid
-
-    at = f"{tables.scratch(spark)}/streams/{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = monitoring.event_stream(spark, sf).select(F.col("user_id").cast("string").alias("alert_key"), (F.col("event_type") == "error").alias("bad"), "ts", "event_id")
-    return monitoring.drain_latest(monitoring.alert_stream(e), "alert_key", f"{at}/state", f"{at}/out")
-
-
 @query("id_set_changes", "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'removed' WHEN a.id IS NULL THEN 'added' ELSE 'kept' END AS change FROM (SELECT DISTINCT doc_id AS id FROM documents WHERE n_chars > 300) a FULL JOIN (SELECT DISTINCT vec_id AS id FROM embeddings) b ON a.id = b.id")
 def id_set_changes(spark, sf):
     a = tables.read(spark, sf, "documents").where("n_chars > 300").select(F.col("doc_id").alias("id")).distinct().withColumn("old", F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,26 +82,214 @@ def acknowledge(alerts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 class AlertLifecycle(StatefulProcessor):
-    """The same lifecycle per key in a stream: an error opens or counts, anything else resolves."""
+    """The rule of ``merge_alerts`` in a stream: a round is a fixed stretch of event time, closed by the watermark.
+
+    A key counts once for each round that has a row of it and is open from then on; a key that a monitor raised is resolved once a
+    round closes without it. Rounds are a set, so the order in which rows come makes no difference. A key's state goes with ``forget`` rounds without it.
+    """
+
+    def __init__(self, round_ms: int, forget: int | None = None):
+        self.round_ms, self.forget = round_ms, forget
 
     def init(self, handle):
-        self.state = handle.getValueState("alert", "status string, occurrences long")
+        self.handle = handle
+        self.state = handle.getValueState("alert", "status string, occurrences long, last long, sent boolean")
+        self.waiting = handle.getMapState("rounds", "round long", "rows long")
 
     def handleInputRows(self, key, rows, timerValues):
-        status, count = self.state.get() if self.state.exists() else ("resolved", 0)
+        fresh = set()
         for batch in rows:
-            for bad in batch.sort_values(["ts", "event_id"])["bad"]:
-                status, count = ("open", count + 1) if bad else ("resolved", count)
-        self.state.update((status, int(count)))
+            fresh |= set((batch["ts"].astype("datetime64[ms]").astype("int64") // self.round_ms).tolist())
+        for nth in fresh:
+            if not self.waiting.containsKey((nth,)):
+                self.waiting.updateValue((nth,), (1,))
+                self.handle.registerTimer((nth + 1) * self.round_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        closed = timerValues.getCurrentWatermarkInMs() // self.round_ms  # rounds before this one are over
+        status, count, last, _ = self.state.get() if self.state.exists() else ("resolved", 0, -1, False)
+        over = sorted(r for (r,) in self.waiting.keys() if r < closed)
+        for nth in over:
+            self.waiting.removeKey((nth,))
+        if over:
+            count, last, status = count + len(over), over[-1], "open"
+            self.handle.registerTimer((last + 2) * self.round_ms)
+        if last + 1 < closed and key[0].startswith("monitor:"):
+            status = "resolved"
+            if self.forget is not None and last + self.forget < closed:
+                self.state.clear()
+                yield pd.DataFrame({"alert_key": [key[0]], "status": [status], "occurrence_count": [int(count)]})
+                return
+            if self.forget is not None:
+                self.handle.registerTimer((last + self.forget + 1) * self.round_ms)
+        self.state.update((status, int(count), int(last), True))
         yield pd.DataFrame({"alert_key": [key[0]], "status": [status], "occurrence_count": [int(count)]})
 
     def close(self):
         pass
 
 
-def alert_stream(events: DataFrame) -> DataFrame:
-    """(alert_key, status, occurrence_count) per key and micro-batch, from columns alert_key, bad, ts, event_id."""
-    return events.groupBy("alert_key").transformWithStateInPandas(AlertLifecycle(), "alert_key string, status string, occurrence_count long", "Update", "None")
+def alert_stream(events: DataFrame, round_minutes: int = 60, late: str = "0 seconds", forget: int | None = None) -> DataFrame:
+    """(alert_key, status, occurrence_count) whenever a key changes, from the rows (alert_key, ts) of a stream that raise alerts."""
+    rows = events.select("alert_key", "ts").withWatermark("ts", late).groupBy("alert_key")
+    return rows.transformWithStateInPandas(AlertLifecycle(round_minutes * 60_000, forget), "alert_key string, status string, occurrence_count long", "Update", "EventTime")
+
+
+class HeldAlert(StatefulProcessor):
+    """Pending, firing and over for each key, by event-time timers.
+
+    Rows wait in state until the watermark is past them and are then walked in order, so late and unordered rows make no difference.
+    Between rows a timer fires the alert once it has held for long enough, or ends it once there has been no row for too long.
+    """
+
+    def __init__(self, hold_us: int, gap_us: int):
+        self.hold_us, self.gap_us = hold_us, gap_us
+
+    def init(self, handle):
+        self.handle = handle
+        self.run = handle.getValueState("run", "start long, last long, firing boolean")
+        self.rows = handle.getListState("rows", "us long, event_id long, active boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        fresh = []
+        for batch in rows:
+            fresh += zip(batch["ts"].astype("datetime64[us]").astype("int64").tolist(), batch["event_id"].tolist(), batch["active"].tolist(), strict=True)
+        self.rows.appendList(fresh)
+        self.handle.registerTimer(min(f[0] for f in fresh) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.rows.get())
+        start, last, firing = self.run.get() if self.run.exists() else (None, None, False)
+        out = []
+
+        def over(now: int) -> None:
+            """What time alone does before ``now``."""
+            nonlocal start, firing
+            if start is None:
+                return
+            end = last + self.gap_us
+            if not firing and start + self.hold_us < min(now, end):
+                firing = True
+                out.append(("firing", start + self.hold_us))
+            if end < now:
+                out.append(("resolved" if firing else "inactive", end))
+                start, firing = None, False
+
+        for us, _, active in waiting:
+            if us >= until:
+                break
+            over(us)
+            if active:
+                if start is None:
+                    start, firing = us, False
+                    out.append(("pending", us))
+                last = us
+            elif start is not None:
+                out.append(("resolved" if firing else "inactive", us))
+                start, firing = None, False
+        over(until)
+        left = [w for w in waiting if w[0] >= until]
+        self.rows.clear()
+        if left:
+            self.rows.put(left)
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        if start is None:
+            self.run.clear()
+        else:
+            self.run.update((start, last, firing))
+            self.handle.registerTimer((last + self.gap_us if firing else min(start + self.hold_us, last + self.gap_us)) // 1000 + 1)
+        if out:
+            yield _changes(key, out)
+
+    def close(self):
+        pass
+
+
+def _changes(key, rows: list[tuple[str, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"alert_key": [key[0]] * len(rows), "state": [r[0] for r in rows], "at": pd.to_datetime([r[1] for r in rows], unit="us")})
+
+
+def held_alert_stream(samples: DataFrame, hold_minutes: float, gap_minutes: float, late: str = "0 seconds") -> DataFrame:
+    """``held_alerts`` of a stream: (alert_key, state, at) of what lies before the watermark."""
+    rows = samples.select("alert_key", "ts", "event_id", "active").withWatermark("ts", late).groupBy("alert_key")
+    machine = HeldAlert(int(hold_minutes * 60_000_000), int(gap_minutes * 60_000_000))
+    return rows.transformWithStateInPandas(machine, "alert_key string, state string, at timestamp", "Append", "EventTime")
+
+
+def _seen_before(samples: DataFrame, keys: list[str], step_us: int, order: list[str], columns: list[str]) -> DataFrame:
+    """``samples`` (with ``_us``) and, as ``_before_*``, ``columns`` of the row before, null if that is not in this or the last ``step_us``.
+
+    Each row stands in its own part of time and in the next one, so a window over one part sees all that counts.
+    """
+    parted = samples.withColumn("_part", F.floor(F.col("_us") / step_us))
+    twice = parted.withColumn("_seen", F.explode(F.array(F.col("_part"), F.col("_part") + 1)))
+    window = Window.partitionBy(*keys, "_seen").orderBy(*order)
+    return twice.select("*", *[F.lag(c).over(window).alias(f"_before_{c}") for c in columns]).where("_seen = _part").drop("_seen", "_part")
+
+
+def held_alerts(samples: DataFrame, hold_minutes: float, gap_minutes: float, until: datetime | None = None, width_minutes: float = 1440) -> DataFrame:
+    """(alert_key, state, at): when the alert of each key is pending, firing, resolved (after firing) or inactive (before), from samples (alert_key, ts, event_id, active).
+
+    It is pending from the first active sample, and firing once it has been active for longer than ``hold_minutes``. It ends at the first sample that is not
+    active, or ``gap_minutes`` after the last one if none follows within that time. Only what lies before ``until`` is told, whole milliseconds
+    as a stream's watermark has; samples count in order of time and id. Rows without a time or key are ignored, a null state is not active.
+    """
+    hold, gap, width = (int(m * 60_000_000) for m in (hold_minutes, gap_minutes, max(width_minutes, gap_minutes)))
+    rows = samples.where("ts is not null and alert_key is not null").select("alert_key", "event_id", F.coalesce("active", F.lit(False)).alias("active"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    if until is not None:
+        rows = rows.where(F.col("_us") < F.unix_micros(F.date_trunc("millisecond", F.lit(until))))
+    seen = _seen_before(rows, ["alert_key"], width, ["_us", "event_id"], ["_us", "active"])
+    goes_on = F.col("_before_active") & (F.col("_us") - F.col("_before__us") <= gap)
+    starts = (F.col("active") & ~F.coalesce(goes_on, F.lit(False))).cast("long")
+    marked = seen.withColumn("_starts", starts).withColumn("_part", F.floor(F.col("_us") / width))
+    totals = marked.groupBy("alert_key", "_part").agg(F.sum("_starts").alias("_own"))
+    before = F.coalesce(F.sum("_own").over(Window.partitionBy("alert_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("alert_key", "_part", before.alias("_offset"))  # one row for each part of time
+    inside = F.sum("_starts").over(Window.partitionBy("alert_key", "_part").orderBy("_us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = marked.withColumn("_in", inside).join(offsets, ["alert_key", "_part"]).withColumn("_run", F.col("_in") + F.col("_offset")).where("_run > 0")
+    runs = numbered.groupBy("alert_key", "_run").agg(F.min("_us").alias("start"), F.max(F.when(F.col("active"), F.col("_us"))).alias("last"), F.min(F.when(~F.col("active"), F.col("_us"))).alias("off"))
+    ended = F.when(F.col("off") - F.col("last") <= gap, F.col("off")).otherwise(F.col("last") + gap)
+    fires = F.col("end") > F.col("start") + hold
+    change = lambda name, us, when: F.when(when, F.struct(F.lit(name).alias("state"), us.alias("us")))
+    every = F.array_compact(F.array(change("pending", F.col("start"), F.lit(True)), change("firing", F.col("start") + hold, fires), change("resolved", F.col("end"), fires), change("inactive", F.col("end"), ~fires)))
+    told = runs.withColumn("end", ended).select("alert_key", F.explode(every).alias("c")).select("alert_key", "c.state", "c.us")
+    if until is not None:
+        told = told.where(F.col("us") < F.unix_micros(F.date_trunc("millisecond", F.lit(until))))
+    return told.select("alert_key", "state", F.timestamp_micros("us").alias("at"))
+
+
+def counter_rates(samples: DataFrame, keys: list[str], window_minutes: float, step_minutes: float = 1) -> DataFrame:
+    """(keys, at, rate): increase a second of counters (ts, value) over the window up to every step of time that has two samples or more in it.
+
+    A counter that falls has been reset and counts on from nothing. The increase is extended to the ends of the window, by half a mean interval at most where a
+    sample is missing there, and never to before the counter was zero. A sample is sent to the steps that look back on it; samples
+    of equal time count by value, the greatest last.
+    """
+    window, step = int(window_minutes * 60_000_000), int(step_minutes * 60_000_000)
+    rows = samples.where("ts is not null and value is not null").select(*keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), F.col("value").cast("double").alias("value"))
+    seen = _seen_before(rows, keys, window, ["_us", "value"], ["_us", "value"])
+    at = F.sequence(F.ceil(F.col("_us") / step), F.ceil((F.col("_us") + window) / step) - 1)
+    steps = seen.where(F.ceil((F.col("_us") + window) / step) > F.ceil(F.col("_us") / step)).withColumn("at", F.explode(at)).withColumn("at", F.col("at") * step)
+    reset = (F.col("value") < F.col("_before_value")) & (F.col("_before__us") > F.col("at") - window)
+    grouped = steps.groupBy(*keys, "at").agg(
+        F.count("*").alias("n"),
+        F.min("_us").alias("t0"),
+        F.max("_us").alias("t1"),
+        F.min_by("value", F.struct("_us", "value")).alias("v0"),
+        F.max_by("value", F.struct("_us", "value")).alias("v1"),
+        F.coalesce(F.sum(F.when(reset, F.col("_before_value"))), F.lit(0.0)).alias("lost"),
+    )
+    found = grouped.where("n > 1 and t1 > t0").withColumn("grown", F.col("v1") - F.col("v0") + F.col("lost")).withColumn("span", (F.col("t1") - F.col("t0")).cast("double"))
+    mean = F.col("span") / (F.col("n") - 1)
+    close = lambda gap: F.when(gap < mean * 1.1, gap).otherwise(mean / 2)
+    to_zero = F.when((F.col("grown") > 0) & (F.col("v0") >= 0), F.col("span") * F.col("v0") / F.col("grown"))
+    start = F.least(close((F.col("t0") - (F.col("at") - window)).cast("double")), F.coalesce(to_zero, F.lit(float("inf"))))
+    end = close((F.col("at") - F.col("t1")).cast("double"))
+    rate = F.col("grown") * (F.col("span") + start + end) / F.col("span") / (window / 1e6)
+    return found.select(*keys, F.timestamp_micros("at").alias("at"), rate.alias("rate"))
 
 
 def drain_latest(stream: DataFrame, key: str, checkpoint: str, out: str) -> DataFrame:
