@@ -86,17 +86,6 @@ def ids(text: Column, name: str) -> Column:
     return F.array_distinct(F.filter(F.transform(rows, lambda x: x[name]), lambda x: x.isNotNull() & (x != "")))
 
 
-def at_path(v: Column, dotted: str) -> Column:
-    """What a dotted path leads to; null where it leads nowhere."""
-    return F.try_variant_get(v, "$." + dotted.strip("."), "variant")
-
-
-def items(v: Column, dotted: str, fallbacks: tuple[str, ...] = ("$", "$.data", "$.items", "$.list", "$.rows", "$.result", "$.data.items", "$.data.list", "$.data.rows", "$.result.items")) -> Column:
-    """array<variant>: the list at the path, else the first list under the usual names."""
-    lists = [F.try_variant_get(v, p, "array<variant>") for p in ((f"$.{dotted.strip('.')}", *fallbacks) if dotted.strip(".") else fallbacks)]
-    return F.filter(F.coalesce(*lists), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-
-
 def first_string(v: Column, names: tuple[str, ...]) -> Column:
     """The first of the named entries that is a text with more than white space."""
     return F.coalesce(*[F.nullif(F.trim(strict_string(v, f"$.{n}")), F.lit("")) for n in names])

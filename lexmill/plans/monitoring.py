@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import telemetry
+from ..operators import caching, telemetry
 from ..registry import query
 from ..sources import tables
 from ..streaming import monitoring
@@ -132,3 +132,32 @@ def error_rate_alerts(spark, sf):
     samples = ratio.select(F.lit("high_error_rate").alias("alert_key"), F.col("at").alias("ts"), F.lit(0).alias("event_id"), (F.coalesce("x", F.lit(0.0)) > 0.25).alias("active"))
     until = samples.agg(F.max("ts")).first()[0]
     return monitoring.held_alerts(samples, 10, 5, until).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+LATENCY, TTL = 120, 12 * 3600
+#: Each fetch leads to the first request that it does not serve; from a user's first request on these are all fetches.
+CACHE = f"""q AS (SELECT user_id AS k, epoch_us(ts) AS us, event_id, event_type <> 'error' AS kept FROM events),
+ firsts AS (SELECT k, us, arg_min(event_id, event_id) AS event_id, arg_min(kept, event_id) AS kept FROM q GROUP BY 1, 2),
+ nxt AS (SELECT a.k, a.us, a.kept, min(b.us) AS then_us FROM (SELECT *, us + {LATENCY * 1_000_000} + CASE WHEN kept THEN {TTL * 1_000_000} ELSE 0 END AS until FROM firsts) a LEFT JOIN firsts b ON a.k = b.k AND a.until <= b.us GROUP BY a.k, a.us, a.kept),
+ chain AS (SELECT k, us, NULL::BOOLEAN AS prior FROM (SELECT k, min(us) AS us FROM q GROUP BY 1) UNION ALL SELECT n.k, n.then_us, n.kept FROM chain c JOIN nxt n ON n.k = c.k AND n.us = c.us WHERE n.then_us IS NOT NULL),
+ served AS (SELECT q.*, c.us AS start, c.prior, q.us = c.us AND q.event_id = f.event_id AS fetches FROM q JOIN (SELECT *, lead(us, 1, 9000000000000000000) OVER (PARTITION BY k ORDER BY us) AS upto FROM chain) c ON q.k = c.k AND q.us >= c.us AND q.us < c.upto JOIN firsts f ON f.k = q.k AND f.us = q.us),
+ told AS (SELECT *, CASE WHEN fetches THEN CASE WHEN prior THEN 'expired' ELSE 'miss' END WHEN us < start + {LATENCY * 1_000_000} THEN 'coalesced' ELSE 'hit' END AS outcome FROM served)"""
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("request_id"), (F.col("event_type") != "error").alias("kept"))
+
+
+@query("cached_embeddings", f"WITH RECURSIVE {CACHE} SELECT event_id AS request_id, outcome FROM told")
+def cached_embeddings(spark, sf):
+    """What a cache of a user's query vector does with each request: two minutes to fetch, kept for half a day, failed fetches not kept."""
+    return caching.replay(_requests(tables.read(spark, sf, "events")), LATENCY, TTL)
+
+
+@query("cached_embeddings_streamed", f"WITH RECURSIVE {CACHE} SELECT outcome, count(*) AS n FROM told WHERE us < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) GROUP BY 1")
+def cached_embeddings_streamed(spark, sf):
+    """The same from a stream of requests with keyed state, counted."""
+    at = f"{tables.scratch(spark)}/streams/{uuid.uuid4().hex}"
+    spark.conf.set(*_ROCKS)
+    told = caching.replay_stream(_requests(monitoring.event_stream(spark, sf)), LATENCY, TTL)
+    return monitoring.drain(told, f"{at}/state", f"{at}/out").groupBy("outcome").agg(F.count("*").alias("n"))

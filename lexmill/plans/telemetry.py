@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json as J
-from ..operators import evaluation, telemetry
+from ..operators import evaluation, feeds, telemetry
 from ..registry import query
 from ..sources import tables
 
@@ -266,7 +266,20 @@ def api_items(spark, sf):
         .when(k % 4 == 2, F.format_string('[{"link": "http://h/c/%d", "id": "%d", "subject": "%s"}]', "o_custkey", "o_custkey", "o_orderpriority"))
         .otherwise('{"body": {"hits": 3}}')
     )
-    rows = tables.read(spark, sf, "orders").select("o_orderkey", F.explode(J.items(J.parsed(text), "body.hits")).alias("x"))
+    rows = feeds.items(tables.read(spark, sf, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text", "body.hits").withColumnRenamed("item", "x")
     ident = F.coalesce(F.try_variant_get("x", "$.id", "string"), F.lit(""))
     url = F.coalesce(J.first_string(F.col("x"), ("url", "link", "href")), F.concat(F.lit("http://h/c/"), ident))
     return rows.select(F.col("o_orderkey").alias("page"), ident.cast("long").alias("item"), url.alias("url"), J.first_string(F.col("x"), ("title", "name", "subject")).alias("title"))
+
+
+@query("nested_items", "SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth, l_partkey AS item FROM lineitem")
+def nested_items(spark, sf):
+    """Items of answers that hold their list at an unknown depth, after lists of other things and before another list of objects."""
+    line = tables.read(spark, sf, "lineitem")
+    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    pages = line.groupBy(F.col("l_orderkey").alias("page")).agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("list"), F.count("*").cast("int").alias("n"))
+    # As deep as the order has lines.
+    wrapped = F.aggregate(F.sequence(F.lit(1), "n"), F.concat(F.lit("[7, "), "list", F.lit("]")), lambda t, i: F.when(i % 2 == 1, F.concat(F.lit('{"z": [], "m": "[{}]", "b": [1, [2]], "a": '), t, F.lit("}"))).otherwise(F.concat(F.lit('{"p": [null, []], "q": '), t, F.lit(', "c": [{"l_partkey": -2}]}'))))
+    text = F.concat(F.lit('{"total": 3, "result": '), wrapped, F.lit(', "after": [{"l_partkey": -1}]}'))
+    found = feeds.items(pages.select("page", text.alias("text")), "page", "text", "data.items")
+    return found.select("page", (F.col("nth") + 1).cast("long").alias("nth"), F.try_variant_get("item", "$.l_partkey", "bigint").alias("item"))
