@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -28,10 +31,16 @@ def rule_filter(title: Column, content: Column, official: Column, rules: Rules =
     """struct(score, decision, reasons): rejected outright when too short or by a pattern, else one less penalties."""
     size = F.length(F.regexp_replace(content, "(?U)^\\s+|\\s+$", ""))
     matches = lambda text, patterns: text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
-    outright = F.when(size < rules.hard_minimum, "content_too_short_hard").when(matches(title, rules.bad_titles), "title_reject_pattern").when(matches(content, rules.bad_contents), "content_reject_pattern")
-    whole = F.lower(F.concat(title, F.lit("\n"), content))
-    off_topic = ~F.exists(F.array(*[F.lit(k.lower()) for k in rules.keywords]), lambda k: F.contains(whole, k)) if rules.keywords else F.lit(False)
-    faults = ((size < rules.soft_minimum, rules.short_penalty, "content_too_short_soft"), (off_topic, rules.keyword_penalty, "relevance_keyword_missing"), (~official, rules.unofficial_penalty, "source_not_official"))
+    on_topic = lambda whole: reduce(lambda a, b: a | b, (F.contains(whole, F.lit(k)) for k in (w.lower() for w in rules.keywords)))
+    topic = let(F.lower(F.concat(title, F.lit("\n"), content)), on_topic) if rules.keywords else F.lit(True)
+    flags = F.struct(size.alias("size"), matches(title, rules.bad_titles).alias("title"), matches(content, rules.bad_contents).alias("content"), topic.alias("topic"), official.alias("official"))
+    return let(flags, lambda f: _judged(f, rules))
+
+
+def _judged(f: Column, rules: Rules) -> Column:
+    """The decision over what was found of a text, each thing once."""
+    outright = F.when(f["size"] < rules.hard_minimum, "content_too_short_hard").when(f["title"], "title_reject_pattern").when(f["content"], "content_reject_pattern")
+    faults = ((f["size"] < rules.soft_minimum, rules.short_penalty, "content_too_short_soft"), (~f["topic"], rules.keyword_penalty, "relevance_keyword_missing"), (~f["official"], rules.unofficial_penalty, "source_not_official"))
     less = sum((F.when(there, weight).otherwise(0.0) for there, weight, _ in faults), F.lit(0.0))
     score = F.when(outright.isNotNull(), 0.0).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - less)), 4))
     decision = F.when(outright.isNotNull() | (score <= rules.reject), "reject").when(score < rules.accept, "review").otherwise("accept")

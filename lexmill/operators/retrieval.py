@@ -60,29 +60,125 @@ def ranked(hits: DataFrame, query: str, score: str, ident: str, limit: int) -> D
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def _matches(asked: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
-    """(term, id, dl, tf) of the terms that are asked for."""
-    if "words" not in index:
-        return asked.select("term").distinct().join(index["postings"], "term").join(index["chunk_stats"], "id")
-    terms = asked.select("term").distinct()
-    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    hits = index["words"].select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    return hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-
-
 def bm25(queries: DataFrame, index: dict[str, DataFrame], limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank): min-max normalised over all documents that share a term and are ``allowed`` (id), then the best ``limit``."""
-    asked = stored(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    matches = _matches(asked, index)
+    """(query_id, id, score, rank): min-max normalised over all documents that share a term and are ``allowed`` (id), then the best ``limit``.
+
+    An index that has its documents' tokens scores each document in one pass against the terms of a stated set of queries, sent in
+    blocks; a saved one, which has postings only, joins them.
+    """
+    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weights = stored(asked.join(index["terms"], "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+    scored = (_by_documents if "words" in index else _by_postings)(weights, index, limit, allowed)
+    raw = stored(scored, "scores")
+    ends = raw.groupBy("query_id").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    share = F.when(F.col("most") == F.col("least"), 1.0).otherwise((F.col("raw") - F.col("least")) / F.nullif(F.col("most") - F.col("least"), F.lit(0.0)))
+    return ranked(raw.join(ends, "query_id").select("query_id", "id", F.round(share, 9).alias("score")), "query_id", "score", "id", limit)
+
+
+def _by_postings(weights: DataFrame, index: dict[str, DataFrame], limit: int, allowed: DataFrame | None) -> DataFrame:
+    """(query_id, id, raw, low, high) of all documents that share a term with a query, by a join with the postings."""
+    matches = weights.select("term").distinct().join(index["postings"], "term").join(index["chunk_stats"], "id")
     if allowed is not None:
         matches = matches.join(allowed.select("id"), "id", "left_semi")
-    weights = asked.join(index["terms"], "term")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     raw = matches.join(weights, "term").join(F.broadcast(index["corpus"].select("mean"))).groupBy("query_id", "id").agg(F.sum(part).alias("raw"))  # one row
-    raw = stored(raw, "scores")
-    ends = raw.groupBy("query_id").agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
-    scored = raw.join(ends, "query_id").select("query_id", "id", F.round(F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("raw") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), 9).alias("score"))
-    return ranked(scored, "query_id", "score", "id", limit)
+    return raw.select("query_id", "id", "raw", F.col("raw").alias("low"), F.col("raw").alias("high"))
+
+
+#: Documents that a task scores together.
+SCORED_ROWS = 512
+
+
+def _by_documents(weights: DataFrame, index: dict[str, DataFrame], limit: int, allowed: DataFrame | None) -> DataFrame:
+    """(query_id, id, raw, low, high): from each task, the documents that can be among its best ``limit`` of a query, and the ends of all its scores of it.
+
+    Scores that differ by less than rounding shows are kept, of equal ones the first ``limit`` ids. Queries are sent in blocks of BROADCAST_TERMS rows.
+    """
+    words = index["words"]
+    if allowed is not None:
+        words = words.join(allowed.select("id"), "id", "left_semi")
+    kinds = [weights.schema["query_id"].dataType.simpleString(), words.schema["id"].dataType.simpleString()]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, raw double, low double, high double"
+    mean = index["corpus"].first()["mean"] or 0.0
+    blocks = -(-weights.count() // BROADCAST_TERMS)
+    found = weights.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        some = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("term").toArrow()
+        if some.num_rows:
+            found = found.unionByName(words.mapInArrow(_scorer(some, mean, limit), schema))
+    return found
+
+
+def _scorer(weights: pa.Table, mean: float, limit: int):
+    names = weights.column("query_id").combine_chunks().dictionary_encode()
+    term_names = weights.column("term").combine_chunks().dictionary_encode()
+    terms, queries = term_names.dictionary, names.dictionary
+    term, query, weight = (np.asarray(x) for x in (term_names.indices, names.indices, weights.column("weight").to_numpy()))
+    starts = np.searchsorted(term, np.arange(len(terms) + 1))  # rows are ordered by term
+    slack = 2e-9 * np.bincount(query, np.abs(weight), len(queries)) * (K1 + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(len(queries), np.inf), np.full(len(queries), -np.inf)
+        floor = np.full(len(queries), -np.inf)
+        kept: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        ids_type = None
+        for batch in batches:
+            ids_type = batch.column(0).type
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(at, SCORED_ROWS)
+                lists = part.column(1)
+                length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.float64)
+                place = pc.index_in(pc.list_flatten(lists), value_set=terms).to_numpy(zero_copy_only=False)
+                row = pc.list_parent_indices(lists).to_numpy()
+                there = ~np.isnan(place)
+                key, tf = np.unique(row[there] * len(terms) + place[there].astype(np.int64), return_counts=True)
+                row, place = key // len(terms), key % len(terms)
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
+                count = starts[place + 1] - starts[place]
+                each = np.repeat(np.arange(len(key)), count)
+                post = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + starts[place][each]
+                cell = row[each] * len(queries) + query[post]
+                size = part.num_rows * len(queries)
+                raw = np.bincount(cell, weight[post] * share[each], size).reshape(-1, len(queries))
+                matched = np.bincount(cell, minlength=size).reshape(-1, len(queries)) > 0
+                low = np.minimum(low, np.where(matched, raw, np.inf).min(0))
+                high = np.maximum(high, np.where(matched, raw, -np.inf).max(0))
+                docs, asked = np.nonzero(matched & (raw >= floor - slack))
+                kept.append((asked, raw[docs, asked], part.column(0).take(pa.array(docs))))
+                if sum(len(k[0]) for k in kept) > 8 * limit * len(queries):
+                    kept = [_best(kept, limit, slack)]
+                    floor = _floors(kept[0], limit, floor)
+        if kept:
+            asked, raw, ids = _best(kept, limit, slack)
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(asked)), ids, pa.array(raw), pa.array(low[asked]), pa.array(high[asked])], names=["query_id", "id", "raw", "low", "high"])
+
+    return run
+
+
+def _best(kept: list[tuple[np.ndarray, np.ndarray, pa.Array]], limit: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each query what is not below its ``limit``-th score by more than ``slack``; of equal scores the first ``limit`` ids."""
+    asked, raw = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
+    ids = pa.concat_arrays([k[2] for k in kept])
+    by_id = pc.rank(ids, "ascending", tiebreaker="first").to_numpy()
+    order = np.lexsort((by_id, -raw, asked))
+    asked, raw = asked[order], raw[order]
+    nth = lambda new: np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    fresh = np.concatenate(([True], asked[1:] != asked[:-1]))
+    other = fresh | np.concatenate(([True], raw[1:] != raw[:-1]))
+    at = nth(fresh)
+    last = np.full(len(slack), -np.inf)
+    last[asked[at == limit - 1]] = raw[at == limit - 1]
+    good = (raw >= (last - slack)[asked]) & (nth(other) < limit)
+    return asked[good], raw[good], ids.take(pa.array(order[good]))
+
+
+def _floors(best: tuple[np.ndarray, np.ndarray, pa.Array], limit: int, floor: np.ndarray) -> np.ndarray:
+    """The ``limit``-th score of each query that has as many."""
+    asked, raw, _ = best
+    at = np.arange(len(asked)) - np.searchsorted(asked, asked)
+    floor = floor.copy()
+    floor[asked[at == limit - 1]] = raw[at == limit - 1]
+    return floor
 
 
 def vector(queries: DataFrame, vectors: DataFrame, limit: int = 20) -> DataFrame:
