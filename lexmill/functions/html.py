@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,16 +27,18 @@ class Node:
         self.tag, self.attrs, self.inner = tag, attrs, []
 
     def walk(self):
-        """Nodes below in document order."""
-        for x in self.inner:
-            if isinstance(x, Node):
+        """Nodes below in document order. Pages nest as deep as they like, so nothing here recurses."""
+        rest = self.inner[::-1]
+        while rest:
+            if isinstance(x := rest.pop(), Node):
                 yield x
-                yield from x.walk()
+                rest.extend(reversed(x.inner))
 
     def strings(self):
-        for x in self.inner:
-            if isinstance(x, Node):
-                yield from x.strings()
+        rest = self.inner[::-1]
+        while rest:
+            if isinstance(x := rest.pop(), Node):
+                rest.extend(reversed(x.inner))
             elif x.strip():
                 yield x.strip()
 
@@ -47,33 +50,39 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [Node("", {})]
+        self.kinds = Counter()
+
+    def _close(self):
+        self.kinds[self.open.pop().tag] -= 1
 
     def handle_starttag(self, tag, attrs):
-        if tag in _block and any(n.tag == "p" for n in self.open):
+        if tag in _block:
             self.handle_endtag("p")
         for kind in _ends.get(tag, ()):
             if self.open[-1].tag == kind:
-                self.open.pop()
+                self._close()
         node = Node(tag, dict(attrs))
         self.open[-1].inner.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.kinds[tag] += 1
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                return
+        if self.kinds[tag]:
+            while self.open[-1].tag != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
         self.open[-1].inner.append(data)
 
 
 def _prune(node: Node) -> None:
-    node.inner = [x for x in node.inner if not (isinstance(x, Node) and x.tag in SKIPPED)]
-    for x in node.inner:
-        if isinstance(x, Node):
-            _prune(x)
+    rest = [node]
+    while rest:
+        node = rest.pop()
+        node.inner = [x for x in node.inner if not (isinstance(x, Node) and x.tag in SKIPPED)]
+        rest += [x for x in node.inner if isinstance(x, Node)]
 
 
 def _is_root(node: Node) -> bool:
@@ -116,10 +125,10 @@ def parse(html: str | None) -> dict:
         if now[0] is not None or now[2]:
             sections.append({"title": now[0], "level": now[1], "text": "\n".join(now[2]).strip()})
 
-    def visit(node: Node, in_table: bool):
-        for x in node.inner:
-            if not isinstance(x, Node):
-                continue
+    rest = [(x, False) for x in reversed(root.inner)]
+    while rest:
+        x, in_table = rest.pop()
+        if isinstance(x, Node):
             if _heading.match(x.tag):
                 close()
                 now[:] = [x.text(), int(x.tag[1]), []]
@@ -134,9 +143,7 @@ def parse(html: str | None) -> dict:
                 said = f"- {said}" if x.tag == "li" else said
                 now[2].append(said)
                 parts.append(said)
-            visit(x, in_table or x.tag == "table")
-
-    visit(root, False)
+            rest.extend((y, in_table or x.tag == "table") for y in reversed(x.inner))
     close()
     links = [{"text": n.text(), "href": n.attrs["href"]} for n in root.walk() if n.tag == "a" and n.attrs.get("href") is not None]
     return {"text": "\n\n".join(parts), "sections": sections, "tables": tables, "links": links, "page_links": rels}

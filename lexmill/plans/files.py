@@ -37,11 +37,13 @@ def attachment_audit(spark, sf):
     return d.groupBy("source").agg(F.count("*").alias("attempted"), of("parsed"), of("unsupported"), of("failed"), F.count_if((F.col("status") == "failed") & (F.col("doc_id") % 2 == 0)).alias("ocr_failed"))
 
 
-@query("safe_filenames", "SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '[^A-Za-z0-9_-]+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g') || '-' || substr(sha256(page_id || chr(0) || regexp_extract(url, '[^/]*$') || '.pdf'), 1, 10) || '.pdf' AS name FROM pages WHERE regexp_matches(url, '^[^%]*/[0-9a-z]+[^/%]*$')")
+_last = "regexp_extract(rtrim(url, '/'), '[^/]*$')"
+
+
+@query("safe_filenames", f"SELECT page_id, regexp_replace(regexp_replace({_last}, '[^A-Za-z0-9_-]+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g') || '-' || substr(sha256(page_id || chr(0) || {_last} || '.pdf'), 1, 10) || '.pdf' AS name FROM pages")
 def safe_filenames(spark, sf):
-    p = tables.read(spark, sf, "pages").where(F.col("url").rlike("^[^%]*/[0-9a-z]+[^/%]*$"))
-    last = F.concat(F.substring_index("url", "/", -1), F.lit(".pdf"))
-    return p.select("page_id", files.safe_filename(last, F.col("page_id").cast("string")).alias("name"))
+    last = F.concat(F.substring_index(F.rtrim("url", F.lit("/")), "/", -1), F.lit(".pdf"))
+    return tables.read(spark, sf, "pages").select("page_id", files.safe_filename(last, F.col("page_id").cast("string")).alias("name"))
 
 
 FRAMED = "p AS (SELECT conv_id AS doc_id, turn AS page, [CASE WHEN conv_id % 2 = 0 THEN 'Header' ELSE 'H' || turn END, role, trim(regexp_replace(text, '\\s+', ' ', 'g')), CASE WHEN turn % 2 = 0 THEN 'Footer' ELSE 'F' || turn END] AS l, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE trim(text) <> '')"

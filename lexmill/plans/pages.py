@@ -17,14 +17,14 @@ _nav = "|".join(web.NAVIGATION_WORDS)
 _said = ", ".join(f"'{w}'" for w in web.ARTICLE_WORDS)
 LINKS = f"""l AS (SELECT page_id, scheme || '://' || host AS base, unnest(regexp_extract_all(html, '{_link}', 1)) AS href, unnest(regexp_extract_all(html, '{_link}', 2)) AS label FROM canonical),
  s AS (SELECT DISTINCT page_id, base || regexp_replace(href, '/+', '/', 'g') AS url, label, least(6, 2 * len(list_filter([{_paths}], lambda t: contains({_low}, t)))) + CASE WHEN regexp_matches({_low}, '{web.DATE_PATH}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches({_low}, '{web.NUMERIC_ID}') THEN 1 ELSE 0 END
-  + least(4, len(list_filter([{_said}], lambda t: contains(lower(label), t)))) - CASE WHEN regexp_matches({_low}, '{_dir}') THEN 4 ELSE 0 END - CASE WHEN trim(label) = '' THEN 1 ELSE 0 END AS score FROM l WHERE trim(label) <> '' AND NOT regexp_matches(lower(label), '{_nav}') AND NOT regexp_matches(href, '[?#]'))"""
+  + least(4, len(list_filter([{_said}], lambda t: contains(lower(label), t)))) - CASE WHEN regexp_matches({_low}, '{_dir}') THEN 4 ELSE 0 END - CASE WHEN trim(label) = '' THEN 1 ELSE 0 END AS score FROM l WHERE trim(label) <> '' AND NOT regexp_matches(lower(label), '{_nav}'))"""
 
 
 @query("link_candidates", f"WITH {CANONICAL}, {LINKS} SELECT page_id, url, label, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url, label) AS nth FROM s) WHERE nth <= 5")
 def link_candidates(spark, sf):
     """The five likeliest links of each page to articles of its site."""
     p = tables.read(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(_link), F.lit(0))).alias("m"))
-    found = p.select("page_id", "url", F.regexp_extract("m", _link, 1).alias("href"), F.regexp_extract("m", _link, 2).alias("label")).where(~web.excluded_link(F.col("href")) & ~web.navigation_label(F.col("label")) & ~F.col("href").rlike("[?#]"))
+    found = p.select("page_id", "url", F.regexp_extract("m", _link, 1).alias("href"), F.regexp_extract("m", _link, 2).alias("label")).where(~web.excluded_link(F.col("href")) & ~web.navigation_label(F.col("label")))
     links = found.select("page_id", F.col("url").alias("page"), web.resolve("href", "url").alias("url"), "label").select("page_id", "page", F.explode(F.array(web.canonical_url(F.col("url")))).alias("url"), "label")  # a row of its own, so that later expressions do not repeat it
     own = links.where(web.same_site(web.host(F.col("page")), web.host(F.col("url"))) & ~web.extension(F.col("url")).isin(*web.OTHER_EXTENSIONS)).select("page_id", "url", "label", web.link_score(F.col("url"), F.col("label")).alias("score")).distinct()
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), "url", "label")
@@ -39,15 +39,15 @@ def api_hints(spark, sf):
     return p.select("page_id", F.array_join(web.api_hints(F.concat("html", script)), " ").alias("hints"))
 
 
-@query("next_pages", "SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN regexp_extract(url, '[?&]page=([0-9]+)', 1)::BIGINT + 1 END AS number FROM pages")
+@query("next_pages", "SELECT page_id, CASE WHEN n IS NOT NULL THEN regexp_replace(url, '[?]page=[0-9]+&([^#]*)(#.*)?$', '?\\1&page=' || (n + 1)) END AS next, n + 1 AS number FROM (SELECT *, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '')::BIGINT AS n FROM pages)")
 def next_pages(spark, sf):
-    """The number of the page that follows, where a page is numbered and no link says otherwise."""
+    """The page that follows each, by its links or by counting up; null where nothing says so."""
     p = tables.read(spark, sf, "pages").select("page_id", "url", html.parse_html("html").alias("a"))
     absolute = p.select("page_id", "url", F.posexplode_outer("a.page_links").alias("at", "x")).select("page_id", "url", "at", "x", web.resolve("x.href", "url").alias("to"))
     links = absolute.select("page_id", "url", F.struct("at", F.col("to").alias("href"), "x.text", "x.rel", "x.aria", web.page_number(F.col("to")).alias("n")).alias("l"))
-    every = links.groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.when(F.col("l.n").isNotNull(), F.col("l")))).alias("links"))
+    every = links.groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.when(F.col("l.href").isNotNull(), F.col("l")))).alias("links"))
     after = every.select("page_id", F.explode_outer(F.array(web.next_page(F.col("url"), F.col("links")))).alias("next"))
-    return after.select("page_id", web.page_number(F.col("next")).alias("number"))
+    return after.select("page_id", "next", web.page_number(F.col("next")).alias("number"))
 
 
 @query("detail_pages")
