@@ -43,7 +43,10 @@ _name = re.compile(r"[A-Za-z_]+[0-9]{0,3}")
 #: Words beside a credential, and words beside identifiers that are none.
 SECRET_WORDS = "token secret password passwd pwd key apikey api auth authorization bearer credential credentials private access signing".split()
 FORMATS = ("AKIA", "ghp_", "xoxb-", "sk_live_", "eyJ")
-_assigned = re.compile(r"(?i)(?:(?:token|secret|passw(?:or)?d|pwd|key|auth|credentials?)[a-z0-9_]*[\"'`]?\s*(?:=>|:=|[:=])\s*|\bbearer\s+)[\"'`]?(?!bearer\b|basic\b)([^\s\"'`,;<>()\[\]{}|]{4,})")
+#: A name is looked at once, from its start: its word may stand anywhere in it, and what follows it begins where it ends.
+_assigned = re.compile(
+    r"(?i)(?:(?<![a-z0-9_])(?=[a-z0-9_]*?(?:token|secret|passw(?:or)?d|pwd|key|auth|credentials?))[a-z0-9_]++[\"'`]?\s*+(?:=>|:=|[:=])\s*|\bbearer\s+)[\"'`]?(?!bearer\b|basic\b)([^\s\"'`,;<>()\[\]{}|]{4,})"
+)
 PLAIN_WORDS = "commit sha sha1 sha256 md5 checksum digest hash revision rev etag integrity uuid guid id version build path file url image example sample placeholder card account".split()
 
 

@@ -1,5 +1,6 @@
 """Classifiers: what they learn on small tables, and their edge cases."""
 
+import time
 import itertools
 import math
 import random
@@ -198,3 +199,12 @@ def test_convolution_pools_the_two_largest():
     model.languages = ["a", "b"]
     model.calibrate(logits, labels, np.array([0] * 60))
     assert model.thresholds.tolist() == [0.5, 0.5, 0.5]
+
+
+def test_long_runs_of_secret_words_are_walked_once():
+    """A megabyte of one word, with and without values: the search stays linear."""
+    for text in ("key" * 333_333, "key=" * 250_000, "a_" * 500_000 + "key", "token" + " " * 1_000_000, "my_api_key_2: " * 70_000):
+        began = time.time()
+        found = list(secrets.candidates(text))
+        assert time.time() - began < 3 and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    assert list(secrets.candidates("x-api-key: hunter2! my_tokens_2='abcd'")) == [(11, 19), (33, 37)]
