@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Elements that hold no content, roots of content, elements without an end.
 SKIPPED = {"script", "style", "noscript", "nav", "footer", "header", "form", "aside"}
@@ -149,6 +151,117 @@ def parse(html: str | None) -> dict:
     return {"text": "\n\n".join(parts), "sections": sections, "tables": tables, "links": links, "page_links": rels}
 
 
+#: Where a page's title, content and date are, first ones first, and what is no content within it.
+TITLES = ("h1", "h2", "meta[property='og:title']", "title")
+CONTENTS = ("article", "main", "[role='main']", ".article", ".content", ".detail", ".TRS_Editor", ".pages_content", ".article-content", ".news-content", "#UCAP-CONTENT", "#content")
+DATES = ("time", "meta[property='article:published_time']", ".date", ".time")
+NOISE = "script,style,noscript,nav,header,footer,aside,form,.share,.print,.related,.pager,.pagination"
+ATTACHMENTS = frozenset(".pdf .doc .docx .xls .xlsx .zip .rar".split())
+_part = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:=[\"']?(?P<value>[^\"'\]]*)[\"']?)?\]")
+
+
+def selector(text: str):
+    """A test of (node, parents) for a list of selectors: tags, classes, ids and attributes, and what is below what. An unknown form is a ValueError."""
+
+    def compound(word: str):
+        tests, at = [], 0
+        for m in _part.finditer(word):
+            if m.start() != at:
+                break
+            at = m.end()
+            tests.append(m.groupdict())
+        if at != len(word) or not tests:
+            raise ValueError(f"unknown selector {text!r}")
+        return tests
+
+    def fits(node: Node, tests) -> bool:
+        have = lambda k: node.attrs.get(k) or ""
+        return all(
+            t["tag"] in (node.tag, "*") if t["tag"] else t["cls"] in have("class").split() if t["cls"] else t["id"] == have("id") if t["id"] else t["attr"] in node.attrs and t["value"] in (None, have(t["attr"]))
+            for t in tests
+        )
+
+    chains = [[compound(w) for w in one.split()] for one in text.split(",") if one.strip()]
+    if not chains:
+        raise ValueError("an empty selector")
+
+    def test(node: Node, parents: dict[int, Node]) -> bool:
+        for *above, last in chains:
+            if fits(node, last):
+                while above and (node_above := parents.get(id(node))) is not None:
+                    node = node_above
+                    if fits(node, above[-1]):
+                        above = above[:-1]
+                if not above:
+                    return True
+        return False
+
+    return test
+
+
+def _first(nodes: list[Node], parents: dict[int, Node], selectors: list[str]) -> tuple[Node | None, str | None]:
+    for s in selectors:
+        test = selector(s)
+        for n in nodes:
+            if test(n, parents):
+                return n, s
+    return None, None
+
+
+def detail(html: str | None, url: str | None, own: dict[str, str] | None = None) -> dict:
+    """What a detail page says, and which selector told it: a source's own first, then the usual ones.
+
+    Without a title or content element, with an empty title, or with neither text, attachment nor image, ``fault`` says so. Links count once by their address.
+    """
+    own = {k: v for k, v in (own or {}).items() if v and v.strip()}
+    out = dict.fromkeys(DETAIL.names)
+    try:
+        tree = _Tree()
+        tree.feed(html or "")
+        tree.close()
+        page = tree.open[0]
+        nodes = list(page.walk())
+        parents = {id(x): n for n in [page, *nodes] for x in n.inner if isinstance(x, Node)}
+        pick = lambda key, usual: _first(nodes, parents, [*([own[key]] if key in own else []), *usual])
+        (title, out["title_source"]), (content, out["content_source"]), (date, out["date_source"]) = pick("title", TITLES), pick("content", CONTENTS), pick("publish_date", DATES)
+        linked = selector(own.get("attachment", "a"))
+    except ValueError as error:
+        return out | {"fault": str(error)}
+    if title is None or content is None:
+        return out | {"fault": "no title" if title is None else "no content"}
+    said = lambda n: ((n.attrs.get("content") or "") if n.tag == "meta" else n.text()).strip()
+    out["title"], out["publish_date"] = said(title), said(date) if date else None
+    attachments: dict[str, dict] = {}
+    for n in nodes:
+        if n.attrs.get("href") and linked(n, parents):
+            try:
+                at = urldefrag(urljoin(url or "", n.attrs["href"])).url
+            except ValueError:
+                continue
+            kind = os.path.splitext(urlsplit(at).path)[1].lower()
+            if kind in ATTACHMENTS:
+                attachments.setdefault(at, {"name": n.text() or at.rsplit("/", 1)[-1], "url": at, "type": kind[1:]})
+    noise = selector(NOISE)
+    gone = {id(n) for n in content.walk() if noise(n, parents)}
+    strings, images, rest = [], {}, content.inner[::-1]
+    while rest:
+        x = rest.pop()
+        if not isinstance(x, Node):
+            strings += [x.strip()] if x.strip() else []
+        elif id(x) not in gone:
+            rest.extend(reversed(x.inner))
+            if x.tag == "img" and (src := (x.attrs.get("src") or x.attrs.get("data-src") or "").strip()):
+                images.setdefault(urljoin(url or "", src), (x.attrs.get("alt") or "").strip())
+    text = "\n".join(strings)
+    few, least = len(text) < 300, len(text) < 120
+    out |= {"text": text, "attachments": list(attachments.values()), "images": list(images), "alts": [a for a in images.values() if a]}
+    out |= {"method": ("image" if least else "mixed") if images else "html", "needs_ocr": bool(images) and few}
+    out["warnings"] = ["SHORT_TEXT_WITH_ATTACHMENT"] * bool(attachments and few) + ["OCR_REQUIRED"] * bool(images and few)
+    if not out["title"] or not (text or attachments or images):
+        out["fault"] = "title or content is empty"
+    return out
+
+
 def _struct(**kinds) -> StructType:
     return StructType([StructField(k, v) for k, v in kinds.items()])
 
@@ -163,6 +276,18 @@ PARSED = _struct(
 )
 
 
+DETAIL = _struct(
+    title=_s, title_source=_s, text=_s, content_source=_s, publish_date=_s, date_source=_s,
+    attachments=ArrayType(_struct(name=_s, url=_s, type=_s)), images=_strings, alts=_strings, method=_s, needs_ocr=BooleanType(), warnings=_strings, fault=_s,
+)
+
+
+@F.pandas_udf(DETAIL)
+def extract_detail(html: pd.Series, url: pd.Series, own: pd.Series) -> pd.DataFrame:
+    """``detail`` of pages, their addresses and a source's own selectors (map<string,string>)."""
+    return pd.DataFrame([detail(*row) for row in zip(html, url, own, strict=True)], columns=DETAIL.names)
+
+
 @F.pandas_udf(PARSED)
 def parse_html(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(list(html.map(parse)), columns=PARSED.names)

@@ -68,6 +68,12 @@ def iso_date(text: Column) -> Column:
     return F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
 
 
+def written_date(text: Column) -> Column:
+    """The first date of this century in a text, year, month and day parted by CJK words, hyphens, slashes or dots; null where there is none or it is no day."""
+    parts = F.regexp_extract_all(text, F.lit("(20[0-9]{2})[-年/.]([0-9]{1,2})[-月/.]([0-9]{1,2})"), F.lit(0))
+    return F.try_to_date(F.regexp_replace(F.get(parts, 0), "[年月/.]", "-"), "y-M-d")
+
+
 def digest_embedding(text: Column, size: int) -> Column:
     """``size`` numbers of norm one: the bytes of the text's SHA-256, over and over, from -1 to 1."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(F.sha2(text, 256), (2 * (i % 32) + 1).cast("int"), F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import html, web
+from ..functions import text as T
 from ..registry import query
 from ..sources import tables
 from .curation import CANONICAL, _paths
@@ -57,6 +58,26 @@ def detail_pages(spark, sf):
     return p.select("page_id", web.looks_like_detail(F.col("url"), F.length("a.text"), F.size("a.links")).alias("detail"), (F.length("a.text") < 120).alias("needs_ocr"))
 
 
+@query("detail_documents")
+def detail_documents(spark, sf):
+    """Title, text, date, attachments and images of each page, and which selectors told them."""
+    p = tables.read(spark, sf, "pages").select("page_id", html.extract_detail("html", "url", F.create_map(F.lit("publish_date"), F.lit(".published"))).alias("d")).select("page_id", "d.*")
+    return p.withColumn("publish_date", T.written_date(F.col("publish_date")))
+
+
+_forms = "['发布时间：{y}年{m}月{d}日 10:00', '{y}-{m}-{d}T08:00:00Z', 'am {y}/{m}/{d} und 2001-1-1', '{y}.{m}.{d}', '{m}/{d}/{y}', '{y}-13-{d}']"
+
+
+@query("written_dates", "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN ts::DATE END AS day FROM events")
+def written_dates(spark, sf):
+    """Dates in the forms that pages write them in; the last two forms are none."""
+    forms = F.from_json(F.lit(_forms.replace("'", '"')), "array<string>")
+    e = tables.read(spark, sf, "events").select("event_id", F.get(forms, (F.col("event_id") % 6).cast("int")).alias("t"), "ts")
+    for name, of in (("{y}", F.year), ("{m}", F.month), ("{d}", F.dayofmonth)):
+        e = e.withColumn("t", F.replace("t", F.lit(name), of("ts").cast("string")))
+    return e.select("event_id", T.written_date(F.col("t")).alias("day"))
+
+
 @query("host_kinds", f"WITH {CANONICAL} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN true WHEN page_id % 5 = 1 THEN false END AS public FROM canonical")
 def host_kinds(spark, sf):
     """Which hosts are addresses of the public internet; null for names, which are not looked up."""

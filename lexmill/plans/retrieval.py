@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +160,29 @@ def evaluation_summary(spark, sf):
     return m.agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall_5", "hit_5", "mrr", "ndcg_10")])
 
 
+_names = ("recall_1", "recall_5", "recall_10", "hit_5", "mrr", "ndcg_5", "ndcg_10")
+_means = ", ".join(f"round(avg({c}), 6) AS {c}" for c in _names)
+_lists = {"bm25": "bm25", "vector": "vec", "hybrid": "fused", "hybrid_rerank": "reranked"}
+MATRIX = " UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM (WITH {METRICS.replace('FROM bm25', f'FROM {source}')} SELECT count(*) AS questions, {_means} FROM m)" for mode, source in _lists.items())
+
+
+@query("evaluation_matrix", f"WITH {BM25}, {VECTOR}, {FUSED}, {RERANKED}, {RELEVANT} {MATRIX}")
+def evaluation_matrix(spark, sf):
+    """The same questions by each of the four modes: each ranking is made once, and later ones from the earlier."""
+    by_words = tables.stored(_bm25(spark, sf), "bm25")
+    by_vector = tables.stored(_vector(spark, sf), "vector")
+    fused = tables.stored(retrieval.fuse(by_words, by_vector), "fused")
+    runs = {"bm25": by_words, "vector": by_vector, "hybrid": fused, "hybrid_rerank": retrieval.rerank(fused, questions(spark, sf), tables.documents(spark, sf))}
+    hits = reduce(DataFrame.unionByName, [r.select(F.lit(mode).alias("mode"), "query_id", "id", "rank") for mode, r in runs.items()])
+    got = hits.groupBy("mode", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda h: h.id).alias("retrieved"))
+    want = tables.stored(_relevant(spark, sf).groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant")), "relevant")
+    none = F.lit([]).cast("array<bigint>")
+    asked = questions(spark, sf).select("query_id", F.explode(F.array(*map(F.lit, runs))).alias("mode"))
+    samples = asked.join(got, ["mode", "query_id"], "left").join(want, "query_id", "left").select(F.struct("mode", "query_id").alias("query_id"), F.coalesce("retrieved", none).alias("retrieved"), F.coalesce("relevant", none).alias("relevant"))
+    metrics = evaluation.sample_metrics(samples)
+    return metrics.groupBy(F.col("query_id.mode").alias("mode")).agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 6).alias(c) for c in _names])
+
+
 @query(
     "grounded_answers",
     f"""WITH {BM25}, pairs AS (SELECT h.query_id, h.id, h.rank, list_distinct({toks("b.text")}) AS q, {toks("d.content")} AS t, substr(trim(regexp_replace(d.content, '\\s+', ' ', 'g')), 1, 220) AS quote FROM bm25 h JOIN benchmark b ON b.item_id = h.query_id JOIN docs d ON d.doc_id = h.id WHERE h.rank <= 5),

@@ -43,3 +43,26 @@ def test_deep_pages_are_walked_without_recursion():
     page = html.parse(f"<body>{deep}<nav>{deep}</nav><h2>Title</h2><p>after</p></body>")
     assert page["text"] == "bottom\n\n## Title\n\nafter" and [link["href"] for link in page["links"]] == ["/x"]
     assert html.parse("<table>" * 3000 + "<tr><td>x</td></tr>")["tables"]
+
+
+PAGE = """<html><head><title>Site</title><meta property="og:title" content="OG"></head><body><nav><a href="/f.pdf">nav file</a></nav><h1>Main &amp; title</h1>
+<div class="meta"><span class="date x">发布 2024年3月5日</span></div><div class="content"><p>One <b>two</b></p><div class="share">share</div><script>x()</script>
+<a href="/files/a.PDF#p2">Annex</a><a href="/files/a.PDF">again</a><a href="b.docx"></a><a href="/c.html">page</a><img src="i.png" alt="An image"><img data-src="/j.png"><img src="i.png"></div></body></html>"""
+
+
+def test_details_by_selectors():
+    d = html.detail(PAGE, "https://h/d/")
+    assert (d["title"], d["title_source"], d["content_source"], d["date_source"], d["publish_date"]) == ("Main & title", "h1", ".content", ".date", "发布 2024年3月5日")
+    assert d["text"] == "One\ntwo\nAnnex\nagain\npage" and d["images"] == ["https://h/d/i.png", "https://h/j.png"] and d["alts"] == ["An image"]
+    assert [(a["name"], a["url"], a["type"]) for a in d["attachments"]] == [("nav file", "https://h/f.pdf", "pdf"), ("Annex", "https://h/files/a.PDF", "pdf"), ("b.docx", "https://h/d/b.docx", "docx")]
+    assert (d["method"], d["needs_ocr"], d["warnings"], d["fault"]) == ("image", True, ["SHORT_TEXT_WITH_ATTACHMENT", "OCR_REQUIRED"], None)
+    own = html.detail(PAGE, "https://h/d/", {"title": "meta[property='og:title']", "content": "div .share", "attachment": "div.content a", "publish_date": " "})
+    assert (own["title"], own["title_source"], own["text"], len(own["attachments"])) == ("OG", "meta[property='og:title']", "share", 2)
+    assert html.detail(PAGE, "https://h/", {"title": "h1::before"})["fault"].startswith("unknown selector")
+
+
+def test_details_that_are_none(spark):
+    pages = {None: "no title", "<h1>T</h1><p>x</p>": "no content", "<h1> </h1><article>x</article>": "title or content is empty", "<h1>T</h1><article> </article>": "title or content is empty", "<h2>T</h2><main>x</main>": None}
+    df = spark.createDataFrame([(p, None) for p in pages], "html string, url string")
+    rows = df.select("html", html.extract_detail("html", "url", F.lit(None).cast("map<string,string>")).alias("d")).collect()
+    assert {r.html: r.d.fault for r in rows} == pages and all(r.d.publish_date is None for r in rows)
