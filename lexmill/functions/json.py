@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 
 def parsed(text: Column) -> Column:
@@ -89,3 +90,32 @@ def ids(text: Column, name: str) -> Column:
 def first_string(v: Column, names: tuple[str, ...]) -> Column:
     """The first of the named entries that is a text with more than white space."""
     return F.coalesce(*[F.nullif(F.trim(strict_string(v, f"$.{n}")), F.lit("")) for n in names])
+
+
+def payload(**fields: Column) -> Column:
+    """An object of the fields that are not null."""
+    return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
+
+
+def _safe(value: Column, kind: S.DataType) -> Column:
+    if isinstance(kind, (S.DoubleType, S.FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    if isinstance(kind, S.DecimalType):
+        return value.cast("double")
+    if isinstance(kind, (S.TimestampType, S.TimestampNTZType)):
+        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss") if isinstance(kind, S.TimestampNTZType) else F.date_format(value, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    if isinstance(kind, S.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_safe(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, S.ArrayType):
+        return F.transform(value, lambda x: _safe(x, kind.elementType))
+    if isinstance(kind, S.MapType):
+        named = value if isinstance(kind.keyType, S.StringType) else F.map_from_entries(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), e["value"].alias("value"))))
+        return F.transform_values(named, lambda k, x: _safe(x, kind.valueType))
+    if isinstance(kind, (S.StringType, S.BooleanType, S.IntegralType, S.NullType, S.VariantType)):
+        return value
+    return value.cast("string")
+
+
+def json_safe(rows: DataFrame) -> DataFrame:
+    """``rows`` in types that JSON has, at any depth: times and dates as ISO text, decimals as numbers, numbers that are none as null, names of maps and all else as text."""
+    return rows.select(*[_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields])

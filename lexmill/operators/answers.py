@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Intents by words of the question.
-_things = "(?:政策|文件|文档|通知|文章|资料|材料|记录|来源|站点)"
 COUNT_INTENT = (
-    r"(?:有|共有|共|发布了?|收录|检索到)?\s*(?:多少|几)\s*(?:份|篇|条|个|项)?\s*" + _things,
-    _things + r"\s*(?:共有|有)?\s*(?:多少|几)\s*(?:份|篇|个)?\s*[?？。!！]*$",
-    _things + r"\s*(?:总数|数量|统计)",
-    r"(?:count|how many|total)\s+(?:polic(?:y|ies)|documents?|articles?|records?|sources?)",
+    r"(?:有|共有|共|发布了?|收录|检索到)?\s*(?:多少|几)\s*(?:份|篇|条|个|项)?\s*(?:政策|文件|文档|通知|文章|资料|材料|记录|来源|站点)"
+    r"|(?:政策|文件|文档|通知|文章|资料|材料|记录|来源|站点)\s*(?:共有|有)?\s*(?:多少|几)\s*(?:份|篇|个)?\s*[?？。!！]*$"
+    r"|(?:政策|文件|文档|通知|文章|资料|材料|记录|来源|站点)\s*(?:总数|数量|统计)"
+    r"|(?:count|how many|total)\s+(?:polic(?:y|ies)|documents?|articles?|records?|sources?)"
 )
 FACT_VALUE_WORDS = "金额|罚款|比例|百分比|占比|日期|时间|期限|额度|标准|价格|费用|利率|补助|资助|奖励|amount|percent(?:age)?|date|time|deadline|price|fee|rate"
 SEMANTIC_WORDS = "总结|概括|共同|措施|要求|原因|影响|summari[sz]e|common|explain"
@@ -75,7 +74,7 @@ def payload_filter(payload: Column, given: dict) -> Column:
 def route(query: Column, has_filters: Column) -> Column:
     """sql for counting questions, sql+rag for explaining ones over a filtered or counted set, rag for all others."""
     said = F.trim(query)
-    aggregate = said.rlike("(?i)" + "|".join(f"(?:{p})" for p in COUNT_INTENT)) & ~said.rlike(f"(?i){FACT_VALUE_WORDS}")
+    aggregate = said.rlike(f"(?i){COUNT_INTENT}") & ~said.rlike(f"(?i){FACT_VALUE_WORDS}")
     semantic = said.rlike(f"(?i){SEMANTIC_WORDS}")
     return F.when(aggregate & ~semantic, "sql").when(semantic & (has_filters | aggregate), "sql+rag").otherwise("rag")
 

@@ -43,6 +43,56 @@ def apply_reviews(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Fields that a model may extract from a document.
+EXTRACTED_FIELDS = tuple("issuing_authority document_number policy_target support_measures application_conditions funding_amount deadline department region industry contact_information key_indicators".split())
+
+
+def quoted_fields(fields: Column, content: Column, allowed: tuple[str, ...] = EXTRACTED_FIELDS) -> Column:
+    """What is wrong with extracted fields (map<string, struct<value, quote, confidence>>): a field that is not known, or a quote that the document does not have; null for nothing."""
+    each = F.map_entries(fields)
+    unknown = F.get(F.filter(each, lambda e: ~e["key"].isin(*allowed)), 0)["key"]
+    made_up = F.get(F.filter(each, lambda e: ~F.coalesce(F.contains(content, e["value"]["quote"]), F.lit(False))), 0)["key"]
+    outside = F.get(F.filter(each, lambda e: ~F.coalesce(e["value"]["confidence"].between(0, 1), F.lit(False))), 0)["key"]
+    return F.coalesce(F.concat(F.lit("unsupported field: "), unknown), F.concat(F.lit("no such quote: "), made_up), F.concat(F.lit("invalid field: "), outside))
+
+
+def review_pipeline(ruled: DataFrame, verdicts: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """(doc_id, rule_decision, llm_status, final_status, fault, knowledge) of documents (doc_id, content, rule_decision) after a model's verdicts (doc_id, decision, fields) and people's.
+
+    What the rules reject is never shown to the model. Without a verdict, or with one that is no decision or whose fields are at fault, the model is unavailable and the document waits
+    for it; a rejection rejects; a doubt of the model or the rules asks a person; otherwise it is approved. Of a document's ``decisions`` (doc_id, decision, at) the newest
+    approve or reject stands above all; others are ignored. ``knowledge`` is how many fields a usable verdict gives. A document has one verdict at most.
+    """
+    told = ruled.join(verdicts.select("doc_id", F.lower(F.trim("decision")).alias("decision"), "fields"), "doc_id", "left").withColumn("fault", quoted_fields(F.col("fields"), F.col("content")))
+    shown = F.col("rule_decision") != "reject"
+    usable = shown & F.col("decision").isin("accept", "reject", "manual_review") & F.col("fault").isNull()
+    usable = F.coalesce(usable, F.lit(False))
+    status = (
+        F.when(~shown, "rejected")
+        .when(~usable, "pending_llm")
+        .when(F.col("decision") == "reject", "rejected")
+        .when((F.col("decision") == "manual_review") | (F.col("rule_decision") == "review"), "pending_manual_review")
+        .otherwise("approved")
+    )
+    out = told.select("doc_id", "rule_decision", F.when(shown, F.when(usable, F.col("decision")).otherwise("unavailable")).alias("llm_status"), status.alias("final_status"), F.when(shown, F.col("fault")).alias("fault"), F.when(usable, F.coalesce(F.size("fields"), F.lit(0))).otherwise(0).alias("knowledge"))
+    if decisions is None:
+        return out
+    last = decisions.where(F.col("decision").isin("approve", "reject")).groupBy("doc_id").agg(F.max_by("decision", "at").alias("said"))
+    final = F.when(F.col("said") == "approve", "approved").when(F.col("said") == "reject", "rejected").otherwise(F.col("final_status"))
+    return out.join(last, "doc_id", "left").withColumn("final_status", final).drop("said")
+
+
+def ensured_prompts(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, version, content_hash, state) of ``wanted`` prompts (name, version, content) beside the ``stored`` ones (name, version, content_hash): new, kept, or changed, which is an error to whoever asked.
+
+    A name and version stand for one content for ever; a version that is wanted twice with different contents is changed, too.
+    """
+    asked = wanted.groupBy("name", "version").agg(F.min(F.sha2("content", 256)).alias("content_hash"), F.countDistinct("content").alias("n"))
+    met = asked.join(stored.select("name", "version", F.col("content_hash").alias("have")), ["name", "version"], "left")
+    state = F.when((F.col("n") > 1) | (F.col("have") != F.col("content_hash")), "changed").when(F.col("have").isNull(), "new").otherwise("kept")
+    return met.select("name", "version", "content_hash", state.alias("state"))
+
+
 def traceability(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, errors): what the ids of a review row do not lead to."""
     asked = rows.select("question_id", "document_id", F.explode_outer("effective_chunk_ids").alias("chunk_id"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import web
-from ..operators import discovery, evidence, review
-from ..registry import query
+from ..operators import discovery, evidence, quality, review
+from ..registry import ORACLES, query
 from ..sources import tables
 from .curation import CANONICAL
 from .retrieval import BM25, _bm25, questions
@@ -218,3 +219,35 @@ def draft_questions(spark, sf):
     rows = d.select(F.col("doc_id").alias("document_id"), "title", "content", F.col("doc_id").alias("chunk_id"))
     q = review.draft_questions(rows, _required, _positive, _refusals)
     return q.select("id", "category", "should_refuse", "question", F.array_join(F.transform("expected_documents", lambda x: x.cast("string")), ",").alias("documents"), "expected_answer")
+
+
+_verdicts = "CASE WHEN toxic = 1 THEN 'manual_review' WHEN quality = 0 THEN 'reject' ELSE 'accept' END"
+
+
+@query(
+    "review_outcomes",
+    f"""WITH ruled AS (SELECT doc_id, decision AS rule_decision FROM ({ORACLES["rule_filter"]})), l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+ x AS (SELECT r.*, d.lang, l.doc_id IS NOT NULL AS shown_to, {_verdicts} AS verdict, contains(d.text, d.source) AS quoted, d.n_chars > 3000 AS by_hand FROM ruled r JOIN documents d USING (doc_id) LEFT JOIN l USING (doc_id)),
+ y AS (SELECT *, shown_to AND quoted IS NOT NULL AND (quoted OR lang <> 'de') AS usable FROM x)
+ SELECT doc_id, rule_decision, CASE WHEN rule_decision <> 'reject' THEN CASE WHEN usable THEN verdict ELSE 'unavailable' END END AS llm_status, CASE WHEN by_hand AND lang = 'fr' THEN 'approved' WHEN rule_decision = 'reject' THEN 'rejected' WHEN NOT usable THEN 'pending_llm' WHEN verdict = 'reject' THEN 'rejected' WHEN verdict = 'manual_review' OR rule_decision = 'review' THEN 'pending_manual_review' ELSE 'approved' END AS final_status FROM y""",
+)
+def review_outcomes(spark, sf):
+    """What rules, a model's verdicts (from the labels) and people make of every document; a model's quotes of German documents are their sources, which the text may not have."""
+    d, labels = tables.documents(spark, sf), tables.read(spark, sf, "labels")
+    official = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    ruled = d.join(labels, "doc_id", "left").select("doc_id", "content", "region", "source_name", quality.rule_filter(F.col("title"), F.col("content"), official)["decision"].alias("rule_decision"))
+    verdict = F.when(F.col("toxic") == 1, "manual_review").when(F.col("quality") == 0, "reject").otherwise("accept")
+    told = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).join(d, "doc_id")
+    field = F.struct(F.col("region").alias("value"), F.col("source_name").alias("quote"), F.lit(0.5).alias("confidence"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<value:string,quote:string,confidence:double>>"))
+    fields = F.when(F.col("region") == "de", F.create_map(F.lit("region"), field)).otherwise(none)
+    people = d.where("word_count > 3000 and region = 'fr'").select("doc_id", F.explode(F.array(F.struct(F.lit("reject").alias("decision"), F.lit(1).alias("at")), F.struct(F.lit("approve").alias("decision"), F.lit(2).alias("at")))).alias("x")).select("doc_id", "x.*")
+    return review.review_pipeline(ruled, told.select("doc_id", verdict.alias("decision"), fields.alias("fields")), people).select("doc_id", "rule_decision", "llm_status", "final_status")
+
+
+@query("document_payloads", "SELECT doc_id, '{' || array_to_string(list_filter(['\"document_id\":' || doc_id, '\"region\":\"' || lang || '\"', CASE WHEN quality IS NOT NULL THEN '\"official\":' || (quality = 1) END, CASE WHEN toxic = 0 THEN '\"size\":' || n_chars END], lambda x: x IS NOT NULL), ',') || '}' AS payload FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)")
+def document_payloads(spark, sf):
+    """The metadata of each document as an object without nulls."""
+    labels = tables.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    d = tables.read(spark, sf, "documents").join(labels, "doc_id", "left")
+    return d.select("doc_id", J.payload(document_id=F.col("doc_id"), region=F.col("lang"), official=F.col("quality") == 1, size=F.when(F.col("toxic") == 0, F.col("n_chars"))).alias("payload"))

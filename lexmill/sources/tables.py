@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Versioned layout of a saved keyword index.
-INDEX_TABLES = ("postings", "terms", "chunk_stats", "corpus")
+#: Parts of a saved keyword index, and the version of their layout.
+INDEX_TABLES, INDEX_LAYOUT = ("postings", "terms", "chunk_stats", "corpus"), 1
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,25 +91,68 @@ class Folder:
             self.delete(beside)
             raise RuntimeError(f"{name} was written by another")
 
+    def replace(self, beside: str, name: str) -> None:
+        """Move ``beside`` to ``name``; what was there is put aside first and deleted afterwards, or put back."""
+        old = f".{name}-{uuid.uuid4().hex}-old"
+        there = self._fs.exists(self._path(name))
+        if there:
+            self._fs.rename(self._path(name), self._path(old))
+        if not self._fs.rename(self._path(beside), self._path(name)):
+            if there:
+                self._fs.rename(self._path(old), self._path(name))
+            raise RuntimeError(f"{name} could not be put in place")
+        if there:
+            self.delete(old)
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
 
-def save_index(index: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table for each part of a keyword index."""
+def save_index(index: dict[str, DataFrame], path: str) -> int:
+    """A new version of a keyword index: its parts are written beside those of older ones, and a manifest is put in place once all are there. Returns the version."""
+    spark = index[INDEX_TABLES[0]].sparkSession
+    folder = Folder(spark, path)
+    number = max([0, *_versions(folder)]) + 1
+    data = f"data-{number:08d}-{uuid.uuid4().hex[:8]}"
     for name in INDEX_TABLES:
-        index[name].write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
-
-
-def write_report(rows: DataFrame, path: str) -> None:
-    """A report as JSON lines and as CSV with nested columns written as JSON."""
-    rows.write.mode("overwrite").json(f"{path}/json")
-    flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in rows.dtypes]
-    rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", "\"").csv(f"{path}/csv")
+        index[name].write.parquet(f"{path}/{data}/{name}")
+    folder.publish(f"index-{number:08d}.json", json.dumps({"layout": INDEX_LAYOUT, "data": data}))
+    return number
+
+
+def _versions(folder: Folder) -> list[int]:
+    return [int(n[6:14]) for n in folder.names() if n.startswith("index-") and n.endswith(".json")]
+
+
+def load_index(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The newest version of a saved keyword index, or one by number; another layout than this library's is an error."""
+    folder = Folder(spark, path)
+    number = max(_versions(folder), default=None) if version is None else version
+    if number is None:
+        raise FileNotFoundError(f"no index in {path}")
+    manifest = json.loads(folder.read(f"index-{number:08d}.json"))
+    if manifest["layout"] != INDEX_LAYOUT:
+        raise ValueError(f"the index in {path} has layout {manifest['layout']}, not {INDEX_LAYOUT}")
+    return {name: spark.read.parquet(f"{path}/{manifest['data']}/{name}") for name in INDEX_TABLES}
+
+
+def write_report(rows: DataFrame, path: str, title: str = "Report") -> None:
+    """A report as JSON lines, as CSV with nested columns as JSON, and as a Markdown table, in one folder that is moved into place once all are there; an older one goes then."""
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    folder, beside = Folder(rows.sparkSession, parent), f".{name}-{uuid.uuid4().hex}"
+    try:
+        kept = stored(rows, "report")
+        kept.write.json(f"{parent}/{beside}/json")
+        flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c).cast("string").alias(c) for c, kind in kept.dtypes]
+        kept.select(*flat).write.option("header", True).option("escape", "\"").csv(f"{parent}/{beside}/csv")
+        cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+        lines = kept.select(*flat).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.col(f"`{c}`")) for c in kept.columns]), F.lit(" |")).alias("line"))
+        lines.write.text(f"{parent}/{beside}/markdown")
+        Folder(rows.sparkSession, f"{parent}/{beside}").write("markdown/_head.md", f"# {title}\n\n| {' | '.join(kept.columns)} |\n|{' --- |' * len(kept.columns)}\n")
+        folder.replace(beside, name)
+    except BaseException:
+        folder.delete(beside)
+        raise
 
 
 def upsert(table: DataFrame, changes: DataFrame, *keys: str) -> DataFrame:
