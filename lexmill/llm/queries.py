@@ -120,5 +120,39 @@ RANKED_SQL = r"""WITH t AS (SELECT 'd' AS kind, doc_id AS id, row_number() OVER
  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10"""
 
 
+def _moves() -> str:
+    """(state, kind, fault, edits, cost, after) of every way to use up a turn, with up to two turns inserted before it, as SQL values."""
+    rows = []
+    for kind in range(4):
+        for fault in range(4):
+            for state in range(4):
+                edits, cost, at = "", 0, state
+                for _ in range(3):
+                    rows += [(state, kind, fault, edits + e, cost + c, to) for e, c, to in conversations._moves(chr(65 + 4 * kind + fault), at)]
+                    edits, cost, at = edits + conversations.INSERT, cost + conversations.INSERT_COST, conversations.AFTER[at]
+    return ", ".join(map(str, rows))
+
+
+_space = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: The checksum bit by bit, the cheapest and least edits of each state turn by turn, and the repaired turns from the edits.
+CONVERSATIONS_SQL = f"""WITH RECURSIVE moves(state, kind, fault, edits, cost, after) AS (VALUES {_moves()}),
+ raw AS (SELECT conv_id, coalesce('=' || conv_id, '') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS mark FROM conversations),
+ crc AS (SELECT mark, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(mark, ''), lambda c: ord(c)::BIGINT)), lambda x, b: list_reduce(list_concat([xor(x, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 20 AS way FROM (SELECT DISTINCT mark FROM raw)),
+ harmed AS (SELECT key, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE way WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw JOIN crc USING (mark)),
+ placed AS (SELECT key, turn, role, text, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS nth FROM harmed),
+ judged AS (SELECT *, CASE role[1] WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS kind, CASE WHEN rtrim(text, {_space}) = '' THEN 2 WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY nth) > 1 THEN 3 WHEN right(rtrim(text, {_space}), 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault FROM placed),
+ walk AS (SELECT key, 0::BIGINT AS nth, 0 AS state, 0::BIGINT AS cost, '' AS audit FROM (SELECT DISTINCT key FROM judged)
+  UNION ALL SELECT w.key, j.nth, m.after, min(w.cost + m.cost), arg_min(w.audit || m.edits, struct_pack(c := w.cost + m.cost, a := w.audit || m.edits)) FROM walk w JOIN judged j ON j.key = w.key AND j.nth = w.nth + 1 JOIN moves m ON m.state = w.state AND m.kind = j.kind AND m.fault = j.fault GROUP BY 1, 2, 3),
+ ended AS (SELECT key, cost + [0, 6, 3, 0][state + 1] AS cost, audit || ['', 'II', 'I', ''][state + 1] AS audit FROM walk WHERE nth = (SELECT max(nth) FROM judged j WHERE j.key = walk.key)),
+ best AS (SELECT key, min(cost) AS cost, arg_min(audit, struct_pack(c := cost, a := audit)) AS audit FROM ended GROUP BY 1),
+ edits AS (SELECT key, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS spot FROM best WHERE audit <> ''),
+ turned AS (SELECT *, sum((edit <> 'I')::INT) OVER w AS nth, sum((edit <> 'D')::INT) OVER w AS out FROM edits WINDOW w AS (PARTITION BY key ORDER BY spot)),
+ repaired AS (SELECT t.*, j.role, j.text, max((edit = 'K' AND out = 1 AND j.role[1] = 's')::INT) OVER (PARTITION BY t.key) AS has_system FROM turned t LEFT JOIN judged j ON j.key = t.key AND j.nth = t.nth WHERE edit <> 'D'),
+ said AS (SELECT key, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS whole FROM repaired GROUP BY 1),
+ pairs AS (SELECT key, nth > 1 AND role[1] || lag(role[1]) OVER (PARTITION BY key ORDER BY nth) NOT IN ('us', 'au', 'ua') AS illegal, turn, fault FROM judged),
+ counts AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (illegal) AS illegal FROM pairs GROUP BY 1)
+ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id, key FROM raw) LEFT JOIN counts USING (key) LEFT JOIN best USING (key) LEFT JOIN said USING (key)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": EMBEDDING_SQL, "op10_substring_dedup": WINDOWS_SQL, "op12_ranked_search": RANKED_SQL}
+    return {"op4_embedding_dedup": EMBEDDING_SQL, "op10_substring_dedup": WINDOWS_SQL, "op12_ranked_search": RANKED_SQL, "op13_conversation_repair": CONVERSATIONS_SQL}
