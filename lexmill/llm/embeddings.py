@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialize
+from .common import discard, hot_join, map_batches, materialize
 from .components import connected_components
 
 #: Vectors in a strip, and in the part of one that a tile takes from its left side.
@@ -282,8 +282,9 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, strip_rows: int
     named = classes.select("class", "id", "weight", "least").join(labels, F.col("id") == F.col("node"), "left").select("class", "id", "weight", "least", F.coalesce("component", "id").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     counts = found.groupBy("id").agg(F.sum("n").alias("others"))
-    linked = named.join(names, "component").join(counts, "id", "left").select("class", "component_id", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    rows = valid.select("vec_id", "class").join(linked, "class").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    linked = named.join(names, "component").join(counts, "id", "left").select("class", "component_id", "weight", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # Equal vectors are one class: the rows of a class of many stay where they are.
+    rows = hot_join(valid.select("vec_id", "class"), materialize(linked, "linked"), ["class"], "weight").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     # Rows that cannot link, one for each row beyond the valid ones of its id.
     alone = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     ok = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps, map_batches, materialize, utf8_list
+from .common import hot_join, in_steps, map_batches, materialize, utf8_list
 from .components import connected_components
 
 #: Variants with more fingerprints than this meet at one-bit neighbours.
@@ -112,12 +112,13 @@ def near_duplicate_components(docs: DataFrame, shingle_words: int = 3, seed: int
     gives an empty result.
     """
     fps = materialize(fingerprints(docs, shingle_words, seed, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "classes")
     labels = connected_components(link_fingerprints(classes))
-    named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.select("fp", "component").join(names, "component").select("fp", "component_id")
-    return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(classes.join(labels, classes.fp == labels.node, "left").select("fp", "least", "rows", F.coalesce("component", "fp").alias("component")), "named")
+    names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "names")
+    # Copies share a fingerprint and many fingerprints may share a component: those of many rows stay where they are.
+    of_class = materialize(hot_join(named.select("fp", "rows", "component"), names, ["component"], "members").select("fp", "rows", "component_id"), "components")
+    return hot_join(fps, of_class, ["fp"], "rows").select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
