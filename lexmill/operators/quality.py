@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,11 @@ def _judged(f: Column, rules: Rules) -> Column:
     return F.struct(score.alias("score"), decision.alias("decision"), F.array_join(reasons, ",").alias("reasons"))
 
 
-def near_pairs(prints: DataFrame, id_col: str, distance: int = 3) -> DataFrame:
+#: Prints under one form beyond which they are told apart by a byte of their other half, too.
+CROWD = 512
+
+
+def near_pairs(prints: DataFrame, id_col: str, distance: int = 3, crowd: int = CROWD) -> DataFrame:
     """(a, b, distance) of different prints within ``distance`` bits, three at most, from columns id, hi, lo (32-bit halves).
 
     One of the halves differs in one bit or none, so halves are indexed under their 32 forms with one bit left open:
@@ -62,11 +67,20 @@ def near_pairs(prints: DataFrame, id_col: str, distance: int = 3) -> DataFrame:
     open_bit = halves.select("id", "hi", "lo", "s.half", "s.v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("place"))
     key = F.expr("(v & ~shiftleft(1L, place)) + shiftleft(cast(half * 32 + place as bigint), 32)")
     form = open_bit.select("id", "hi", "lo", "place", key.alias("key"), F.expr("(v >> place) & 1L").alias("bit"))
-    a = form.select("key", "place", F.col("bit").alias("ax"), F.col("id").alias("a"), F.col("hi").alias("ah"), F.col("lo").alias("al"))
-    b = form.select("key", F.col("bit").alias("bx"), F.col("id").alias("b"), F.col("hi").alias("bh"), F.col("lo").alias("bl"))
+    crowds = form.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    form = stored(form.join(crowds, "key", "left"), "forms")
+    # In a crowded form two prints meet only if a byte of the half that is not indexed is the same: of at most three bits one of four bytes is spared.
+    other = F.when(F.col("key") >= (32 << 32), F.col("hi")).otherwise(F.col("lo"))
+    byte = F.explode(F.array(*[F.struct(F.lit(k).alias("byte"), F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)).alias("value")) for k in range(4)]))
+    close = stored(form.where("n is not null").select("*", byte.alias("s")).select("*", "s.*"), "crowds")
     bits = (F.bit_count(F.col("ah").bitwiseXOR(F.col("bh"))) + F.bit_count(F.col("al").bitwiseXOR(F.col("bl")))).cast("long")
-    met = a.join(b, "key").where("a < b and (ax <> bx or place = 0)")
-    return met.select("a", "b", bits.alias("distance")).where(F.col("distance") <= distance).distinct()
+
+    def met(rows: DataFrame, *on: str) -> DataFrame:
+        a = rows.select(*on, "place", F.col("bit").alias("ax"), F.col("id").alias("a"), F.col("hi").alias("ah"), F.col("lo").alias("al"))
+        b = rows.select(*on, F.col("bit").alias("bx"), F.col("id").alias("b"), F.col("hi").alias("bh"), F.col("lo").alias("bl"))
+        return a.join(b, list(on)).where("a < b and (ax <> bx or place = 0)").select("a", "b", bits.alias("distance")).where(F.col("distance") <= distance)
+
+    return met(form.where("n is null"), "key").unionByName(met(close, "key", "byte", "value")).distinct()
 
 
 def members(rows: DataFrame, id_col: str, *same: str) -> DataFrame:
