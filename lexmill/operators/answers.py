@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import text as T
+from ..sources.tables import stored
 
 #: Intents by words of the question.
 COUNT_INTENT = (
@@ -97,3 +99,42 @@ def grounded_answers(hits: DataFrame, queries: DataFrame, docs: DataFrame, quote
         F.coalesce(F.array_join(F.transform("cited", lambda c: c["id"].cast("string")), ","), F.lit("")).alias("citations"),
         F.coalesce(F.array_join(F.transform("cited", lambda c: c.quote), "\n"), F.lit("")).alias("answer"),
     )
+
+
+def chat(questions: DataFrame, hits: DataFrame, official_only: bool = True, least_score: float = 0.0) -> DataFrame:
+    """(query_id, route, refused, reason, confidence, answer, citations, trace) of questions (query_id, query) over their hits (query_id, id, rank, score, title, content, official, policy_key, policy_status, publish_date).
+
+    A question is refused, with the first reason in this order, if its hits do not ground it, do not cover all that it asks, or do not support the answer, which is the quotes of the hits that
+    are current and contribute. Hits are the few that a search keeps. A refusal has no answer and no citations. ``trace`` is what happened as an object without nulls. Questions without hits are refused.
+    """
+    from . import evidence, validation
+
+    grounds = evidence.ground(questions, hits, least_score=least_score, official_only=official_only)
+    usable = hits.where((F.col("score") >= least_score) & (F.trim("content") != "") & (F.col("official") if official_only else F.lit(True)))
+    body = usable.select("query_id", "id", F.concat_ws("\n", "title", "content").alias("body"))
+    gate = evidence.assess(questions, body)
+    current = grounds.select("query_id", F.explode("citations").alias("c")).select("query_id", "c.id", "c.quote").join(gate.select("query_id", F.explode("supporting").alias("id")), ["query_id", "id"]).join(hits.select("query_id", "id", "rank"), ["query_id", "id"])
+    cited = stored(current, "cited")
+    drafts = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "quote"))).alias("c")).select("query_id", F.array_join(F.transform("c", lambda x: x["quote"]), "\n").alias("answer"), F.transform("c", lambda x: x["id"]).alias("ids"))
+    held = validation.validate(questions.join(drafts.select("query_id"), "query_id", "left_semi"), drafts.select("query_id", "answer"), body.join(cited.select("query_id", "id"), ["query_id", "id"], "left_semi"))
+    told = questions.join(grounds.select("query_id", "grounded", "reasons", "conflicts"), "query_id").join(gate.select("query_id", "sufficient", F.col("confidence").alias("coverage"), F.col("reason").alias("gap")), "query_id").join(drafts, "query_id", "left").join(held.select("query_id", "supported", F.col("confidence").alias("support"), F.col("reason").alias("doubt")), "query_id", "left")
+    reason = (
+        F.when(~F.col("grounded"), F.get("reasons", 0))
+        .when(~F.col("sufficient"), F.col("gap"))
+        .when(F.col("answer").isNull(), "no_current_evidence")
+        .when(~F.col("supported"), F.col("doubt"))
+    )
+    filters = inferred_filters(F.col("query"))
+    named = F.coalesce(filters["publish_date_gte"].cast("string"), filters["publish_date_lte"].cast("string"), filters["region"]).isNotNull()
+    told = told.withColumn("reason", reason).withColumn("route", route(F.col("query"), named))
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    trace = J.payload(route=F.col("route"), refused=F.col("reason").isNotNull(), reason=F.col("reason"), conflicts=F.col("conflicts"), coverage=F.col("coverage"), support=F.col("support"), citations=good(F.col("ids")))
+    return told.select("query_id", "route", F.col("reason").isNotNull().alias("refused"), F.coalesce("reason", F.lit("answered")).alias("reason"), F.coalesce(good(F.least("coverage", "support")), F.lit(0.0)).alias("confidence"), good(F.col("answer")).alias("answer"), good(F.col("ids")).alias("citations"), trace.alias("trace"))
+
+
+def answer_points(answers: DataFrame, points: DataFrame) -> DataFrame:
+    """(query_id, points, covered, coverage): how many expected points (query_id, point) an answer (query_id, answer) contains, letters and digits alone; without points all is covered."""
+    said = answers.select("query_id", T.normalised(F.coalesce("answer", F.lit(""))).alias("said"))
+    wanted = points.select("query_id", T.normalised(F.col("point")).alias("point")).where("point <> ''").distinct()
+    met = said.join(wanted, "query_id", "left").groupBy("query_id").agg(F.count("point").alias("points"), F.count_if(F.col("point").isNotNull() & F.contains("said", "point")).alias("covered"))
+    return met.withColumn("coverage", F.round(F.coalesce(F.col("covered") / F.nullif("points", F.lit(0)), F.lit(1.0)), 6))

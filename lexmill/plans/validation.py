@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import validation
+from ..operators import answers, validation
 from ..registry import query
 from ..sources import tables
+from .retrieval import BM25, questions
+from .review import EVIDENCE, _hits
 
 #: Each customer is a notice with a scope, a sum and perhaps an end; its answer says what the next customer's notice says.
 NOTICES = """n AS (SELECT c_custkey AS k, c_mktsegment AS scope, floor(abs(c_acctbal))::BIGINT AS sum, c_acctbal < 0 AS out, r_name = 'AMERICA' AS ended FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
@@ -30,3 +32,30 @@ def validated_answers(spark, sf):
     asked = notice.select(F.col("id").alias("query_id"), F.lit("本通知的支持资金是多少？").alias("query"))
     told = validation.validate(asked, asked.select("query_id").join(answers, "query_id", "left"), notice.select(F.col("id").alias("query_id"), "id", "body"))
     return told.select("query_id", "supported", "reason", F.array_join(F.transform("supporting", lambda x: x.cast("string")), ",").alias("supporting"))
+
+
+_current = "t AS (SELECT query_id, id, title, content FROM bm25 JOIN docs ON doc_id = id WHERE rank <= 5), g AS (SELECT query_id, count(*) FILTER (trim(content) <> '') AS n, bool_or(len(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]{2,}'), lambda x: contains(lower(content), x))) > 0) AS met FROM t JOIN benchmark b ON b.item_id = query_id GROUP BY 1)"
+
+
+@query(
+    "chat_answers",
+    f"""WITH {BM25}, {EVIDENCE}, {_current},
+ told AS (SELECT b.item_id AS query_id, CASE WHEN coalesce(n, 0) = 0 THEN 'insufficient_retrieved_evidence' WHEN NOT met AND len(regexp_extract_all(lower(b.text), '[a-z0-9]{{2,}}')) > 0 THEN 'question_not_covered' WHEN d.sure IS NULL THEN 'query_has_no_substantive_aspects' ELSE coalesce(d.reason, 'answered') END AS reason, ids FROM benchmark b LEFT JOIN g ON g.query_id = b.item_id LEFT JOIN decided d ON d.query_id = b.item_id),
+ first AS (SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rank) AS citations FROM bm25 h JOIN told USING (query_id) WHERE h.rank <= 5 AND list_contains(ids, h.id) GROUP BY 1)
+ SELECT t.query_id, reason <> 'answered' AS refused, reason, CASE WHEN reason = 'answered' THEN citations ELSE '' END AS citations FROM told t LEFT JOIN first f ON f.query_id = t.query_id""",
+)
+def chat_answers(spark, sf):
+    """Answers to each question from its five best documents, through grounding, the gate and validation, or why there is none."""
+    null = lambda kind: F.lit(None).cast(kind)
+    hits = tables.stored(_hits(spark, sf, 5), "hits").select("query_id", "id", "rank", "score", "title", "content", F.lit(True).alias("official"), null("string").alias("policy_key"), null("string").alias("policy_status"), null("date").alias("publish_date"))
+    told = answers.chat(questions(spark, sf), hits, official_only=False)
+    return told.select("query_id", "refused", "reason", F.coalesce(F.array_join(F.transform("citations", lambda x: x.cast("string")), ","), F.lit("")).alias("citations"))
+
+
+@query("answer_points", "WITH p AS (SELECT c_custkey AS query_id, unnest([c_name, c_mktsegment, n_name]) AS point, c_mktsegment || ' in ' || CASE WHEN c_acctbal > 0 THEN lower(n_name) ELSE 'x' END AS said FROM customer JOIN nation ON n_nationkey = c_nationkey), q AS (SELECT query_id, regexp_replace(lower(point), '[^a-z0-9]', '', 'g') AS point, regexp_replace(lower(said), '[^a-z0-9]', '', 'g') AS said FROM p) SELECT query_id, count(*) AS points, count(*) FILTER (contains(said, point)) AS covered, round(count(*) FILTER (contains(said, point)) / count(*)::DOUBLE, 6) AS coverage FROM q GROUP BY 1")
+def answer_points(spark, sf):
+    """Which of the expected points an answer has."""
+    c = tables.read(spark, sf, "customer").join(F.broadcast(tables.read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    said = c.select(F.col("c_custkey").alias("query_id"), F.concat("c_mktsegment", F.lit(" in "), F.when(F.col("c_acctbal") > 0, F.lower("n_name")).otherwise("x")).alias("answer"))
+    points = c.select(F.col("c_custkey").alias("query_id"), F.explode(F.array("c_name", "c_mktsegment", "n_name")).alias("point"))
+    return answers.answer_points(said, points)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import evidence, validation
+from lexmill.operators import answers, evidence, validation
 
 #: name: (question, answer, cited texts (title, content), reason or None where the answer stands)
 ANSWERS = {
@@ -82,3 +82,24 @@ def test_directions_and_scopes(spark):
             assert spark.range(1).select(validation.direction(F.lit(text), F.lit(target))).first()[0] == way
     told = [spark.range(1).select(validation.scope_of(F.lit(t))).first()[0] for t, *_ in rows]
     assert told == ["软件企业", "软件企业", "软件企业", None, None]
+
+
+def test_chat_answers_or_says_why_not(spark):
+    asked = spark.createDataFrame([(1, "研发补助比例是多少？"), (2, "火星上有没有恐龙？"), (3, "研发补助比例是多少？"), (4, "研发补助比例是多少？"), (5, "研发补助比例是多少？")], "query_id int, query string")
+    text = "企业研发补助比例为30%。"
+    rows = [
+        (1, 11, 1, 0.9, "研发补助通知", text, True, "p", "valid", "2024-02-01"), (1, 12, 2, 0.8, "研发补助通知", "企业研发补助比例为20%。", True, "p", "valid", "2023-02-01"), (1, 13, 3, 0.7, "x", text, False, None, None, None),
+        (2, 11, 1, 0.9, "研发补助通知", text, True, None, None, None), (3, 13, 1, 0.9, "研发补助通知", text, False, None, None, None),
+        (5, 11, 1, 0.9, "研发补助通知", text, True, "p", "valid", None), (5, 12, 2, 0.8, "研发补助通知", text, True, "P ", "void", None),
+    ]
+    hits = spark.createDataFrame(rows, "query_id int, id int, rank int, score double, title string, content string, official boolean, policy_key string, policy_status string, publish_date string").withColumn("publish_date", F.to_date("publish_date"))
+    told = {r.query_id: r for r in answers.chat(asked, hits).collect()}
+    assert {q: r.reason for q, r in told.items()} == {1: "answered", 2: "question_not_covered", 3: "official_source_required", 4: "insufficient_retrieved_evidence", 5: "conflicting_evidence"}
+    assert told[1].citations == [11] and told[1].answer == text and 0.5 <= told[1].confidence <= 1 and told[1].route == "rag"
+    assert told[2].answer is None and told[2].citations is None and '"refused":true' in told[2].trace and '"citations"' not in told[2].trace
+
+
+def test_points_of_an_answer(spark):
+    said = spark.createDataFrame([(1, "Apples & PEARS, 3"), (2, None), (3, "x")], "query_id int, answer string")
+    points = spark.createDataFrame([(1, "pears"), (1, "apples pears"), (1, "plums"), (1, "Pears!"), (2, "a"), (3, " ")], "query_id int, point string")
+    assert {r.query_id: (r.points, r.covered, r.coverage) for r in answers.answer_points(said, points).collect()} == {1: (3, 2, 0.666667), 2: (1, 0, 0.0), 3: (0, 0, 1.0)}
