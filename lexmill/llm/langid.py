@@ -141,6 +141,61 @@ def _forward(found, count: int, chance: np.ndarray, longest: int) -> np.ndarray:
     return np.log(alpha[-1]) + shift
 
 
+#: Letters of a word that is walked in blocks side by side, and of one stretch of it.
+LONG_WORD, STRETCH = 2048, 1 << 16
+
+
+def _chances(table: PieceTable, codes: np.ndarray, start: int, stop: int, chance: np.ndarray) -> np.ndarray:
+    """(end, piece length - 1, language): chances of the pieces that end at each place from ``start`` + 1 to ``stop``; places before the word have none."""
+    reach = table.longest
+    low = max(0, start - reach + 1)
+    text = codes[low:stop]
+    out = np.zeros((stop - start, reach, chance.shape[1]))
+    h = np.zeros(len(text), np.uint64)
+    for size in range(1, min(reach, len(text)) + 1):
+        h = h[: len(text) - size + 1] * _P + text[size - 1 :]
+        ids = table.find(h)
+        step = chance[ids]
+        if size > 1:
+            step = step * (ids >= 0)[:, None]
+        ends = low + size + np.arange(len(h)) - start - 1
+        out[ends[ends >= 0], size - 1] = step[ends >= 0]
+    return out
+
+
+def _long_forward(word: str, table: PieceTable, chance: np.ndarray) -> np.ndarray:
+    """What ``_forward`` says of one long word, by languages. A stretch is cut in blocks, all of which are walked at once from every state that
+    they can be entered in (how far back the last piece ended); the blocks' transfer matrices are then applied one after another."""
+    codes = np.array([word]).view(np.uint32)[: len(word)].astype(np.uint64) + np.uint64(1)
+    reach, langs = table.longest, chance.shape[1]
+    now, shift = np.zeros((reach, langs)), np.zeros(langs)
+    now[0] = 1
+    at = 0
+    while at < len(word):
+        size = min(STRETCH, len(word) - at)
+        steps = max(1, int(size**0.5))
+        blocks = size // steps
+        size = steps * blocks  # what is left over is the next stretch
+        p = _chances(table, codes, at, at + size, chance).reshape(blocks, steps, reach, langs)
+        states = np.zeros((blocks, reach, reach, langs))
+        states[:, np.arange(reach), np.arange(reach)] = 1
+        scale = np.zeros((blocks, langs))
+        for t in range(steps):
+            fresh = np.einsum("bkic,bkc->bic", states, p[:, t])
+            states = np.concatenate((fresh[:, None], states[:, :-1]), axis=1)
+            if t % RESCALE == RESCALE - 1:
+                most = states.max((1, 2))
+                states /= most[:, None, None]
+                scale += np.log(most)
+        for b in range(blocks):
+            now = np.einsum("jic,ic->jc", states[b], now)
+            most = now.max(0)
+            now /= most
+            shift += scale[b] + np.log(most)
+        at += size
+    return np.log(now[0]) + shift
+
+
 def _grouped(words: list[str]) -> dict[int, list[int]]:
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
@@ -159,7 +214,11 @@ def _blocks(words: list[str]) -> Iterator[tuple[int, list[int]]]:
 def score_words(words: list[str], table: PieceTable, chance: np.ndarray) -> np.ndarray:
     """(word, language) log probabilities of whole words."""
     out = np.zeros((len(words), chance.shape[1]))
-    for _, some in _blocks(words):
+    for size, some in _blocks(words):
+        if size > LONG_WORD:
+            for i in some:
+                out[i] = _long_forward(words[i], table, chance)
+            continue
         out[some] = _forward(table.matches([words[i] for i in some]), len(some), chance, table.longest)
     return out
 

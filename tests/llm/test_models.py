@@ -208,3 +208,18 @@ def test_long_runs_of_secret_words_are_walked_once():
         found = list(secrets.candidates(text))
         assert time.time() - began < 3 and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
     assert list(secrets.candidates("x-api-key: hunter2! my_tokens_2='abcd'")) == [(11, 19), (33, 37)]
+
+
+def test_long_words_in_blocks_are_exact_and_quick(monkeypatch):
+    """One run of letters: blocks side by side give what the walk by letter gives, with stretches that end anywhere."""
+    rng = random.Random(6)
+    table = langid.PieceTable(["a", "b", "ab", "ba", "abab", "bbbbbbb", "é"])
+    chance = np.random.default_rng(6).random((8, 3)) ** 4
+    for size in (1, 2, 6, 7, 8, 50, 333):
+        word = "".join(rng.choice("abbaxé") for _ in range(size))
+        want = langid._forward(table.matches([word]), 1, chance, table.longest)[0]
+        for stretch in (5, 64, 1 << 16):
+            monkeypatch.setattr(langid, "STRETCH", stretch)
+            assert np.allclose(langid._long_forward(word, table, chance), want, rtol=1e-12)
+    began = time.time()
+    assert np.isfinite(langid.score_words(["ab" * 100_000], table, chance)).all() and time.time() - began < 5
