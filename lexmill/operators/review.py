@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import stored
 
 #: Verdicts of a review, and spellings of yes and no in a sheet.
 VERDICTS = ("PASS", "FIX", "REJECT")
@@ -101,6 +104,48 @@ def traceability(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.groupBy("question_id").agg(F.array_sort(F.collect_set(fault)).alias("errors"))
 
 
+def row_faults(rows: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, error): what is wrong with reviewed rows, each thing once.
+
+    Rows have id, verdict, corrected_answer, document_ids, source_urls, expected_chunk_ids, effective_chunk_ids, effective_should_refuse, evidence_excerpt, document_title and source_title; they are followed
+    to documents (document_id, url, title, source_title) and chunks (chunk_id, document_id, content), of one row a key. Titles and excerpts must be those of what a row expects, as far as that is known; a document's
+    address must be among the row's, a chunk's document too; a case that is not to be refused must name all of them. A blank id is told once, and nothing else of such rows.
+    """
+    kept = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    good = kept.where(F.coalesce(F.trim("id"), F.lit("")) != "")
+    fault = lambda kind, *more: F.concat_ws(":", F.lit(kind), "id", *[m.cast("string") for m in more])
+
+    asked = good.select("_row", "id", "source_urls", F.posexplode("document_ids").alias("nth", "document_id")).join(documents.withColumn("known", F.lit(True)), "document_id", "left")
+    strange = F.when(F.col("known").isNull(), fault("UNKNOWN_DOCUMENT", F.col("document_id"))).when((F.size("source_urls") > 0) & ~F.array_contains("source_urls", F.coalesce("url", F.lit(""))), fault("SOURCE_URL_MISMATCH", F.col("document_id")))
+    in_order = lambda value, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(by).alias("n"), value.alias("v"))))), lambda x: x["v"]), by == "nth" and " | " or "\n\n")
+    titles = asked.groupBy("_row").agg(in_order(F.col("title"), "nth").alias("titles"), in_order(F.col("source_title"), "nth").alias("sources"))
+    used = good.select("_row", "id", "document_ids", F.explode("effective_chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id", F.col("document_id").alias("of")), "chunk_id", "left")
+    foreign = F.when(F.col("of").isNull(), fault("UNKNOWN_CHUNK", F.col("chunk_id"))).when(~F.array_contains("document_ids", F.col("of")), fault("CHUNK_DOCUMENT_MISMATCH", F.col("chunk_id")))
+    quotes = good.select("_row", F.posexplode("expected_chunk_ids").alias("place", "chunk_id")).join(chunks.select("chunk_id", T.compact_excerpt(F.col("content"), 500).alias("quote")), "chunk_id").groupBy("_row").agg(in_order(F.col("quote"), "place").alias("quotes"))
+
+    met = good.join(titles, "_row", "left").join(quotes, "_row", "left")
+    differs = lambda own, known: (F.coalesce(F.col(known), F.lit("")) != "") & (F.coalesce(F.col(own), F.lit("")) != F.col(known))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    positive = ~F.coalesce("effective_should_refuse", F.lit(False))
+    none = lambda c: positive & (F.coalesce(F.size(c), F.lit(0)) <= 0)
+    own = {
+        "INVALID_VERDICT": F.col("verdict").isNotNull() & ~F.col("verdict").isin(*VERDICTS),
+        "FIX_REQUIRES_CORRECTED_ANSWER": (F.col("verdict") == "FIX") & blank("corrected_answer"),
+        "EVIDENCE_EXCERPT_MISMATCH": differs("evidence_excerpt", "quotes"),
+        "DOCUMENT_TITLE_MISMATCH": differs("document_title", "titles"),
+        "SOURCE_TITLE_MISMATCH": differs("source_title", "sources"),
+        "POSITIVE_CASE_MISSING_DOCUMENT": none("document_ids"),
+        "POSITIVE_CASE_MISSING_SOURCE": none("source_urls"),
+        "POSITIVE_CASE_MISSING_CHUNK": none("effective_chunk_ids"),
+        "POSITIVE_CASE_MISSING_EVIDENCE": positive & blank("evidence_excerpt"),
+    }
+    listed = met.select("id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), fault(kind)) for kind, when in own.items()]))).alias("error"))
+    twice = good.groupBy("id").count().where("count > 1").select("id", fault("DUPLICATE_ID").alias("error"))
+    unnamed = kept.where(F.coalesce(F.trim("id"), F.lit("")) == "").select(F.lit(None).cast("string").alias("id"), F.lit("MISSING_ID").alias("error"))
+    told = [listed, asked.select("id", strange.alias("error")), used.select("id", foreign.alias("error")), twice, unnamed]
+    return reduce(DataFrame.unionByName, told).where("error is not null").distinct()
+
+
 def review_counts(rows: DataFrame, errors: Column) -> DataFrame:
     """One row of verdict counts with a status: complete when all are reviewed and nothing is untraceable."""
     n = rows.agg(F.count("*").alias("total"), F.count_if(F.col("reviewed")).alias("reviewed"), *[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in VERDICTS], F.count_if(F.col("verified")).alias("verified"), F.coalesce(F.sum(errors), F.lit(0)).alias("traceability_errors"))

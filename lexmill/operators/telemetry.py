@@ -12,6 +12,12 @@ from .evaluation import nearest_rank, ratio
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
+def in_window(metrics: DataFrame, alerts: DataFrame, hours: int) -> DataFrame:
+    """Metrics of a window with its ``window_hours`` and ``evaluation_regression_count``, the alerts (message) of regressions in it."""
+    found = alerts.agg(F.count_if(F.col("message").startswith("Regression detected.")).alias("evaluation_regression_count"))
+    return metrics.withColumn("window_hours", F.lit(hours)).crossJoin(F.broadcast(found))  # one row
+
+
 def rag_metrics(traces: DataFrame, *by: str) -> DataFrame:
     """The operational metrics of traces in one aggregation and one of percentiles.
 

@@ -251,3 +251,32 @@ def document_payloads(spark, sf):
     labels = tables.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     d = tables.read(spark, sf, "documents").join(labels, "doc_id", "left")
     return d.select("doc_id", J.payload(document_id=F.col("doc_id"), region=F.col("lang"), official=F.col("quality") == 1, size=F.when(F.col("toxic") == 0, F.col("n_chars"))).alias("payload"))
+
+
+#: A review row for each order: its customer is the document, its first lines' parts are the chunks.
+@query(
+    "review_faults",
+    """WITH line AS (SELECT l_orderkey, list(DISTINCT l_partkey ORDER BY l_partkey)[1:2] AS parts FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, coalesce(parts, []) AS parts FROM orders LEFT JOIN line ON l_orderkey = o_orderkey),
+ d AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 0), x AS (SELECT r.*, d.c_custkey IS NOT NULL AS known, c_nationkey, c_mktsegment FROM r LEFT JOIN d ON c_custkey = o_custkey)
+ SELECT o_orderkey::VARCHAR AS id, 'UNKNOWN_DOCUMENT:' || o_orderkey || ':' || o_custkey AS error FROM x WHERE NOT known
+ UNION ALL SELECT o_orderkey::VARCHAR, 'SOURCE_URL_MISMATCH:' || o_orderkey || ':' || o_custkey FROM x WHERE known AND c_nationkey >= 10
+ UNION ALL SELECT o_orderkey::VARCHAR, 'SOURCE_TITLE_MISMATCH:' || o_orderkey FROM x WHERE known AND c_mktsegment <> 'BUILDING'
+ UNION ALL SELECT o_orderkey::VARCHAR, 'FIX_REQUIRES_CORRECTED_ANSWER:' || o_orderkey FROM x WHERE o_orderstatus = 'P'
+ UNION ALL SELECT o_orderkey::VARCHAR, 'INVALID_VERDICT:' || o_orderkey FROM x WHERE o_orderstatus = 'O'
+ UNION ALL SELECT o_orderkey::VARCHAR, 'POSITIVE_CASE_MISSING_CHUNK:' || o_orderkey FROM x WHERE len(parts) = 0 AND o_orderpriority[1] <> '5'
+ UNION ALL SELECT o_orderkey::VARCHAR, 'POSITIVE_CASE_MISSING_EVIDENCE:' || o_orderkey FROM x WHERE len(parts) = 0 AND o_orderpriority[1] <> '5'
+ UNION ALL SELECT o_orderkey::VARCHAR, CASE WHEN p <> o_custkey THEN 'CHUNK_DOCUMENT_MISMATCH:' || o_orderkey || ':' || p END FROM (SELECT o_orderkey, o_custkey, unnest(parts) AS p FROM x) WHERE p <> o_custkey""",
+)
+def review_faults(spark, sf):
+    """Every fault of a review sheet against the documents and chunks that it names."""
+    line = tables.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.slice(F.array_sort(F.collect_set("l_partkey")), 1, 2).alias("parts"))
+    o = tables.read(spark, sf, "orders").join(line, "o_orderkey", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<bigint>")))
+    status = F.col("o_orderstatus")
+    name = lambda c: F.concat(F.lit("part "), c.cast("string"))
+    rows = o.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(status == "P", "FIX").when(status == "O", "LATER").otherwise("PASS").alias("verdict"), F.lit(" ").alias("corrected_answer"), F.array("o_custkey").alias("document_ids"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("https://h/"), i.cast("string"))).alias("source_urls"),
+        F.col("parts").alias("expected_chunk_ids"), F.col("parts").alias("effective_chunk_ids"), F.col("o_orderpriority").startswith("5").alias("effective_should_refuse"), F.array_join(F.transform("parts", name), "\n\n").alias("evidence_excerpt"), F.concat(F.lit("doc "), F.col("o_custkey").cast("string")).alias("document_title"), F.lit("BUILDING").alias("source_title"),
+    )
+    documents = tables.read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("document_id"), F.concat(F.lit("https://h/"), F.col("c_nationkey").cast("string")).alias("url"), F.concat(F.lit("doc "), F.col("c_custkey").cast("string")).alias("title"), F.col("c_mktsegment").alias("source_title"))
+    chunks = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_partkey").alias("document_id"), name(F.col("p_partkey")).alias("content"))
+    return review.row_faults(rows, documents, chunks)

@@ -93,10 +93,12 @@ RAG = {
 }
 
 
-@query("rag_metrics", f"WITH {TRACES}, {TYPED} SELECT {', '.join(f'{v} AS {k}' for k, v in RAG.items())} FROM typed WHERE ts >= TIMESTAMP '2024-01-05'")
+@query("rag_metrics", f"WITH {TRACES}, {TYPED} SELECT {', '.join(f'{v} AS {k}' for k, v in RAG.items())}, 624 AS window_hours, (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND event_type = 'error' AND value > 30) AS evaluation_regression_count FROM typed WHERE ts >= TIMESTAMP '2024-01-05'")
 def rag_metrics(spark, sf):
     """The operational metrics of all traces since a time."""
-    return telemetry.rag_metrics(_parsed(traces(spark, sf).where(F.col("ts") >= F.lit("2024-01-05").cast("timestamp"))))
+    since = F.col("ts") >= F.lit("2024-01-05").cast("timestamp")
+    alerts = tables.read(spark, sf, "events").where(since & (F.col("event_type") == "error")).select(F.when(F.col("value") > 30, "Regression detected. latency").otherwise("error").alias("message"))
+    return telemetry.in_window(telemetry.rag_metrics(_parsed(traces(spark, sf).where(since))), alerts, 624)
 
 
 @query("rag_metrics_by_type", f"WITH {TRACES}, {TYPED} SELECT event_type, {', '.join(f'{v} AS {k}' for k, v in RAG.items())} FROM typed GROUP BY 1")

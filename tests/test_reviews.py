@@ -73,3 +73,24 @@ def test_reports_and_indexes_are_put_in_place_whole(spark, tmp_path):
     assert tables.load_index(spark, f"{tmp_path}/i", version=2)["corpus"].count() == 1
     with pytest.raises(FileNotFoundError):
         tables.load_index(spark, f"{tmp_path}/none")
+
+
+def test_faults_of_review_rows(spark):
+    good = ("q1", "PASS", None, [1, 2], ["u1", "u2"], [10], [10, 20], False, "alpha beta", "D1 | D2", "S1 | S2")
+    names = ("id", "verdict", "corrected_answer", "document_ids", "source_urls", "expected_chunk_ids", "effective_chunk_ids", "effective_should_refuse", "evidence_excerpt", "document_title", "source_title")
+    change = lambda **k: tuple(k.get(n, v) for n, v in zip(names, good, strict=True))
+    rows = [
+        good, change(id="q2", verdict="OK"), change(id="q3", verdict="FIX", corrected_answer=" "), change(id="q4", document_ids=[1, 9], document_title="D1", source_title="S1", effective_chunk_ids=[10]),
+        change(id="q5", source_urls=["u1"]), change(id="q6", effective_chunk_ids=[10, 99]), change(id="q7", document_ids=[2], document_title="D2", source_title="S2", effective_chunk_ids=[10]), change(id="q8", evidence_excerpt="other"),
+        change(id="q9", document_title="X", source_title=None), change(id="q10", document_ids=[], source_urls=[], expected_chunk_ids=[], effective_chunk_ids=[], evidence_excerpt=""), change(id="q11", document_ids=[], source_urls=[], expected_chunk_ids=[], effective_chunk_ids=[], evidence_excerpt="", effective_should_refuse=True),
+        change(id="q12"), change(id="q12"), change(id=" "), change(id=None),
+    ]
+    df = spark.createDataFrame(rows, "id string, verdict string, corrected_answer string, document_ids array<int>, source_urls array<string>, expected_chunk_ids array<int>, effective_chunk_ids array<int>, effective_should_refuse boolean, evidence_excerpt string, document_title string, source_title string")
+    documents = spark.createDataFrame([(1, "u1", "D1", "S1"), (2, "u2", "D2", "S2")], "document_id int, url string, title string, source_title string")
+    chunks = spark.createDataFrame([(10, 1, " alpha\n beta "), (20, 2, "gamma")], "chunk_id int, document_id int, content string")
+    told = sorted(r.error for r in review.row_faults(df, documents, chunks).collect())
+    assert told == sorted(
+        ["INVALID_VERDICT:q2", "FIX_REQUIRES_CORRECTED_ANSWER:q3", "UNKNOWN_DOCUMENT:q4:9", "SOURCE_URL_MISMATCH:q5:2", "UNKNOWN_CHUNK:q6:99", "CHUNK_DOCUMENT_MISMATCH:q7:10", "EVIDENCE_EXCERPT_MISMATCH:q8", "DOCUMENT_TITLE_MISMATCH:q9", "SOURCE_TITLE_MISMATCH:q9"]
+        + [f"POSITIVE_CASE_MISSING_{k}:q10" for k in ("DOCUMENT", "SOURCE", "CHUNK", "EVIDENCE")]
+        + ["DUPLICATE_ID:q12", "MISSING_ID"]
+    )
