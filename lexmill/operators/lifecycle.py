@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import json as J
+from ..sources.tables import stored
+
 #: The states of a crawl task and those that each may go to.
 TRANSITIONS = {
     "pending": ("queued", "running", "failed", "cancelled"),
@@ -152,3 +155,57 @@ def ensure_lineage(lineage: DataFrame, wanted: DataFrame) -> DataFrame:
     keys = ["task_id", "document_id"]
     first = lineage.groupBy(*keys).agg(F.min_by(F.struct("lineage_id", "version_id"), "lineage_id").alias("l"))
     return wanted.select(*keys, F.col("version_id").alias("given")).join(first, keys, "left").select(*keys, "l.lineage_id", F.coalesce("given", "l.version_id").alias("version_id"))
+
+
+#: Fields of a document that an operator may edit.
+EDITABLE = ("title", "publish_date", "issuing_authority", "document_number", "region", "document_type")
+
+
+def edit_documents(documents: DataFrame, edits: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents after ``edits`` of their fields (document_id, field, value), and the version rows (document_id, version, changed_fields, metadata) that this adds.
+
+    Only EDITABLE fields count, and of those what differs; a null value empties a field, and of several edits of a field the last (seq) stands. An edited document counts its version up and is
+    stale, so that it is indexed anew. A document without a row in ``versions`` first gets one of the state before. Others, and documents that are not there, change nothing.
+    """
+    asked = edits.where(F.col("field").isin(*EDITABLE)).groupBy("document_id", "field").agg(F.max_by(F.struct("value"), "seq").alias("v"))
+    wide = asked.groupBy("document_id").agg(*[F.max(F.when(F.col("field") == f, F.col("v"))).alias(f"_{f}") for f in EDITABLE])
+    met = documents.join(wide, "document_id", "left")
+    differs = {f: F.col(f"_{f}").isNotNull() & ~F.col(f"_{f}.value").eqNullSafe(F.col(f).cast("string")) for f in EDITABLE}
+    changed = F.array_compact(F.array(*[F.when(differs[f], F.lit(f)) for f in EDITABLE]))
+    told = stored(met.withColumn("changed_fields", changed), "edits")
+    new = F.size("changed_fields") > 0
+    after = {f: F.when(F.array_contains("changed_fields", f), F.col(f"_{f}.value").cast(documents.schema[f].dataType)).otherwise(F.col(f)) for f in EDITABLE}
+    out = told.withColumns({**after, "version": F.col("version") + new.cast("int"), "index_status": F.when(new, "stale").otherwise(F.col("index_status"))})
+    snapshot = lambda rows: rows.select("document_id", "version", "changed_fields", J.payload(**{f: F.col(f).cast("string") for f in EDITABLE}).alias("metadata"))
+    first = told.where(new).join(versions.select("document_id"), "document_id", "left_anti").withColumn("changed_fields", F.array().cast("array<string>"))
+    return out.select(*documents.columns), snapshot(out.where(new)).unionByName(snapshot(first))
+
+
+def valid_points(points: DataFrame, documents: DataFrame) -> DataFrame:
+    """Points of documents that are indexed as they are; those of stale, absent or rejected documents are not to be searched."""
+    return points.join(documents.where("index_status = 'indexed' and final_status = 'approved'").select("document_id"), "document_id", "left_semi")
+
+
+#: The contracts of a crawl provider.
+BATCH, LEGACY = "batch_crawl", "legacy_single_article"
+
+
+def admit(requests: DataFrame, columns: DataFrame, default_contract: str = BATCH) -> DataFrame:
+    """(request_id, refusal, provider, contract): whether crawls may be asked for, and by which provider and contract; both are null for a refused request.
+
+    Requests have column_id, provider and contract (null for none said), columns have column_id, enabled, source_enabled, crawl_provider and contract_mode. A column must be
+    there and enabled, its source too. Who asks decides before the source; the local provider knows the batch contract alone, others take the request's, the source's or the default one.
+    """
+    met = requests.join(columns.withColumn("known", F.lit(True)), "column_id", "left")
+    provider = F.coalesce("provider", "crawl_provider")
+    contract = F.when(provider == "local", BATCH).otherwise(F.coalesce("contract", "contract_mode", F.lit(default_contract)))
+    told = met.select("request_id", "known", (F.col("enabled") & F.col("source_enabled")).alias("open"), F.col("contract").alias("asked"), provider.alias("provider"), contract.alias("contract"))
+    refusal = (
+        F.when(F.col("known").isNull(), "NOT_FOUND")
+        .when(~F.coalesce("open", F.lit(False)), "SOURCE_DISABLED")
+        .when(F.col("provider") == "playwright", "CRAWL_PROVIDER_NOT_IMPLEMENTED")
+        .when((F.col("provider") == "local") & (F.col("asked") == LEGACY), "LOCAL_CONTRACT_UNSUPPORTED")
+        .when((F.col("provider") == "coze") & (F.col("contract") == LEGACY), "COZE_LEGACY_SINGLE_ARTICLE_ONLY")
+    )
+    good = lambda c: F.when(F.col("refusal").isNull(), F.col(c)).alias(c)
+    return told.withColumn("refusal", refusal).select("request_id", "refusal", good("provider"), good("contract"))

@@ -223,3 +223,45 @@ def answer_lineage(spark, sf):
     met = cited.join(chunks, "chunk", "left").join(docs, "answer", "left")
     missing = F.array_compact(F.array(F.when(F.col("has_chunk").isNull(), "chunk"), F.when(F.col("has_document").isNull(), "document"), F.when(F.col("citation") > 5, "version")))
     return met.groupBy("answer", "citation", "chunk", F.array_join(missing, ",").alias("missing_steps"), (F.size(missing) == 0).alias("complete")).agg(F.count("*").alias("n"))
+
+
+#: Customers are documents, the suppliers of the same numbers are edits of them; odd nations already have versions.
+_edited = "e AS (SELECT c.*, s_suppkey IS NOT NULL AS asked, s_name, s_nationkey, c_nationkey % 2 = 1 AS had FROM customer c LEFT JOIN supplier ON s_suppkey = c_custkey), f AS (SELECT *, list_filter([CASE WHEN asked THEN 'title' END, CASE WHEN asked AND s_nationkey <> c_nationkey THEN 'region' END, CASE WHEN asked AND s_nationkey > 12 THEN 'document_type' END], lambda x: x IS NOT NULL) AS fields FROM e)"
+
+
+def _edits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c, s = tables.read(spark, sf, "customer"), tables.read(spark, sf, "supplier")
+    null = lambda kind: F.lit(None).cast(kind)
+    documents = c.select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("title"), null("date").alias("publish_date"), null("string").alias("issuing_authority"), null("string").alias("document_number"), F.col("c_nationkey").cast("string").alias("region"), F.col("c_mktsegment").alias("document_type"), F.lit(3).alias("version"), F.lit("indexed").alias("index_status"))
+    one = lambda field, value, seq: F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(seq).alias("seq"))
+    changes = F.array(one("title", F.lit("x"), 1), one("title", F.col("s_name"), 2), one("region", F.col("s_nationkey").cast("string"), 1), one("content", F.lit("x"), 1), F.when(F.col("s_nationkey") > 12, one("document_type", null("string"), 1)))
+    edits = s.select(F.col("s_suppkey").alias("document_id"), F.explode(F.array_compact(changes)).alias("e")).select("document_id", "e.*")
+    return lifecycle.edit_documents(documents, edits, c.where(F.col("c_nationkey") % 2 == 1).select(F.col("c_custkey").alias("document_id")))
+
+
+@query("edited_documents", f"WITH {_edited} SELECT c_custkey AS document_id, CASE WHEN asked THEN s_name ELSE c_name END AS title, CASE WHEN asked THEN s_nationkey ELSE c_nationkey END::VARCHAR AS region, CASE WHEN list_contains(fields, 'document_type') THEN NULL ELSE c_mktsegment END AS document_type, 3 + (len(fields) > 0)::INT AS version, CASE WHEN len(fields) > 0 THEN 'stale' ELSE 'indexed' END AS index_status FROM f")
+def edited_documents(spark, sf):
+    """Documents after edits of their fields."""
+    return _edits(spark, sf)[0].drop("publish_date", "issuing_authority", "document_number")
+
+
+@query("edit_versions", f"WITH {_edited} SELECT c_custkey AS document_id, 4 AS version, array_to_string(fields, ',') AS changed FROM f WHERE len(fields) > 0 UNION ALL SELECT c_custkey, 3, '' FROM f WHERE len(fields) > 0 AND NOT had")
+def edit_versions(spark, sf):
+    """The versions that edits add, and the first ones of documents that had none."""
+    return _edits(spark, sf)[1].select("document_id", "version", F.array_join("changed_fields", ",").alias("changed"))
+
+
+@query(
+    "admitted_tasks",
+    """WITH t AS (SELECT o_orderkey AS request_id, CASE o_orderpriority[1] WHEN '1' THEN 'local' WHEN '2' THEN 'playwright' WHEN '5' THEN 'coze' END AS asked, CASE WHEN o_orderstatus = 'P' THEN 'legacy_single_article' END AS said, s.*, s_suppkey IS NOT NULL AS known FROM orders LEFT JOIN supplier s ON s_suppkey = o_custkey),
+ p AS (SELECT *, coalesce(asked, CASE WHEN s_nationkey < 8 THEN 'local' ELSE 'coze' END) AS provider FROM t), c AS (SELECT *, CASE WHEN provider = 'local' THEN 'batch_crawl' ELSE coalesce(said, CASE WHEN s_nationkey BETWEEN 10 AND 12 THEN 'legacy_single_article' END, 'batch_crawl') END AS contract FROM p),
+ x AS (SELECT *, CASE WHEN NOT known THEN 'NOT_FOUND' WHEN s_acctbal < 0 OR s_nationkey > 20 THEN 'SOURCE_DISABLED' WHEN provider = 'playwright' THEN 'CRAWL_PROVIDER_NOT_IMPLEMENTED' WHEN provider = 'local' AND said IS NOT NULL THEN 'LOCAL_CONTRACT_UNSUPPORTED' WHEN provider = 'coze' AND contract = 'legacy_single_article' THEN 'COZE_LEGACY_SINGLE_ARTICLE_ONLY' END AS refusal FROM c)
+ SELECT request_id, refusal, CASE WHEN refusal IS NULL THEN provider END AS provider, CASE WHEN refusal IS NULL THEN contract END AS contract FROM x""",
+)
+def admitted_tasks(spark, sf):
+    """Which requests for crawls are taken, and how: orders ask for the supplier of their customer's number."""
+    nation = F.col("s_nationkey")
+    columns = tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("column_id"), (F.col("s_acctbal") >= 0).alias("enabled"), (nation <= 20).alias("source_enabled"), F.when(nation < 8, "local").otherwise("coze").alias("crawl_provider"), F.when(nation.between(10, 12), lifecycle.LEGACY).alias("contract_mode"))
+    first = F.substring("o_orderpriority", 1, 1)
+    asked = F.when(first == "1", "local").when(first == "2", "playwright").when(first == "5", "coze")
+    return lifecycle.admit(tables.read(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("column_id"), asked.alias("provider"), F.when(F.col("o_orderstatus") == "P", lifecycle.LEGACY).alias("contract")), columns)
