@@ -187,19 +187,15 @@ def vector(queries: DataFrame, vectors: DataFrame, limit: int = 20) -> DataFrame
     The cosine of a zero vector, or of vectors of different lengths, is 0. Query vectors are sent in blocks of BLOCK_BYTES; with more,
     rows are read once for each block. A task yields its own best ``limit`` of each query.
     """
-    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v")).where("v is not null").toArrow()
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v")).where("v is not null")
     kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     schema = f"query_id {kind[0]}, id {kind[1]}, score double"
     rows = vectors.select("id", F.col("vector").cast("array<double>").alias("v")).where("v is not null")
     found = queries.sparkSession.createDataFrame([], schema)
-    by_size: dict[int, list[int]] = {}
-    for k, v in enumerate(asked.column("v").to_pylist()):
-        by_size.setdefault(len(v), []).append(k)
-    for size, places in by_size.items():
-        step = max(1, BLOCK_BYTES // (8 * max(1, size)))
-        for at in range(0, len(places), step):
-            some = asked.take(pa.array(places[at : at + step]))
-            names, matrix = some.column("query_id").combine_chunks(), _unit(np.array(some.column("v").to_pylist(), np.float64).reshape(-1, size))
+    for some in _in_blocks(asked, "query_id", 8 * F.size("v")):
+        for size in pc.unique(pc.list_value_length(some.column("v"))).to_pylist():
+            mine = some.filter(pc.equal(pc.list_value_length(some.column("v")), size))
+            names, matrix = mine.column("query_id").combine_chunks(), _unit(np.array(mine.column("v").to_pylist(), np.float64).reshape(-1, size))
 
             def best(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix, size=size) -> Iterator[pa.RecordBatch]:
                 kept: list[pa.Table] = []
@@ -219,18 +215,25 @@ def vector(queries: DataFrame, vectors: DataFrame, limit: int = 20) -> DataFrame
     return ranked(found, "query_id", "score", "id", limit)
 
 
+def _in_blocks(rows: DataFrame, by: str, size: Column) -> Iterator[pa.Table]:
+    """``rows`` in blocks of about BLOCK_BYTES by the hash of a column; the driver holds one block at a time."""
+    kept = stored(rows, "asked")
+    blocks = -(-(kept.agg(F.sum(size.cast("long"))).first()[0] or 0) // BLOCK_BYTES) or 1
+    for block in range(blocks):
+        some = kept.where(F.pmod(F.xxhash64(by), F.lit(blocks)) == block).orderBy(by).toArrow()
+        if some.num_rows:
+            yield some
+
+
 def containing(docs: DataFrame, id_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
     """(needle_col, id_col): documents (id, text) that contain each of a stated set of needles (id, text); empty needles are in none.
 
     Every task walks its texts once with an automaton of the needles. Needles are sent in blocks of BLOCK_BYTES; with more, texts are read once for each block.
     """
-    some = needles.select(needle_col, "text").where("text <> ''").toArrow()
     kinds = needles.schema[needle_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     schema = f"`{needle_col}` {kinds[0]}, `{id_col}` {kinds[1]}"
     found = docs.sparkSession.createDataFrame([], schema)
-    sizes = np.cumsum(pc.binary_length(some.column("text")).to_numpy()) // BLOCK_BYTES if some.num_rows else np.zeros(0, np.int64)
-    for block in np.unique(sizes):
-        mine = some.filter(pa.array(sizes == block))
+    for mine in _in_blocks(needles.select(needle_col, "text").where("text <> ''"), needle_col, F.octet_length("text")):
 
         def walk(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
             automaton, names = ahocorasick.Automaton(), {}
