@@ -1,4 +1,7 @@
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.operators import retrieval
 from lexmill.operators.indexing import KeywordIndex
@@ -83,3 +86,13 @@ def test_an_empty_index_finds_nothing(spark, tmp_path):
     assert index.apply(batch(spark, FIRST).limit(0)).count() == 0 and index.manifest["version"] == 0
     asked = spark.createDataFrame([(9, "red fox")], "query_id long, query string")
     assert retrieval.bm25(asked, index.parts()).count() == 0
+
+
+def test_the_mean_weight_keeps_its_digits(spark):
+    """Of a million terms, nearly all of equal weight, the mean is that of an exact sum."""
+    n, rare = 100_001, 1_000_000
+    counted = spark.range(rare + 1).select(F.col("id").cast("string").alias("term"), F.when(F.col("id") == rare, 100_000).otherwise(1 + F.col("id") % 3).alias("df"))
+    found = retrieval.inverse_frequencies(counted, spark.createDataFrame([(n, 1.0)], "n long, mean double"))
+    weight = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
+    exact = math.fsum([weight(100_000), *(weight(1 + i % 3) for i in range(rare))]) / (rare + 1) * retrieval.EPSILON
+    assert abs(found.where("df = 100000").first().idf / exact - 1) < 2e-15
