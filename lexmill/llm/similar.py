@@ -31,6 +31,8 @@ TASK_SETS, TASK_SKETCHES = 500, 50_000
 PIVOTS = 8
 #: Members of a long run that one task compares with as many others.
 BLOCK_ROWS = 10_000
+#: Pairs of a run that a task gathers before it passes them on, and those of one more row.
+TOLD_PAIRS = 500_000
 #: Texts that the order of shingles is taken from, and shingles counted there that come last, at most. Any order finds the same pairs.
 ORDER_DOCS, ORDER_SHINGLES, ORDER_COUNT = 20_000, 100_000, 4
 
@@ -217,7 +219,7 @@ def pairs_apart(batches: Iterator[tuple[np.ndarray, ...]], similarity: float) ->
     """(u, v) of rows (key, node, label, n, at, sketch) in order of key: pairs of a run with different labels that sizes, places and sketches allow."""
     share = (1 - similarity) / (1 + similarity)
     for key, node, label, n, at, sketch in whole_runs(batches):
-        us, vs = [], []
+        us, vs, told = [], [], 0
         for i, end in enumerate(np.searchsorted(key, key, side="right").tolist()):
             later = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
             later = later[_may_be(n[later], at[later], n[i], at[i], similarity)]
@@ -225,6 +227,10 @@ def pairs_apart(batches: Iterator[tuple[np.ndarray, ...]], similarity: float) ->
                 later = later[np.bitwise_count(sketch[later] ^ sketch[i]).sum(1, dtype=np.int64) <= share * (n[later] + n[i]) + 1e-9]
                 us.append(np.full(len(later), node[i]))
                 vs.append(node[later])
+                told += len(later)
+                if told >= TOLD_PAIRS:
+                    yield _ordered(np.concatenate(us), np.concatenate(vs))
+                    us, vs, told = [], [], 0
         if us:
             yield _ordered(np.concatenate(us), np.concatenate(vs))
 

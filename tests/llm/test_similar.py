@@ -148,3 +148,12 @@ def test_similar_sets_share_a_first_shingle():
         b = np.unique(np.concatenate((rng.permutation(a)[: rng.integers(1, len(a) + 1)], rng.integers(0, 400, rng.integers(0, 8)).astype(np.uint64))))
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
             assert len(np.intersect1d(similar.first_shingles(a, 0.8, common), similar.first_shingles(b, 0.8, common)))
+
+
+def test_pairs_of_a_long_run_are_passed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(similar, "TOLD_PAIRS", 1000, raising=False)
+    n = 300
+    rows = (np.zeros(n, np.int64), np.arange(n), np.arange(n), np.full(n, 10), np.zeros(n, np.int64), np.zeros((n, similar.RUN_WORDS), np.uint64))
+    parts = list(similar.pairs_apart(iter([rows]), 0.8))
+    assert max(len(u) for u, _ in parts) < 1000 + n
+    assert {(a, b) for u, v in parts for a, b in zip(u.tolist(), v.tolist(), strict=True)} == {(a, b) for b in range(n) for a in range(b)}
