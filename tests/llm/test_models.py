@@ -4,6 +4,7 @@ import time
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 
@@ -121,6 +122,19 @@ def test_toxicity_held_out(spark):
     assert 0 <= toxicity.ToxicityScorer(blank).score("any text") <= 1
 
 
+def test_toxicity_learns_from_every_row(spark):
+    """More rows of each class than the former bounds (1500 and 3000), trained by several tasks whose copies are averaged."""
+    train = [(i, " ".join(text.split()[:12]), lang, y) for i, text, lang, y in toxic_rows(7000, 5)]
+    train = [(i, text, lang, int(any(w[:4] in ("scum", "verm", "filt") for w in text.split()))) for i, text, lang, _ in train]
+    docs = spark.createDataFrame([r[:3] for r in train], "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[3]) for r in train], "doc_id long, toxic int"), task_rows=1500)
+    teach = [r for r in train if zlib.crc32(f"threshold {r[0]}".encode()) % 4]
+    assert model.learned == {y: sum(r[3] == y for r in teach) for y in (0, 1)} and len(teach) > 4500
+    test = toxic_rows(300, 6)
+    scorer = toxicity.ToxicityScorer(model)
+    assert sum((scorer.score(text) >= toxicity.DECISION) == bool(y) for _, text, _, y in test) >= 0.95 * len(test)
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
