@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import json as J
 from lexmill.operators import discovery, evaluation, evidence, experiments, lifecycle
-from lexmill.sources import files
+from lexmill.sources import files, tables
 
 
 def archive(*names):
@@ -119,3 +119,18 @@ def test_experiment_rules(spark):
     assert sorted((r.query_id, r.new_regression) for r in experiments.case_changes(a, b).collect()) == [(1, True), (2, False)]
     with pytest.raises(Exception, match="only one variant"):
         experiments.case_changes(a, b.where("query_id = 1")).collect()
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark, tmp_path):
+    """Python workers of a session without a bound of its own hold a megabyte or so of texts at a time."""
+    import pandas as pd
+
+    session = spark.newSession()
+    session.range(600).select("id", F.repeat(F.lit("x"), 50_000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/long.parquet")
+
+    @F.pandas_udf("long")
+    def together(text: pd.Series) -> pd.Series:
+        return pd.Series([len(text)] * len(text))
+
+    most = tables.read(session, str(tmp_path), "long").select(together("text").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 40
