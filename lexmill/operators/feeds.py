@@ -2,48 +2,51 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import json as J
 from ..functions.text import let
 from ..sources.tables import stored
 
 
-def _children(text: Column) -> Column:
-    """array<struct<text, kind>> of what an object or array holds, in document order; null for neither.
+_mark = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
 
-    Values are kept as text, because a variant sorts its keys; their types are told by variants.
-    """
-    kinds = lambda values: F.transform(values, lambda v: F.schema_of_variant(v))
-    zipped = lambda texts, types: F.zip_with(texts, types, lambda t, k: F.struct(t.alias("text"), k.alias("kind")))
-    of_object = zipped(F.map_values(F.from_json(text, "map<string,string>")), kinds(F.map_values(F.from_json(text, "map<string,variant>"))))
-    of_array = zipped(F.from_json(text, "array<string>"), kinds(F.from_json(text, "array<variant>")))
-    return F.when(text.rlike("^\\s*\\{"), of_object).when(text.rlike("^\\s*\\["), of_array)
+
+def first_list(text: str) -> str | None:
+    """Of a JSON text the list with an object in it that begins first, as it is written; None where there is none. One walk over the marks, whatever the depth."""
+    stack: list[int] = []
+    found: tuple[int, int] | None = None
+    good: set[int] = set()
+    for m in _mark.finditer(text):
+        mark = m.group()
+        if mark in ("{", "["):
+            if mark == "{" and stack and text[stack[-1]] == "[":
+                good.add(stack[-1])
+            stack.append(m.start())
+        elif mark in ("}", "]"):
+            start = stack.pop()
+            if start in good and (found is None or start < found[0]):
+                found = start, m.end()
+    return text[found[0] : found[1]] if found else None
 
 
-def _is_list_of_objects(text: Column) -> Column:
-    return F.coalesce(text.rlike("^\\s*\\[") & F.exists(F.from_json(text, "array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT")), F.lit(False))
+@F.pandas_udf(StringType())
+def _first_list(text: pd.Series) -> pd.Series:
+    return text.map(first_list, na_action="ignore")
 
 
 def first_lists(rows: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, list): the first list with an object in it, in document order and at any depth, as text; no row where there is none or no JSON.
 
-    Each round takes all nodes of one depth, as deep as the deepest text: lists of objects are found and not looked into, other
-    containers give their children with the places that lead there. Of a row's lists the one with the least places is first, so no order among tasks matters. A row's
-    nodes go once a list before them is known. An object's repeated keys count as one.
+    Each text is walked once where it is: nothing is shuffled, and deep texts are not written again for each of their depths.
     """
-    level = stored(rows.select(ident, F.array().cast("array<int>").alias("at"), F.col(text).alias("text")).where(F.try_parse_json("text").isNotNull()), "level")
-    found = None
-    while True:
-        told = level.withColumn("hit", _is_list_of_objects(F.col("text")))
-        hits = stored(told.where("hit").groupBy(ident).agg(F.min(F.struct("at", "text")).alias("first")), "lists")
-        found = hits if found is None else stored(found.unionByName(hits).groupBy(ident).agg(F.min("first").alias("first")), "lists")
-        open_nodes = told.where("not hit").join(found, ident, "left").where("first is null or at < first.at")
-        below = open_nodes.select(ident, "at", F.posexplode(_children(F.col("text"))).alias("nth", "child")).where("child.kind like 'OBJECT%' or child.kind like 'ARRAY%'")
-        level = stored(below.select(ident, F.array_append("at", F.col("nth")).alias("at"), F.col("child.text").alias("text")), "level")
-        if level.isEmpty():
-            return found.select(ident, F.col("first.text").alias("list"))
+    good = rows.where(F.try_parse_json(text).isNotNull())
+    return good.select(ident, _first_list(F.col(text)).alias("list")).where("list is not null")
 
 
 def _at(text: Column, dotted: str) -> Column:

@@ -45,3 +45,12 @@ def test_items_at_a_path_or_else_anywhere(spark, path, want):
     text = '{"o": [{"n": "other"}], "data": {"rows": [4, {"n": "path"}, "x"], "x": {"n": 1}}}'
     found = feeds.items(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", path)
     assert [(r.nth, json.loads(r.j)["n"]) for r in found.selectExpr("nth", "to_json(item) as j").collect()] == want
+
+
+def test_first_lists_are_found_where_the_texts_are(spark):
+    """Deep texts too: no shuffle, and no table for each depth."""
+    deep = "[1, " * 400 + '[7, {"n": [{"inner": 1}]}]' + "]" * 400
+    df = spark.createDataFrame([(1, deep), (2, '[[0, {"inner": 1}], {"outer": 2}]'), (3, '{"a": "\\"[{", "b": [{}]}')], "id long, text string")
+    found = feeds.first_lists(df, "id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.list for r in found.collect()} == {1: '[7, {"n": [{"inner": 1}]}]', 2: '[[0, {"inner": 1}], {"outer": 2}]', 3: "[{}]"}
