@@ -217,7 +217,7 @@ _lineage_steps = "list_filter([CASE WHEN l_partkey % 7 = 0 THEN 'chunk' END, CAS
 def answer_lineage(spark, sf):
     """Citations of answers followed to chunk, document and version, with the steps that are missing."""
     line = tables.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    cited = line.groupBy(F.col("l_orderkey").alias("answer")).agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("citations")).select("answer", F.explode_outer("citations").alias("c")).select("answer", F.col("c.l_linenumber").alias("citation"), F.col("c.l_partkey").alias("chunk"))
+    cited = line.select(F.col("l_orderkey").alias("answer"), F.col("l_linenumber").alias("citation"), F.col("l_partkey").alias("chunk"))
     chunks = tables.read(spark, sf, "part").where("p_partkey % 7 > 0").select(F.col("p_partkey").alias("chunk"), F.lit(True).alias("has_chunk"))
     docs = tables.read(spark, sf, "orders").where("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("answer"), F.lit(True).alias("has_document"))
     met = cited.join(chunks, "chunk", "left").join(docs, "answer", "left")

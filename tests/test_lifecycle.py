@@ -46,3 +46,10 @@ def test_merged_failures_equal_their_sql_for_large_supplier_keys(spark, tmp_path
     db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert told == sorted(db.sql(__spark_entry__.oracle_sql()["merged_failures"]).fetchall())
     assert {r[0]: r[4] for r in told} == {1: "m6", 2: "m3"}
+
+
+def test_citations_are_not_gathered_by_answer(spark):
+    from lexmill.registry import queries
+
+    told = queries()["answer_lineage"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in told._jdf.queryExecution().optimizedPlan().toString()
