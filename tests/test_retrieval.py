@@ -50,3 +50,20 @@ def test_vectors_and_needles_go_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "abcabc"), (2, "bcd"), (3, None), (4, "")], "doc_id int, text string")
     needles = spark.createDataFrame([(i, t) for i, t in enumerate(["abc", "bc", "", "zz", "cd", "abc"] + ["x" * 90] * 3)], "query_id int, text string")
     assert sorted(tuple(r) for r in retrieval.containing(docs, "doc_id", needles, "query_id").collect()) == [(0, 1), (1, 1), (1, 2), (4, 2), (5, 1)]
+
+
+def test_scores_of_many_queries_are_bounded_in_memory():
+    """A task scores fewer documents at once for 40,000 queries."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 40_000
+    weights = pa.table({"query_id": pa.array(range(n), pa.int64()), "term": ["t"] * n, "weight": [1.0] * n})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([["t", "u"]] * 4 + [["u"]] * 396, pa.list_(pa.string()))], names=["id", "tokens"])
+    run = retrieval._scorer(weights, 2.0, 2)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2 * n and peak < 200 << 20
