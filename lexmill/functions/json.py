@@ -14,7 +14,7 @@ def parsed(text: Column) -> Column:
 
 def kind(v: Column, path: str = "$") -> Column:
     """The type of what is at ``path``; null for nothing."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant"))
 
 
 def strict_bool(v: Column, path: str) -> Column:
@@ -40,7 +40,17 @@ def strict_string(v: Column, path: str) -> Column:
 
 
 def is_object(v: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(v, path).startswith("OBJECT"), F.lit(False))
+    """Whether it is an object, whatever is in it: its type as text would be made of all that it holds."""
+    return F.try_variant_get(v, path, "struct<>").isNotNull()
+
+
+def is_list(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "array<struct<>>").isNotNull()
+
+
+def names(v: Column) -> Column:
+    """The names of an object's entries in order; null for anything else."""
+    return F.map_keys(F.try_variant_get(v, "$", "map<string,struct<>>"))
 
 
 def first_of(*values: Column) -> Column:

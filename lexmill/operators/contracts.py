@@ -36,16 +36,17 @@ FENCE = "(?s)^```(?:json)?[ \\t]*\\r?\\n(.*)\\r?\\n```$"
 
 def _decoded(text: Column) -> Column:
     """A whole JSON text, or a whole fenced one, as variant; null for anything else."""
-    bare = F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
-    return F.try_parse_json(F.regexp_replace(bare, FENCE, "$1"))
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    bare = F.when(ends.rlike("(?U)\\s"), F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")).otherwise(text)
+    return F.try_parse_json(let(bare, lambda b: F.when(b.startswith("```"), F.regexp_replace(b, FENCE, "$1")).otherwise(b)))
 
 
 def unwrapped(text: Column) -> Column:
     """What an answer is under the wrappers of its provider, as variant: texts are decoded, and the first wrapper with a text or object in it is opened, ROUNDS times in all."""
 
     def opened(v: Column) -> Column:
-        inner = [F.when(J.kind(v, f"$.{k}").rlike("^(?:STRING|OBJECT)"), F.try_variant_get(v, f"$.{k}", "variant")) for k in WRAPPERS]
-        return F.when(J.kind(v) == "STRING", _decoded(F.try_variant_get(v, "$", "string"))).when(J.is_object(v), F.coalesce(*inner, v)).otherwise(v)
+        inner = [F.when(J.is_object(v, f"$.{k}") | (J.kind(v, f"$.{k}") == "STRING"), F.try_variant_get(v, f"$.{k}", "variant")) for k in WRAPPERS]
+        return F.when(J.is_object(v), F.coalesce(*inner, v)).when(J.kind(v) == "STRING", _decoded(F.try_variant_get(v, "$", "string"))).otherwise(v)
 
     return reduce(lambda v, _: let(v, opened), range(ROUNDS - 1), _decoded(text))
 
@@ -56,8 +57,8 @@ def _fits(v: Column, path: str, kind: str) -> Column:
     checks = {
         "bool": told == "BOOLEAN",
         "text": told == "STRING",
-        "object": told.startswith("OBJECT"),
-        "list": told.startswith("ARRAY"),
+        "object": J.is_object(v, path),
+        "list": J.is_list(v, path),
         "count": J.strict_int(v, path) >= 0,
         "score": number.between(0, 100),
         "url": text.rlike(_URL),
@@ -75,20 +76,22 @@ def _fault(place: Column, name: str, error: str, when: Column) -> Column:
 def _typed(v: Column, fields: dict, place: Column) -> Column:
     """Faults of an object's fields: missing, of another type or value, or unknown."""
 
-    def faults(names: Column) -> Column:
-        found = []
-        for name, (kind, needed, nullable) in fields.items():
-            there = F.array_contains(names, name)
-            wrong = there & ~_fits(v, f"$.{name}", kind) & (F.coalesce(J.kind(v, f"$.{name}") != "VOID", F.lit(True)) if nullable else F.lit(True))
-            found += ([_fault(place, name, "missing", ~there)] if needed else []) + [_fault(place, name, kind, wrong)]
-        unknown = F.transform(F.filter(names, lambda n: ~n.isin(*fields)), lambda n: F.struct(F.concat(place, n).alias("place"), F.lit("unknown").alias("error")))
-        return F.concat(F.array_compact(F.array(*found)), unknown)
+    def fault(x: Column, name: str, kind: str, needed: bool, nullable: bool) -> Column:
+        here = lambda error: F.struct(F.concat(place, F.lit(name)).alias("place"), F.lit(error).alias("error"))
+        good = F.when(x.isNull(), here("missing") if needed else None).when(_fits(x, "$", kind), None)
+        return (good.when(J.kind(x) == "VOID", None) if nullable else good).otherwise(here(kind))
 
-    return let(F.map_keys(F.from_json(F.to_json(v), "map<string,variant>")), faults)
+    def faults(own: Column) -> Column:
+        unknown = F.transform(F.filter(J.names(v), lambda n: ~n.isin(*fields)), lambda n: F.struct(F.concat(place, n).alias("place"), F.lit("unknown").alias("error")))
+        return F.concat(F.array_compact(F.array(*[fault(own[name], name, *how) for name, how in fields.items()])), unknown)
 
+    # The object is taken apart once: to find a field by its path is to compare it with the names of all.
+    return let(F.try_variant_get(v, "$", f"struct<{','.join(f'{name}:variant' for name in fields)}>"), faults)
 
-def _list(v: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+def _list(v: Column, path: str, of: str = "variant") -> Column:
+    """A list's elements whole, or only those fields of them that a struct ``of`` variants names."""
+    return F.coalesce(F.try_variant_get(v, path, f"array<{of}>"), F.array().cast(f"array<{of}>"))
 
 
 def _article_faults(v: Column, place: Column) -> Column:
@@ -123,7 +126,7 @@ def _batch_faults(v: Column) -> Column:
         lost = _fault(top, "statistics.articles_failed", "is not the number of failures", of("failed") + F.size(_list(v, "$.failed_urls")) != count("articles_failed"))
         return F.array_compact(F.array(*wrong, lost, _fault(top, "statistics.articles_fetched", "is not the number of articles", F.size(decisions) != count("articles_fetched"))))
 
-    decisions = F.transform(_list(v, "$.articles"), lambda x: J.strict_string(x, "$.decision"))
+    decisions = F.transform(_list(v, "$.articles", "struct<decision:variant>"), lambda x: J.strict_string(x["decision"], "$"))
     return let(typed, lambda t: F.when(F.size(t) > 0, t).otherwise(let(decisions, counted)))
 
 
@@ -147,10 +150,10 @@ def parse_batches(answers: DataFrame, ident: str, text: str) -> DataFrame:
     of articles that do not agree with themselves, and then of statistics that do not agree with the articles. A null text is no JSON. A good answer without articles has no row.
     """
     opened = answers.select(ident, unwrapped(F.col(text)).alias("v")).select(ident, "v", _checked(F.col("v"), _batch_faults(F.col("v"))).alias("faults"))
-    article = lambda x, i: F.struct(i.alias("nth"), J.strict_string(x, "$.url").alias("url"), J.strict_string(x, "$.title").alias("title"), J.strict_string(x, "$.decision").alias("decision"), J.strict_int(x, "$.content_length").alias("content_length"), F.lit(None).cast("string").alias("place"), F.lit(None).cast("string").alias("error"))
+    article = lambda x, i: F.struct(i.alias("nth"), J.strict_string(x["url"], "$").alias("url"), J.strict_string(x["title"], "$").alias("title"), J.strict_string(x["decision"], "$").alias("decision"), J.strict_int(x["content_length"], "$").alias("content_length"), F.lit(None).cast("string").alias("place"), F.lit(None).cast("string").alias("error"))
     null = lambda kind: F.lit(None).cast(kind)
     fault = lambda f: F.struct(null("int").alias("nth"), null("string").alias("url"), null("string").alias("title"), null("string").alias("decision"), null("bigint").alias("content_length"), f["place"].alias("place"), f["error"].alias("error"))
-    rows = F.when(F.size("faults") > 0, F.transform("faults", fault)).otherwise(F.transform(_list(F.col("v"), "$.articles"), article))
+    rows = F.when(F.size("faults") > 0, F.transform("faults", fault)).otherwise(F.transform(_list(F.col("v"), "$.articles", "struct<url:variant,title:variant,decision:variant,content_length:variant>"), article))
     return opened.select(ident, J.strict_string(F.col("v"), "$.task_id").alias("task_id"), F.explode(rows).alias("r")).select(ident, "task_id", "r.*")
 
 

@@ -85,3 +85,16 @@ def test_model_answers(spark):
     told = {r.text: r for r in contracts.check_answers(df.selectExpr("text", "text as body", "context"), "text", "body", "context").collect()}
     assert {t: r.error for t, r in told.items()} == cases
     assert [r.cited for t, r in told.items() if cases[t] is None] == [["c1"], []] and told["Sorry"].answer is None
+
+
+def test_long_answers_are_not_described_to_be_checked(spark):
+    """The type of an answer is not written out with all that it holds, and its entries are not made text and read again."""
+    v = contracts.F.col("v")
+    for column in (contracts.unwrapped(contracts.F.col("text")), contracts._batch_faults(v)):
+        plan = str(column)
+        assert "to_json" not in plan and "from_json" not in plan
+    nested = [("o", '{"a": {"b": [1]}, "c": null}'), ("l", '[{"a": 1}, 2]'), ("s", '"{}"'), ("n", "null"), ("x", "{"), ("e", "{}"), ("m", "[]")]
+    rows = spark.createDataFrame(nested, "id string, text string").select("id", contracts.F.try_parse_json("text").alias("v"))
+    told = {r.id: tuple(r)[1:] for r in rows.select("id", contracts.J.is_object(v), contracts.J.is_list(v), contracts.J.names(v), contracts.J.is_object(v, "$.a"), contracts.J.is_list(v, "$.a.b")).collect()}
+    none = (False, False, None, False, False)
+    assert told == {"o": (True, False, ["a", "c"], True, True), "l": (False, True, None, False, False), "s": none, "n": none, "x": none, "e": (True, False, [], False, False), "m": (False, True, None, False, False)}
