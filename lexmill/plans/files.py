@@ -64,7 +64,7 @@ def saved_index(spark, sf):
     """Keyword search over an index that was saved as tables and loaded again."""
     at = f"{tables.scratch(spark)}/index/{uuid.uuid4().hex}"
     tables.save_index(retrieval.keyword_index(tables.documents(spark, sf)), at)
-    return retrieval.bm25(questions(spark, sf), tables.load_index(spark, at)).select("query_id", "id", "score", "rank")
+    return retrieval.bm25(questions(spark, sf), retrieval.index_of(**tables.load_index(spark, at))).select("query_id", "id", "score", "rank")
 
 
 @query("written_report", "SELECT o_orderkey, o_orderstatus AS status, '[\"' || o_orderpriority || '\",\"' || o_custkey || '\"]' AS tags FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 10 > 0")
