@@ -96,3 +96,29 @@ def test_the_mean_weight_keeps_its_digits(spark):
     weight = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
     exact = math.fsum([weight(100_000), *(weight(1 + i % 3) for i in range(rare))]) / (rare + 1) * retrieval.EPSILON
     assert abs(found.where("df = 100000").first().idf / exact - 1) < 2e-15
+
+
+def test_terms_are_counted_where_the_document_is(spark, tmp_path, monkeypatch):
+    """Terms of documents are told without a shuffle, texts of untouched documents are not cut again, and an index that is saved and loaded finds the same."""
+    words = spark.createDataFrame([(1, ["b", "a", "b"], "x"), (2, [], "y"), (3, None, "z"), (4, ["c"], None)], "id long, tokens array<string>, more string")
+    told = retrieval.counted(words)
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.dl, None if r.terms is None else dict(zip(r.terms, r.tfs, strict=True)), r.more) for r in told.collect()}
+    assert got == {1: (3, {"a": 1, "b": 2}, "x"), 2: (0, {}, "y"), 3: (None, None, "z"), 4: (1, {"c": 1}, None)}
+    docs = spark.createDataFrame([(i, f"t{i}", "red fox " * (i % 3) + "hen") for i in range(40)], "doc_id long, title string, content string")
+    asked = spark.createDataFrame([(9, "red fox"), (10, "hen t3"), (11, "none such")], "query_id long, query string")
+    index = retrieval.keyword_index(docs)
+    tables.save_index(index, f"{tmp_path}/s")
+    saved = retrieval.index_of(**tables.load_index(spark, f"{tmp_path}/s"))
+    by_postings = {k: v for k, v in saved.items() if k != "words"}
+    hits = lambda i: sorted((r.query_id, r.rank, r.id, round(r.score, 8)) for r in retrieval.bm25(asked, i, 5).collect())
+    assert hits(index) == hits(saved) == hits(by_postings) != []
+    batch_of = lambda: docs.select(F.col("doc_id").alias("id"), "title", "content", F.lit(True).alias("approved"))
+    kept = KeywordIndex(spark, f"{tmp_path}/k")
+    kept.apply(batch_of())
+    assert hits(kept.parts()) == hits(index)
+    cut = []
+    real = retrieval.counted
+    monkeypatch.setattr(retrieval, "counted", lambda w: cut.append(sorted(r.id for r in w.select("id").collect())) or real(w))
+    kept.apply(batch_of().withColumn("content", F.when(F.col("id") == 7, "other").otherwise(F.col("content"))))
+    assert cut == [[7]]
