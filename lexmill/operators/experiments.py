@@ -71,9 +71,10 @@ class Experiment:
 def variant_cases(variant: Variant, docs: DataFrame, questions: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, recall, hit, mrr, passed) of keyword search over the variant's own chunks, judged by documents (query_id, doc_id)."""
     chunks = chunking.chunk_documents(docs, variant.chunks()).select("chunk_id", "doc_id", "section_title", "content")
-    index = retrieval.keyword_index(chunks, "chunk_id", F.concat_ws(" ", "section_title", "content"))
+    # Texts are cut once: the index keeps the document of each chunk.
+    index = retrieval.keyword_index(chunks, "chunk_id", F.concat_ws(" ", "section_title", "content"), keep=("doc_id",))
     depth = variant.depth()
-    hits = retrieval.bm25(questions, index, depth).join(chunks.select(F.col("chunk_id").alias("id"), "doc_id"), "id")
+    hits = retrieval.bm25(questions, index, depth).join(index["words"].select("id", "doc_id"), "id")
     found = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")).join(relevant, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first"))
     wanted = relevant.groupBy("query_id").agg(F.count("*").alias("wanted"))
     m = questions.select("query_id").join(wanted, "query_id", "left").join(found, "query_id", "left")
