@@ -32,7 +32,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate component: five-word shingles, similarity 0.8 or more."""
+    """Keeps the document with the smallest id of each near-duplicate component: five-word shingles, similarity 0.8 or more.
+
+    Texts are linked through deletion variants of SimHash fingerprints and verified; an exact step compares those that this leaves apart.
+    """
     return similar.keep_one_of_similar(docs, shingle_words=5, similarity=0.8).select(*docs.columns)
 
 

@@ -28,6 +28,18 @@ TASK_PRINTS = 20_000
 _VOTE_ROWS = 255 * 128
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in more than half of ``hashes``, one of so many bytes a row."""
+    width = 8 * hashes.shape[1]
+    votes = np.zeros(width, np.int64)
+    for at in range(0, len(hashes), _VOTE_ROWS):
+        block = np.unpackbits(hashes[at : at + _VOTE_ROWS], axis=1)
+        whole = len(block) // 255 * 255
+        votes += block[:whole].reshape(-1, 255, width).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+        votes += block[whole:].sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(hashes))
+
+
 def text_fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
     """64-bit majority fingerprint of the XXH64 hashes of word shingles, repeats included."""
     words = text.lower().split() if text else []
@@ -42,13 +54,7 @@ def text_fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42)
     n = len(words) - shingle_words + 1
     spans = zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)
     bits = np.frombuffer(b"".join([digest(line[s:e], seed) for s, e in spans]), np.uint8).reshape(n, 8)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, _VOTE_ROWS):
-        block = np.unpackbits(bits[at : at + _VOTE_ROWS], axis=1)
-        whole = len(block) // 255 * 255
-        votes += block[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
-        votes += block[whole:].sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
+    return int.from_bytes(majority(bits).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

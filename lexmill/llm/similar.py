@@ -1,6 +1,10 @@
-"""Near-duplicates at a given Jaccard similarity: texts that share a rare shingle meet and are verified exactly.
+"""Near-duplicates at a given Jaccard similarity: SimHash fingerprints linked through deletion-variant signatures, verified exactly.
 
-A text is its set of word shingles. Texts meet at equal shingles among the first of each in one
+A text is its set of word shingles, with a SimHash fingerprint of 192 bits in eight segments. Texts that differ in one bit of
+a segment at most share a one-wildcard variant of it, meet by an equality join on variants, and are verified on their sets.
+At a similarity of 0.8 a pair meets so with a chance of about 0.6, at 0.9 of 0.9.
+
+An exact step follows for the pairs that these links leave apart. They meet at equal shingles among the first of each in one
 common order, common shingles last: sets of similarity t share one of the first n - ceil(t n) + 1
 of each, so every pair at the similarity meets. Of the pairs that meet, most are excluded by sizes, by places (what comes
 after the first shared shingle must be enough to share) and by parity sketches: an element that one set has and the other
@@ -22,7 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import BitFilter, discard, held, hot_join, in_steps, map_batches, materialize, salted_join, utf8_list
 from .components import connected_components, thin_edges
-
+from .simhash import majority
+
+#: Words of 64 bits of a fingerprint, its segments, and bits beside a segment that texts are compared by where they meet.
+PRINT_WORDS, SEGMENTS, SEGMENT_BITS, BESIDE_BITS = 3, 8, 24, 32
+#: Members of a run of equal variants that all its members meet. What that leaves apart the exact step compares.
+PRINT_PIVOTS = 4
+#: Classes that one task makes variants of.
+TASK_PRINTS = 20_000
 #: Words of 64 bits of the parity sketches that runs are compared by, and of the longest sketch; a set of n elements has one of n / 2 bits or more up to that.
 RUN_WORDS, MAX_WORDS = 8, 256
 #: Pairs of one text that a task verifies, and compares by sketches.
@@ -84,6 +95,17 @@ def first_shingles(hashes: np.ndarray, similarity: float, common: tuple[np.ndarr
     return hashes[np.argsort(rank, kind="stable")[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]]
 
 
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set as PRINT_WORDS words: the majority of each bit over its hashes, each mixed with the number of the word."""
+    mixed = np.empty((len(hashes), PRINT_WORDS), np.uint64)
+    for k in range(PRINT_WORDS):
+        x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed[:, k] = x ^ (x >> np.uint64(31))
+    return majority(mixed.view(np.uint8)).view(np.int64)
+
+
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     """One bit for each value of the hash's low bits, 64 to a word: whether an odd number of the set's elements has it."""
     words = RUN_WORDS
@@ -99,25 +121,26 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, same, sketch, brief, first): number, digest, parity sketches (whole, of RUN_WORDS) and first of the distinct shingles of every row."""
+    """(doc_id, n, same, print, sketch, brief, first): number, digest, fingerprint, parity sketches (whole, of RUN_WORDS) and first of the distinct shingles of every row."""
     sent, name = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle_words, id_col, text_col)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = held(f"shingles {name}", lambda: sent.value)
         for step in in_steps(batches):
-            sizes, digests, sketches, brief, first = [], [], [], [], []
+            sizes, digests, prints, sketches, brief, first = [], [], [], [], [], []
             for text in utf8_list(step.column(1)):
                 hashes = shingle_hashes(text, shingle_words)
                 sizes.append(len(hashes))
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                prints.append(set_fingerprint(hashes))
                 sketches.append(parity_sketch(hashes))
                 brief.append(folded(sketches[-1], RUN_WORDS))
                 first.append(first_shingles(hashes, similarity, common).view(np.int64) if len(hashes) else [])
-            columns = [step.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in (sketches, brief, first))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "same", "sketch", "brief", "first"])
+            columns = [step.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in (prints, sketches, brief, first))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "same", "print", "sketch", "brief", "first"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.transform(map_batches, run, "doc_id long, n long, same binary, sketch array<long>, brief array<long>, first array<long>", model=True)
+    return rows.transform(map_batches, run, "doc_id long, n long, same binary, print array<long>, sketch array<long>, brief array<long>, first array<long>", model=True)
 
 
 def _ordered(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +152,73 @@ def _may_be(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, simila
     return np.minimum(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - 1e-9
 
 
+def segment_variants(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, bit, beside) of each place of each row of ``prints``: its segment with this bit left open, the bit, and the bits that follow the segment."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1).astype(np.int64)
+    segments = bits.reshape(-1, SEGMENTS, SEGMENT_BITS)
+    parts = segments << np.arange(SEGMENT_BITS)
+    number = np.arange(SEGMENTS * SEGMENT_BITS).reshape(SEGMENTS, SEGMENT_BITS)
+    key = (parts.sum(2, keepdims=True) - parts) * number.size + number
+    after = (number[:, -1:] + 1 + np.arange(BESIDE_BITS)) % number.size
+    beside = np.repeat((bits[:, after] << np.arange(BESIDE_BITS)).sum(2), SEGMENT_BITS, axis=1)
+    return key.reshape(bits.shape), bits, beside
+
+
+def _variants(classes: DataFrame) -> DataFrame:
+    """(key, node, told): the one-wildcard variants of every class's fingerprint; ``told`` is its set's size, the open bit and the bits beside the segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in in_steps(batches):
+            key, bit, beside = segment_variants(step.column(2).flatten().to_numpy().reshape(-1, PRINT_WORDS))
+            node, n = (np.repeat(step.column(k).to_numpy(), key.shape[1]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.ravel(), node, (n * 2 + bit.ravel()) << BESIDE_BITS | beside.ravel())], names=["key", "node", "told"])
+
+    full = classes.where("n > 0").select("node", "n", "print")
+    # Each row becomes as many as a fingerprint has bits, so rows are dealt out by number before.
+    return full.repartition(-(-full.count() // TASK_PRINTS) or 1, "node").transform(map_batches, run, "key long, node long, told long")
+
+
+def pairs_of_variants(batches: Iterator[tuple[np.ndarray, ...]], similarity: float, pivots: int = PRINT_PIVOTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v) of rows (key, node, told) in order of key and node: each with the first ``pivots`` of its run, where sizes and the bits beside the segment allow the similarity.
+
+    Of the variants that two rows share in a segment one pairs them: that in whose open bit they differ, or that of the first place.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    room = BESIDE_BITS * share + 3 * math.sqrt(BESIDE_BITS * share * (1 - share))
+    kept = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for batch in batches:
+        if not len(batch[0]):
+            continue
+        old = len(kept[0])
+        key, node, told = rows = tuple(np.concatenate((a, b)) for a, b in zip(kept, batch, strict=True))
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        later = np.arange(old, len(key))
+        n = told >> BESIDE_BITS + 1
+        for j in range(pivots):
+            later = later[start[later] + j < later]
+            if not len(later):
+                break
+            pivot = start[later] + j
+            apart = told[later] ^ told[pivot]
+            fit = ((apart >> BESIDE_BITS & 1 == 1) | (key[later] % SEGMENT_BITS == 0)) & (np.bitwise_count(apart & (1 << BESIDE_BITS) - 1) <= room)
+            fit &= _may_be(n[later], 0, n[pivot], 0, similarity) & (node[later] != node[pivot])
+            if fit.any():
+                yield _ordered(node[later[fit]], node[pivot[fit]])
+        kept = tuple(c[start[-1] : start[-1] + pivots].copy() for c in rows)
+
+
+def _near_prints(classes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): classes that share a variant of their fingerprints and may have the similarity, each pair once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, v in pairs_of_variants((tuple(c.to_numpy() for c in batch.columns) for batch in batches), similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    met = _variants(classes).repartition("key").sortWithinPartitions("key", "node")
+    return materialize(met.transform(map_batches, run, "u long, v long").distinct(), "near")
+
+
 def pairs_of_runs(batches: Iterator[tuple[np.ndarray, ...]], similarity: float, pivots: int = PIVOTS) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of rows (key, node, n, at) in order of key and node: (False, u, v, -, -) of each row with the first ``pivots`` of its run, where
     sizes and places allow the similarity, and (True, key, node, n, at) for the rows of longer runs. Only a run's pivots are held."""
@@ -215,6 +305,12 @@ def whole_runs(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.n
         yield tuple(map(np.concatenate, zip(*waiting, strict=True)))
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that ``parts`` (node, component) do not join."""
+    a, b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in ("u", "v"))
+    return pairs.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("u_part", "u") != F.coalesce("v_part", "v")).select("u", "v")
+
+
 def pairs_apart(batches: Iterator[tuple[np.ndarray, ...]], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(u, v) of rows (key, node, label, n, at, sketch) in order of key: pairs of a run with different labels that sizes, places and sketches allow."""
     share = (1 - similarity) / (1 + similarity)
@@ -277,7 +373,8 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
     """(doc_id, component_id) of every row with an id: the smallest id reachable by links of ``similarity`` or more.
 
     The similarity is that of the sets of word shingles, exactly. Texts with equal sets are one
-    class and compared once. In a run of equal keys that is longer than ``PIVOTS`` all members first
+    class and compared once. Those that meet at variants of their fingerprints are verified and linked. Pairs that
+    these links do not join meet at first shingles. In a run of equal keys that is longer than ``PIVOTS`` all members first
     meet ``PIVOTS`` of it. Of the pairs that meet those that join parts are verified first, then every
     pair, of long runs too, that the links found do not join: none is left out, and a run of copies
     is not paired in full. Null
@@ -286,21 +383,26 @@ def similar_components(docs: DataFrame, shingle_words: int = 5, similarity: floa
     """
     how = (docs, shingle_words, similarity, id_col, text_col)
     prints = materialize(_signatures(*how).where("doc_id is not null"), "prints")
-    classes = materialize(prints.groupBy("n", "same").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.first("first").alias("first"), F.count("*").alias("rows")), "classes")
+    classes = materialize(prints.groupBy("n", "same").agg(F.min("doc_id").alias("node"), F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.first("first").alias("first"), F.count("*").alias("rows")), "classes")
     members = materialize(hot_join(prints.select("doc_id", "n", "same"), classes.select("n", "same", "node", "rows"), ["n", "same"], "rows").select("doc_id", "node"), "members")
     discard(prints)
+    near = _near_prints(classes, similarity)
+    close = _verified(thin_edges(_likely(near, classes, similarity)), *how)
+    joined = materialize(connected_components(close), "joined")
+    discard(near)
     met = _met(_first_keys(classes), similarity)
-    pairs = materialize(_likely(met.where("not long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), classes, similarity), "pairs")
-    links = _verified(thin_edges(pairs), *how)
+    unjoined = materialize(_apart(met.where("not long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), joined), "unjoined")
+    pairs = materialize(_likely(unjoined, classes, similarity), "pairs")
+    discard(unjoined)
+    links = materialize(close.unionByName(_verified(thin_edges(pairs), *how)), "linked")
     parts = materialize(connected_components(links), "parts")
-    a, b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in ("u", "v"))
-    apart = pairs.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("u_part", "u") != F.coalesce("v_part", "v")).select("u", "v")
+    apart = _apart(pairs, parts)
     parted = _parted(met.where("long").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "at"), parts, classes, similarity)
     rest = _verified(apart.unionByName(_likely(parted, classes, similarity)).distinct(), *how)
     # A class links its members to the member with the smallest id.
     own = members.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
     labels = connected_components(links.unionByName(rest).unionByName(own))
-    discard(classes, met, pairs, links, parts, parted, rest)
+    discard(classes, close, joined, met, pairs, links, parts, parted, rest)
     ids = members.select("doc_id").distinct()
     found = ids.join(labels, ids.doc_id == labels.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
     return members.select("doc_id").join(found, "doc_id")

@@ -157,3 +157,53 @@ def test_pairs_of_a_long_run_are_passed_on_in_parts(monkeypatch):
     parts = list(similar.pairs_apart(iter([rows]), 0.8))
     assert max(len(u) for u, _ in parts) < 1000 + n
     assert {(a, b) for u, v in parts for a, b in zip(u.tolist(), v.tolist(), strict=True)} == {(a, b) for b in range(n) for a in range(b)}
+
+
+def test_fingerprint_variants_link_close_copies(spark, monkeypatch):
+    """Without the exact step: SimHash variants link copies that differ in a word, and no pair below the similarity."""
+    monkeypatch.setattr(similar, "_first_keys", lambda classes: classes.selectExpr("0L as key", "node", "cast(n as int) as n", "0 as at").where("false"))
+    rng, rows = random.Random(21), []
+    for k in range(60):
+        base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        other = list(base)
+        for at in rng.sample(range(300), 1 if k < 30 else 12):
+            other[at] = "other"
+        rows += [(2 * k, " ".join(base), None), (2 * k + 1, " ".join(other), None)]
+    far = [k for k in range(30, 60) if jaccard(rows[2 * k][1], rows[2 * k + 1][1]) < 0.8]
+    got = {r.doc_id: r.component_id for r in similar.similar_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == 120 and far
+    assert all(got[2 * k + 1] == 2 * k for k in range(30))
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in far)
+
+
+def test_set_fingerprint_is_the_bit_majority():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 7, 600, 40_000):
+        hashes = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        got = np.unpackbits(similar.set_fingerprint(hashes).view(np.uint8))
+        assert len(got) == similar.SEGMENTS * similar.SEGMENT_BITS == 64 * similar.PRINT_WORDS
+        alone = [np.unpackbits(similar.set_fingerprint(h[None]).view(np.uint8)) for h in hashes[:600]]
+        if n <= 600:
+            assert got.tolist() == (2 * np.sum(alone, axis=0) > n).tolist() if n else not got.any()
+
+
+def test_pairs_of_variants_are_those_within_a_bit_of_a_segment():
+    rng = np.random.default_rng(7)
+    bits = np.repeat(rng.integers(0, 2, (12, 192)), 4, axis=0)
+    bits ^= rng.random(bits.shape) < rng.choice([0, 0.02, 0.1, 0.16], (48, 1))
+    prints, n = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64), rng.integers(80, 110, 48)
+    key, bit, beside = similar.segment_variants(prints)
+    assert key.min() >= 0 and bit.tolist() == bits.tolist()
+    rows = sorted((int(key[i, j]), i, int((n[i] * 2 + bit[i, j]) << 32 | beside[i, j])) for i in range(48) for j in range(192))
+    columns = tuple(np.array(c) for c in zip(*rows, strict=True))
+
+    def meets(a, b):
+        apart = bits[a] ^ bits[b]
+        near = [s for s in range(8) if apart[24 * s : 24 * s + 24].sum() <= 1 and np.roll(apart, -24 * (s + 1))[:32].sum() <= 10]
+        return bool(near) and min(n[a], n[b]) >= 0.8 * max(n[a], n[b]) - 1e-9
+
+    want = {(a, b) for b in range(48) for a in range(b) if meets(a, b)}
+    assert 30 < len(want) < 48 * 47 // 2
+    for size in (1, 5, 100, len(rows)):
+        parts = (tuple(c[at : at + size] for c in columns) for at in range(0, len(rows), size))
+        assert {(int(a), int(b)) for u, v in similar.pairs_of_variants(parts, 0.8, pivots=48) for a, b in zip(u, v, strict=True)} == want
