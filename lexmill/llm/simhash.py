@@ -96,11 +96,12 @@ def link_fingerprints(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame
     # Each row becomes 64, so rows are dealt out by number before and not left to the size they have now.
     variants = _segment_variants(prints.repartition(-(-prints.count() // TASK_PRINTS) or 1, "fp"))
     shared = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(variants.join(shared, "key"), "variants")
+    # Spark sizes variants as though rows had not become 64, and files by their compressed bytes: unhinted, all of them are sent to the driver.
+    met = materialize(variants.join(shared.hint("merge"), "key"), "variants")
     few = met.where(F.col("n") <= pair_limit)
     a = few.select("key", "place", F.col("bit").alias("a_bit"), F.col("fp").alias("u"))
     b = few.select("key", F.col("bit").alias("b_bit"), F.col("fp").alias("v"))
-    pairs = a.join(b, "key").where("u < v and (a_bit <> b_bit or place = 0)").where(_distance(F.col("u"), F.col("v")) <= 2)
+    pairs = a.join(b.hint("merge"), "key").where("u < v and (a_bit <> b_bit or place = 0)").where(_distance(F.col("u"), F.col("v")) <= 2)
     many = met.where(F.col("n") > pair_limit).select("fp").distinct()
     around = many.select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))).alias("centre"))
     # At most 65 fingerprints are within one bit of a centre.

@@ -75,6 +75,21 @@ def test_links_within_large_groups_are_exact(spark):
         assert {f: found.get(f, f) for f in signed} == want
 
 
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """Each fingerprint becomes 64 rows that Spark sizes as one: no join of theirs may send them through the driver."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    rng = random.Random(4)
+    signed = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    written = {}
+    real = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: written.setdefault(name, df) and real(df, name))
+    links = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in signed + [f ^ 5 for f in signed[:50]]], "fp long"))
+    for frame in (written["variants"], links):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert links.distinct().count() == 50
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "zz yy xx ww"), (None, None)]
     frame = spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("clash")).withColumn("component", F.lit(1))
